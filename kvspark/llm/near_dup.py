@@ -166,7 +166,7 @@ def _keys(size: int, threshold: float, frequent: np.ndarray, labels: list[int]):
 
 def _pair_up(small: int):
     def run(batches):
-        for key, node in unpack(batches).values():
+        for key, node, _ in unpack(batches).values():
             _, node, start, size = runs_of(key, node)
             yield from Candidates(small).emit(node, start, size)
 

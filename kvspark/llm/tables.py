@@ -80,21 +80,26 @@ class Packer:
         self.nodes: list[np.ndarray] = []
         self.keys: list[np.ndarray] = []
         self.index: list[np.ndarray] = []
+        self.extra: list[np.ndarray] = []
         self.n_nodes = self.n_keys = 0
 
-    def add(self, nodes: np.ndarray, keys: np.ndarray, index: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """``index``: for each key the position in ``nodes``; at most 30,000 nodes a call."""
+    def add(self, nodes: np.ndarray, keys: np.ndarray, index: np.ndarray, extra: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """``index``: for each key the position in ``nodes``; at most 30,000 nodes a call.
+        ``extra``: 64 more bits for each key, in all calls or in none."""
         if self.n_nodes + len(nodes) > 60_000 or self.n_keys + len(keys) > self.most:
             yield from self.flush()
         self.nodes.append(nodes.astype(np.int64, copy=False))
         self.keys.append(keys)
         self.index.append((index + self.n_nodes).astype(np.uint16))
+        if extra is not None:
+            self.extra.append(extra)
         self.n_nodes += len(nodes)
         self.n_keys += len(keys)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.n_keys:
             nodes, keys, index = map(np.concatenate, (self.nodes, self.keys, self.index))
+            extra = np.concatenate(self.extra) if self.extra else None
             n = len(self.labels)
             part = (((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.uint16)
             order = np.argsort(part, kind="stable")
@@ -105,30 +110,32 @@ class Packer:
                 if len(own):
                     used, at = np.unique(index[own], return_inverse=True)
                     k = keys[own]
-                    head = np.array([len(own), len(used)], np.int64)
+                    head = np.array([len(own), len(used), extra is not None], np.int64)
                     parts.append(self.labels[p])
-                    blobs.append(b"".join((head.tobytes(), nodes[used].tobytes(), k.astype(np.uint32).tobytes(), ((k >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), at.astype(np.uint16).tobytes())))
+                    blobs.append(b"".join((head.tobytes(), nodes[used].tobytes(), k.astype(np.uint32).tobytes(), ((k >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), at.astype(np.uint16).tobytes(), b"" if extra is None else extra[own].tobytes())))
             for i in range(0, len(parts), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(parts[i : i + 64], pa.int32()), pa.array(blobs[i : i + 64], pa.binary())], ["part", "blob"])
-        self.nodes, self.keys, self.index, self.n_nodes, self.n_keys = [], [], [], 0, 0
+        self.nodes, self.keys, self.index, self.extra, self.n_nodes, self.n_keys = [], [], [], [], 0, 0
 
 
-def unpack(batches: Iterable[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each part of this partition: its 48-bit keys and their nodes."""
+def unpack(batches: Iterable[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each part of this partition: its 48-bit keys, their nodes and their extra bits."""
     out: dict[int, list] = {}
     for b in batches:
         for part, blob in zip(b.column(0).to_pylist(), b.column(1)):
             raw = memoryview(blob.as_buffer())
-            n, m = np.frombuffer(raw, np.int64, 2)
-            at = 16
+            n, m, more = np.frombuffer(raw, np.int64, 3).tolist()
+            at = 24
             nodes = np.frombuffer(raw, np.int64, m, at)
             at += 8 * m
             key = np.frombuffer(raw, np.uint32, n, at).astype(np.uint64)
             at += 4 * n
             key |= np.frombuffer(raw, np.uint16, n, at).astype(np.uint64) << np.uint64(32)
             at += 2 * n
-            out.setdefault(part, []).append((key, nodes[np.frombuffer(raw, np.uint16, n, at)]))
-    return {p: (np.concatenate([k for k, _ in x]), np.concatenate([v for _, v in x])) for p, x in out.items()}
+            node = nodes[np.frombuffer(raw, np.uint16, n, at)]
+            extra = np.frombuffer(raw[at + 2 * n :], np.uint64) if more else np.zeros(0, np.uint64)
+            out.setdefault(part, []).append((key, node, extra))
+    return {p: tuple(np.concatenate(c) for c in zip(*x)) for p, x in out.items()}
 
 
 def runs_of(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -179,39 +186,40 @@ class Candidates:
     nodes gives all its pairs; a larger one gives the pairs of its first node, and its
     members are kept for :func:`link`."""
 
-    def __init__(self, small: int = 16, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
-        self.small, self.near = small, near
+    def __init__(self, small: int = 16):
+        self.small = small
 
-    def emit(self, node: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def emit(self, node: np.ndarray, start: np.ndarray, size: np.ndarray, near: Callable | None = None) -> Iterator[pa.RecordBatch]:
+        """``near`` tells of positions i and j of ``node`` whether they can link."""
         left, right = [], []
         for n in range(2, self.small + 1):
             at = start[size == n]
             if len(at):
-                members = node[at[:, None] + np.arange(n)]
                 i, j = np.triu_indices(n, 1)
-                left.append(members[:, i].ravel())
-                right.append(members[:, j].ravel())
-        large = [node[s : s + n] for s, n in zip(start[size > self.small], size[size > self.small])]
-        for m in large:
-            left.append(np.full(len(m) - 1, m[0]))
-            right.append(m[1:])
+                left.append((at[:, None] + i).ravel())
+                right.append((at[:, None] + j).ravel())
+        large = [(s, s + n) for s, n in zip(start[size > self.small].tolist(), size[size > self.small].tolist())]
+        for s, e in large:
+            left.append(np.full(e - s - 1, s))
+            right.append(np.arange(s + 1, e))
         if left:
-            a, b = np.concatenate(left), np.concatenate(right)
+            i, j = np.concatenate(left), np.concatenate(right)
+            if near is not None:
+                ok = near(i, j)
+                i, j = i[ok], j[ok]
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
             order = np.lexsort((b, a))
             a, b = a[order], b[order]
-            keep = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+            keep = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)] & (a != b)
             a, b = a[keep], b[keep]
-            if self.near is not None:
-                ok = self.near(a, b)
-                a, b = a[ok], b[ok]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.list_(pa.int64()))], ["a", "b", "members"])
         # the same members often share many keys: each set of members is kept once
-        seen = {m.tobytes(): m for m in large}
+        seen = {node[s:e].tobytes(): node[s:e] for s, e in large}
         for m in seen.values():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([m], pa.list_(pa.int64()))], ["a", "b", "members"])
 
 
-def link(found: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = 16) -> DataFrame:
+def link(found: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, comp) over all verified links among the candidates in ``found``.
 
     Pairs come first. Then each large run whose nodes are still in different components is
