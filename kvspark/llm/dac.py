@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import partitions
+from .tables import partitions, ship
 
 MAGIC = b"DAC1"
 CHUNK_BITS = 8
@@ -169,7 +169,7 @@ def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, segmen
     Null text is empty: only the end id. Rows with equal doc_id are kept, ordered by text. Rows
     with null doc_id are not written. Other columns are ignored. ``tokenizer`` is the path of a
     tokenizers file whose pre-tokenizer drops white space."""
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = partitions(spark, n_bytes, 32 << 20)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .tables import ship
 
 #: Items are matched in blocks of about so many words: what is broadcast never exceeds that,
 #: however large the benchmark is; a larger one takes more passes over the documents.
@@ -175,7 +176,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
     Null or empty text: no words, no hits. An item with null id or no words has no windows; rows
     of equal item_id are one item. Repeated documents are judged alike, each on its own. Other
     columns, whatever their names, stay inside ``row``. Without items nothing is hit."""
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     n_words = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] / 5
     n_blocks = max(1, int(-(-n_words // block_words)))

@@ -101,6 +101,16 @@ class Words:
     ends: np.ndarray
     first: np.ndarray
     hashes: np.ndarray
+    sums: np.ndarray | None = None
+
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first ``size`` bytes of the words that are longer, and which these are."""
+        own = np.flatnonzero(self.ends - self.starts > size)
+        if not len(own):
+            return np.zeros(0, U64), own
+        at = self.starts[own]
+        up, _ = powers(len(self.buf) + 1)
+        return mix((self.sums[at + size] - self.sums[at]) * up[at] + U64(size)), own
 
     def text(self, i: int) -> bytes:
         return self.buf[self.starts[i] : self.ends[i]].tobytes()
@@ -132,7 +142,7 @@ def words(buf: np.ndarray, bounds: np.ndarray, alpha: Alphabet) -> Words:
     sums[0] = 0
     np.cumsum(alpha.value[buf] * down[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * up[starts])
-    return Words(buf, starts, ends, np.searchsorted(starts, bounds).astype(np.int64), hashes)
+    return Words(buf, starts, ends, np.searchsorted(starts, bounds).astype(np.int64), hashes, sums)
 
 
 def window_hashes(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:

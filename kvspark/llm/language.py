@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .tables import ship
 
 ORDER = 3  # bytes of the longest context
 UNKNOWN = "und"
@@ -200,7 +201,7 @@ def identify(docs: DataFrame, where: Column | None = None, fit_docs: int = FIT_D
     Null text and text without a letter: ``und`` with score 0 and null bits_per_byte; so is every
     text if nothing could be learned. Null doc_id or lang, repeated rows and further columns of
     any name are kept as they are inside ``row``; lang is never used for a prediction."""
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     trees = fit(docs, F.lit(True) if where is None else where, fit_docs)
     model = spark.sparkContext.broadcast(trees)
     schema = T.StructType([T.StructField("row", docs.schema), *RESULT])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .tables import CANDIDATES, PACKED, Candidates, Packer, link, only_ids, partitions, save, spread, unpack
+from .tables import CANDIDATES, PACKED, Candidates, Packer, link, only_ids, partitions, save, ship, spread, unpack
 
 #: Linked lines differ in at most this many of 64 SimHash bits. Any two of five blocks of bits
 #: make a key: three differing bits leave two blocks as they are.
@@ -171,7 +171,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.75, small: int = 16) -> Da
     Null text stays null, with 0 lines; empty text has one empty line. Null doc_ids come after all
     others. Rows with equal doc_id and text keep the same lines each; with equal doc_id and other
     text the smaller digest comes first. Other columns stay inside ``row``."""
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     named = docs.select(doc.alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("digest"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     texts = docs.select(doc.alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("digest"), F.col("text").cast("string").alias("text")).where("text is not null")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import CANDIDATES, PACKED, Candidates, Packer, link, only_ids, partitions, runs_of, save, spread, unpack
+from .tables import CANDIDATES, PACKED, Candidates, Packer, link, only_ids, partitions, runs_of, save, ship, spread, unpack
 
 #: Sizes of one band differ by less than this factor. Linked sets are in one band or in two adjacent ones.
 BAND = 4 / 3
@@ -250,7 +250,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: float = 0.75,
     Rows with equal doc_id are separate documents. A null doc_id links like others and is
     never the component_id, unless the component has no other (then null). Other columns are
     ignored; an empty table gives an empty result."""
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = save(docs.mapInArrow(_stats(size, 3), _STATS), "stats")
     rows = table.where("shingles is null").drop("shingles")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import save
+from .tables import save, ship
 
 #: The model is fitted on at most about so many labelled rows, chosen by a hash of doc_id.
 FIT_ROWS = 200_000
@@ -234,7 +234,7 @@ def score(docs: DataFrame, labels: DataFrame, where: Column | None = None, fit_r
     0 and 1 and labels without a document are not used; with under 10 usable ones every score
     is 0.5. A null doc_id is scored and never fitted; repeated rows are scored alike. Other
     columns are ignored."""
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     stats = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measure, "doc_id long, x binary")
     stats = save(stats, "statistics")
     model = spark.sparkContext.broadcast(fit(stats, labels, F.lit(True) if where is None else where, fit_rows))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import PACKED, Packer, only_ids, partitions, save, spread, unpack
+from .tables import PACKED, Packer, only_ids, partitions, save, ship, spread, unpack
 
 #: For any two positions some shift below 7 takes both into this set modulo 7.
 PERIOD, COVER = 7, (0, 1, 3)
@@ -196,7 +196,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, keep_text: bool = False) -
     larger than another: its row keeps all words. Other columns are ignored."""
     if window < PERIOD + 1:
         raise ValueError(f"window must be over {PERIOD}")
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where("doc_id is not null")
     n_bytes = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

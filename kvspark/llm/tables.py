@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this subpackage to the executors, once for each application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_llm_shipped", None) is None:
+        here = Path(__file__).resolve().parent
+        where = Path(tempfile.mkdtemp(prefix="llm-code-"))
+        atexit.register(_remove_local, str(where))
+        with zipfile.ZipFile(where / "kvspark_llm.zip", "w") as z:
+            for f in [here.parent / "__init__.py", *sorted(here.glob("*.py"))]:
+                z.write(f, f.relative_to(here.parent.parent))
+        sc.addPyFile(str(where / "kvspark_llm.zip"))
+        sc._llm_shipped = True
+    return spark
+
+
 def _remove_local(path: str) -> None:
     import shutil
 

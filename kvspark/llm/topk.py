@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import save
+from .tables import save, ship
 
 #: Rows of one forward-index block, blocks of one group, and queries that are scored together.
 #: A task holds one group and one set of queries at a time.
@@ -144,7 +144,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0,
     no part. Shorter vectors count as if zeros followed. A row is never its own result: neither is
     another row with the same vec_id; other repeated rows are candidates each. Other columns are
     ignored; empty tables give an empty result."""
-    spark = vectors.sparkSession
+    spark = ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), queries.alias("q")).where("vec_id is not null and v is not null")
     n = rows.count()
     per_group = BLOCK_ROWS * GROUP_BLOCKS

@@ -10,15 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import save
+from .quality import isotonic
+from .tables import save, ship
 
 #: The model is fitted on at most about so many labelled rows, chosen by a hash of doc_id, and
 #: keeps at most so many tokens, those whose log-odds are the most certain.
-FIT_ROWS, FIT_TOKENS = 100_000, 50_000
+FIT_ROWS, FIT_TOKENS = 40_000, 50_000
 PRIOR = 50.0  # pseudo-documents of the Dirichlet prior
 SURE = 3.0  # standard errors that a token's log-odds must be from 0
 DRIFT = 0.15  # cost of each token without evidence
 MOST = 6.0
+#: A word's tokens are the word and its beginnings of so many bytes, which stand for its
+#: inflected and compound forms; the word takes the one that says most. What a token says is its
+#: log-odds less SAFE standard errors.
+PREFIXES = (4, 5, 6, 7, 8, 10, 12)
+SAFE = 1.5
 
 RESULT = "doc_id long, score double, best_segment double, n_segments int, segments array<struct<first:int,last:int,score:double>>"
 
@@ -29,21 +35,37 @@ class Model:
     value: np.ndarray
     rate: float = 1.0  # lambda of the segment score's extreme-value law
     log_k: float = 0.0
-    cut: float = 0.0  # evidence and slope of the logistic map
-    slope: float = 1.0
-
-    def scores(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.token) or not len(hashes):
-            return np.full(len(hashes), -DRIFT)
-        at = np.minimum(np.searchsorted(self.token, hashes), len(self.token) - 1)
-        return np.where(self.token[at] == hashes, self.value[at], 0.0) - DRIFT
+    cut: float = 0.0  # evidence at which a text is as likely toxic as not
+    knots: np.ndarray | None = None  # monotone map of evidence to probability
+    values: np.ndarray | None = None
+
+    def scores(self, w: K.Words) -> np.ndarray:
+        out = np.zeros(len(w.hashes))
+        if len(self.token):
+            for hashes, own in _tokens(w):
+                at = np.minimum(np.searchsorted(self.token, hashes), len(self.token) - 1)
+                hit = (self.token[at] == hashes) & (np.abs(self.value[at]) > np.abs(out[own]))
+                out[own[hit]] = self.value[at[hit]]
+        return out - DRIFT
 
     def evidence(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
         """How far the best segment lies above what a clean text of n tokens is likely to have."""
         return self.rate * best - np.log(np.maximum(n, 1)) - self.log_k
 
     def probability(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (self.evidence(best, n) - self.cut), -40, 40)))
+        e = self.evidence(best, n)
+        logistic = 1 / (1 + np.exp(-np.clip(e - self.cut, -40, 40)))
+        if self.knots is None:
+            return logistic
+        # the logistic part only orders texts that the monotone map leaves equal
+        return 0.99 * np.interp(e, self.knots, self.values) + 0.01 * logistic
+
+
+def _tokens(w: K.Words):
+    """(hashes, word numbers) of the words, then of their beginnings."""
+    yield w.hashes, np.arange(len(w.hashes))
+    for size in PREFIXES:
+        yield w.prefixes(size)
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -83,11 +105,12 @@ def _count(batches):
         docs, names = [], []
         for i, j, w in _rows(b):
             row = np.repeat(np.arange(i, j), np.diff(w.first))
-            order = np.lexsort((w.hashes, row))
-            r, h = row[order], w.hashes[order]
-            new = np.r_[True, (r[1:] != r[:-1]) | (h[1:] != h[:-1])][: len(r)]
-            docs.append(r[new])
-            names.append(h[new])
+            for hashes, own in _tokens(w):
+                order = np.lexsort((hashes, row[own]))
+                r, h = row[own][order], hashes[order]
+                new = np.r_[True, (r[1:] != r[:-1]) | (h[1:] != h[:-1])][: len(r)]
+                docs.append(r[new])
+                names.append(h[new])
         r, h = np.concatenate(docs or [np.zeros(0, np.int64)]), np.concatenate(names or [np.zeros(0, np.uint64)])
         token, at = np.unique(h, return_inverse=True)
         toxic = np.bincount(at, label[r] == 1, len(token)).astype(np.int64)
@@ -100,7 +123,7 @@ def _best(model: Model):
         for b in batches:
             best, n = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
             for i, j, w in _rows(b):
-                s = model.scores(w.hashes)
+                s = model.scores(w)
                 n[i:j] = np.diff(w.first)
                 for r in range(i, j):
                     best[r] = max((x[2] for x in maximal_segments(s[w.first[r - i] : w.first[r - i + 1]])), default=0.0)
@@ -140,9 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column, fit_rows: int = FIT_R
     odds = F.log(t / (nt + PRIOR - t + 1)) - F.log(c / (nc + PRIOR - c + 1))
     counted = counted.select("token", "c", odds.alias("odds"), (odds / F.sqrt(1 / t + 1 / c)).alias("z")).where(F.abs("z") >= SURE)
     top = counted.orderBy(F.desc(F.abs("z")), "token").limit(FIT_TOKENS).toArrow()
+    z = np.abs(top.column("z").to_numpy())
     token, odds, c = top.column("token").to_numpy().view(np.uint64), top.column("odds").to_numpy(), top.column("c").to_numpy()
     order = np.argsort(token)
-    model = Model(token[order], np.clip(odds[order], -MOST, MOST))
+    model = Model(token[order], np.clip(odds * np.maximum(1 - SAFE / z, 0), -MOST, MOST)[order])
     held = rows.select("text", "label", "held").where("held").select("text", "label").mapInArrow(_best(model), "label int, best double, n long").toArrow()
     label, best, n = (held.column(x).to_numpy() for x in ("label", "best", "n"))
     clean = label == 0
@@ -155,34 +179,19 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column, fit_rows: int = FIT_R
     # log K from the mean of the Gumbel law of clean texts' best segments
     model.log_k = float(np.mean(model.rate * best[clean] - np.log(np.maximum(n[clean], 1)))) - 0.5772
     e = model.evidence(best, n)
-    model.cut, model.slope = _logistic(e, label.astype(float))
+    model.knots, model.values = isotonic(e, label.astype(float))
+    over = np.flatnonzero(model.values >= 0.5)
+    model.cut = float(model.knots[over[0]]) if len(over) else float(e.max()) + 1
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Cut and positive slope of a lightly penalised logistic regression."""
-    centre, spread = x.mean(), x.std() + 1e-9
-    u = (x - centre) / spread
-    z = np.stack([np.ones_like(u), u], 1)
-    w = np.array([0.0, 1.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2)
-        step = np.linalg.solve(h, z.T @ (y - p) - 1e-2 * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    slope = max(w[1], 1e-3)
-    return float(centre - spread * w[0] / slope), float(slope / spread)
-
-
 def _apply(model):
     def run(batches):
         m = model.value
         for b in batches:
             best, n, segs = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64), []
             for i, j, w in _rows(b):
-                s = m.scores(w.hashes)
+                s = m.scores(w)
                 n[i:j] = np.diff(w.first)
                 for r in range(i, j):
                     own = maximal_segments(s[w.first[r - i] : w.first[r - i + 1]])
@@ -203,8 +212,8 @@ def score(docs: DataFrame, labels: DataFrame, where: Column | None = None, fit_r
     """Per row of ``docs``: doc_id, score (probability of a toxic text), best_segment, n_segments
     and segments (word positions and score of each significant passage).
 
-    Tokens get log-odds of toxic against clean documents under a Dirichlet prior; tokens without
-    clear evidence cost a little. All maximal scoring segments are found in linear time. The
+    Words and their beginnings get log-odds of toxic against clean documents under a Dirichlet
+    prior; words without clear evidence cost a little. All maximal scoring segments are found in linear time. The
     best one's score, held against the extreme-value law of clean texts of equal length, is
     mapped to a probability on fit rows that gave no token counts.
 
@@ -212,7 +221,7 @@ def score(docs: DataFrame, labels: DataFrame, where: Column | None = None, fit_r
     and 1 are not used; without at least three fit texts of either kind every score is 0. A null
     doc_id is scored and never fitted; repeated rows are scored alike and fitted once. Other
     columns are ignored."""
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = spark.sparkContext.broadcast(fit(docs, labels, F.lit(True) if where is None else where, fit_rows))
     return docs.mapInArrow(_apply(model), RESULT)
