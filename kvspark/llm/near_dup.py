@@ -19,7 +19,7 @@ BAND = 4 / 3
 #: frequent. At most (mean set size / share) shingles are, which bounds the broadcast list.
 FREQUENT_DOCS, FREQUENT_SHARE = 50, 2e-4
 
-_STATS = "node long, doc_id long, n long, d1 long, d2 long, band int, own binary, next binary, shingles binary"
+_STATS = "node long, doc_id long, text_hash long, n long, d1 long, d2 long, band int, own binary, next binary, shingles binary"
 
 
 def band_of(n: int) -> int:
@@ -127,13 +127,13 @@ def _stats(size: int, local: int):
             for r in range(len(ids)):
                 for k, v in zip(out, found[r] or (0, None, None, None, None, None)):
                     out[k].append(v)
-            cols = {"node": range(node, node + len(ids)), "doc_id": ids, **out, "shingles": [None] * len(ids)}
+            cols = {"node": range(node, node + len(ids)), "doc_id": ids, "text_hash": batch.column("text_hash"), **out, "shingles": [None] * len(ids)}
             node += len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in schema], schema=schema)
+            yield pa.RecordBatch.from_arrays([cols[f.name] if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], f.type) for f in schema], schema=schema)
         if near:
             yield often()
 
-    schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("band", pa.int32()), ("own", pa.binary()), ("next", pa.binary()), ("shingles", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("band", pa.int32()), ("own", pa.binary()), ("next", pa.binary()), ("shingles", pa.binary())])
     return run
 
 
@@ -235,7 +235,8 @@ def _same(size: int, threshold: float):
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, threshold: float = 0.75, small: int = 16) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, node and digests d1, d2.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, component (a number for
+    each component), node (a number for each row) and text_hash (xxhash64 of the text).
 
     Words are runs without ASCII white space, A-Z folded. A text's set holds its distinct
     ``size``-word shingles, or the whole word sequence if it is shorter. Two texts link when
@@ -251,7 +252,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: float = 0.75,
     never the component_id, unless the component has no other (then null). Other columns are
     ignored; an empty table gives an empty result."""
     spark = ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     table = save(docs.mapInArrow(_stats(size, 3), _STATS), "stats")
     rows = table.where("shingles is null").drop("shingles")
     n_docs, n_shingles = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -298,7 +300,25 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: float = 0.75,
 
     classes = nodes.join(comps, "node", "left").select("d1", "d2", "node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     lowest = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    classes = save(classes.join(lowest, "comp").select("d1", "d2", "component_id"), "classes")
-    full = rows.where("n > 0").join(classes, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node", "d1", "d2")
-    none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node", "d1", "d2")
-    return full.unionByName(none)
+    classes = save(classes.join(lowest, "comp").select("d1", "d2", "component_id", F.col("comp").alias("component")), "classes")
+    own = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "component", "node", "text_hash"]
+    full = rows.where("n > 0").join(classes, ["d1", "d2"]).select(*own)
+    return full.union(rows.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("component", F.col("node")).select(*own))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.75) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id (null last), then of
+    the smallest text_hash. Rows without words are components of their own and all stay."""
+    found = save(jaccard_components(docs, size, threshold), "components")
+    rank = F.struct(F.col("doc_id").isNull().alias("x"), F.coalesce("doc_id", F.lit(0)).alias("doc"), "text_hash")
+    kept = found.groupBy("component").agg(F.min(rank).alias("r")).select(F.col("r.x").alias("_kept_x"), F.col("r.doc").alias("_kept_doc"), F.col("r.text_hash").alias("_kept_hash"))
+    kept = save(kept.distinct(), "kept")
+    row = [F.col("doc_id").isNull().alias("_kept_x"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_kept_doc"), F.xxhash64(F.col("text").cast("string")).alias("_kept_hash")]
+    keys = ["_kept_x", "_kept_doc", "_kept_hash"]
+    named = docs.select(*row, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    out = only_ids(named, kept, keys)
+    again = found.where("n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1")
+    if again.take(1):  # whole rows that repeat
+        twice = save(again.select(F.col("doc_id").isNull().alias("_kept_x"), F.coalesce("doc_id", F.lit(0)).alias("_kept_doc"), F.col("text_hash").alias("_kept_hash")), "again")
+        out = only_ids(out, twice, keys, "left_anti").unionByName(only_ids(out, twice, keys).dropDuplicates(keys))
+    return out.select("row.*")

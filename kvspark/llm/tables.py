@@ -61,7 +61,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def only_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+def only_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``ids`` (``left_anti``: is not). ``ids`` is counted
     first; up to MAX_BROADCAST_IDS it is broadcast, beyond that both sides are shuffled."""
     small = ids.count() <= MAX_BROADCAST_IDS
