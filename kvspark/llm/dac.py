@@ -99,40 +99,109 @@ def _tokenizer(path: str):
 
 class Encoder:
     """Encodes whole texts. No token of a vocabulary that drops white space crosses it, so each
-    distinct run between white space is encoded once and the texts' ids are put together."""
+    distinct run between white space is encoded once and the texts' ids are put together.
+    A worker keeps what it has encoded."""
+
+    GROUP = 2000  # runs that are encoded in one text, between marks
+    KNOWN = 2_000_000  # runs whose ids a worker keeps
 
     def __init__(self, path: str, end_id: int):
         self.tokenizer, self.end = _tokenizer(path), end_id
+        # an added token that is cut out of a text before anything else parts the runs
+        self.mark, self.mark_id = min(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (t.lstrip or t.rstrip or t.normalized or t.single_word)), key=lambda x: x[1], default=(None, -1))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hash, self.half = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
 
-    def _new(self, chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _look_up(self, w: K.Words) -> np.ndarray:
+        """Where each run's ids are in the table of known runs; new runs are added."""
+        distinct, first, which = np.unique(w.hashes, return_index=True, return_inverse=True)
+        half = K.mix((w.sums[(w.starts[first] + w.ends[first]) // 2] - w.sums[w.starts[first]]) * K.powers(len(w.buf) + 1)[0][w.starts[first]]) + (w.ends[first] - w.starts[first]).astype(np.uint64)
+        if len(self.hash) > self.KNOWN:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.hash, distinct), max(len(self.hash) - 1, 0))
+        if len(self.hash):
+            found = self.hash[at] == distinct
+            if (self.half[at[found]] != half[found]).any():  # two runs with one hash
+                self._forget()
+                return self._look_up(w)
+        else:
+            found = np.zeros(len(distinct), bool)
+        new = np.flatnonzero(~found)
+        if len(new):
+            raw = w.buf.tobytes()
+            own = first[new]
+            flat, begin, size = self._ids([raw[s:e].decode(errors="replace") for s, e in zip(w.starts[own].tolist(), w.ends[own].tolist())])
+            order = np.argsort(np.concatenate([self.hash, distinct[new]]), kind="stable")
+            self.hash, self.half, self.begin, self.size = (np.concatenate(x)[order] for x in ((self.hash, distinct[new]), (self.half, half[new]), (self.begin, begin + len(self.flat)), (self.size, size)))
+            self.flat = np.concatenate([self.flat, flat])
+            at = np.searchsorted(self.hash, distinct)
+        return at[which]
+
+    def _ids(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of some runs, where each run's begin, and how many it has."""
+        # a run that holds the mark, or any run if there is no mark, is a text of its own
+        alone = [self.mark is None or self.mark in x for x in runs]
+        texts: list[str] = []
+        spans: list[list[int]] = []
+        group: list[int] = []
+        for i, own in enumerate(alone):
+            if own:
+                texts.append(runs[i])
+                spans.append([i])
+            else:
+                group.append(i)
+        for k in range(0, len(group), self.GROUP):
+            part = group[k : k + self.GROUP]
+            texts.append(self.mark.join([runs[i] for i in part]))
+            spans.append(part)
+        size = np.zeros(len(runs), np.int64)
+        order, ids = [], []
+        for span, e in zip(spans, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            own = np.array(e.ids, np.uint32)
+            if len(span) > 1:
+                cut = np.flatnonzero(own == self.mark_id)
+                size[span] = np.diff(np.r_[-1, cut, len(own)]) - 1
+                own = own[own != self.mark_id]
+            else:
+                size[span] = len(own)
+            order += span
+            ids.append(own)
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        begin = np.zeros(len(runs), np.int64)
+        begin[order] = np.cumsum(size[order]) - size[order]
+        return flat, begin, size
 
     def encode(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of some rows, each with the end id, and their numbers."""
+        """All ids of some rows, each row's followed by the end id, and how many each has."""
         w = K.words(buf, bounds, K.alphabet("space", False))
-        distinct, first, which = np.unique(w.hashes, return_index=True, return_inverse=True)
-        ids = self._new([w.text(k).decode(errors="replace") for k in first.tolist()])
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = np.array([v for x in ids for v in x], np.uint32)
-        begin = np.cumsum(size) - size
-        n = size[which] if len(which) else np.zeros(0, np.int64)
+        at = self._look_up(w) if len(w.hashes) else np.zeros(0, np.int64)
+        n = self.size[at]
         row = np.repeat(np.arange(len(bounds) - 1), np.diff(w.first))
         per_row = np.bincount(row, weights=n, minlength=len(bounds) - 1).astype(np.int64) + 1
         out = np.full(int(per_row.sum()), self.end, np.uint32)
         total = int(n.sum())
         if total:
-            source = np.arange(total) + np.repeat(begin[which] - (np.cumsum(n) - n), n)
+            source = np.arange(total) + np.repeat(self.begin[at] - (np.cumsum(n) - n), n)
             target = np.arange(total) + np.repeat(row, n)  # one end id for each earlier row
-            out[target] = flat[source]
+            out[target] = self.flat[source]
         return out, per_row
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str, end_id: int) -> Encoder:
+    return Encoder(path, end_id)
+
+
 def _write(path: str, end_id: int, segment_ids: int):
     def run(batches):
         from pyspark import TaskContext
 
         shard, segment = TaskContext.get().partitionId(), 0
-        encoder = Encoder(path, end_id)
+        encoder = _encoder(path, end_id)
         docs, sizes, ids, n = [], [], [], 0
 
         def close():
@@ -145,7 +214,7 @@ def _write(path: str, end_id: int, segment_ids: int):
         for b in batches:
             doc = b.column("doc_id").to_numpy(zero_copy_only=False)
             buf, bounds = K.text_buffers(b.column("text"))
-            for i, j in K.slices(bounds, 8 << 20):
+            for i, j in K.slices(bounds):
                 out, per_row = encoder.encode(buf, bounds[i : j + 1])
                 docs.append(doc[i:j].astype(np.int64))
                 sizes.append(per_row)
