@@ -57,32 +57,51 @@ def _emit_anchors(window: int, labels: list[int]):
     return run
 
 
-def _per_doc(doc: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each document with its values packed."""
+def _send(packer: Packer, doc: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sends values back to their documents, packed by a hash of doc_id."""
     order = np.argsort(doc, kind="stable")
     doc, value = doc[order], value[order]
-    cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []
-    ends = np.r_[cuts[1:], len(doc)] if len(doc) else []
-    for k in range(0, len(cuts), 5000):
-        some = list(zip(cuts[k : k + 5000], ends[k : k + 5000]))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[cuts[k : k + 5000]], pa.int64()), pa.array([value[s:e].tobytes() for s, e in some], pa.binary())], ["doc_id", "hits"])
-
-
-def _shared(batches):
-    """Documents and the anchors they share with another document."""
-    for key, doc, _ in unpack(batches).values():
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[start, len(key)])
-        several = doc[start] != doc[start + size - 1]
-        keep = np.repeat(several, size)
-        yield from _per_doc(doc[keep], (key[keep] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-
-
-def _marked(b: pa.RecordBatch, row: int, dtype) -> np.ndarray:
+    names, at = np.unique(doc, return_inverse=True)
+    route = K.mix(names.view(np.uint64))
+    for k in range(0, len(names), 20_000):
+        lo, hi = np.searchsorted(at, [k, k + 20_000])
+        for s in range(lo, hi, 1_000_000):
+            own = at[s : min(hi, s + 1_000_000)]
+            yield from packer.add(names[k : k + 20_000], route[own], own - k, value[s : min(hi, s + 1_000_000)])
+
+
+def _shared(labels: list[int]):
+    """The anchors that documents share with another document, sent back to them."""
+
+    def run(batches):
+        packer = Packer(labels)
+        for key, doc, _ in unpack(batches).values():
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[start, len(key)])
+            keep = np.repeat(doc[start] != doc[start + size - 1], size)
+            yield from _send(packer, doc[keep], key[keep])
+        yield from packer.flush()
+
+    return run
+
+
+def _gather(batches):
+    """One row for each document with all that was sent back to it."""
+    for _, doc, value in unpack(batches).values():
+        order = np.argsort(doc, kind="stable")
+        doc, value = doc[order], value[order]
+        cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        ends = np.r_[cuts[1:], len(doc)]
+        for k in range(0, len(cuts), 5000):
+            blobs = [value[s:e].tobytes() for s, e in zip(cuts[k : k + 5000], ends[k : k + 5000])]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[cuts[k : k + 5000]], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "hits"])
+
+
+def _marked(b: pa.RecordBatch, row: int) -> np.ndarray:
     """The values that a document got back, sorted."""
-    return np.sort(np.frombuffer(b"".join(b.column("hits")[row].as_py()), dtype))
+    return np.sort(np.frombuffer(b.column("hits")[row].as_buffer(), np.uint64))
 
 
 def _isin(x: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -108,7 +127,7 @@ def _emit_windows(window: int, labels: list[int]):
             ids = b.column("doc_id").to_numpy()
             for i, j, w in _slices(b):
                 at, row, key = anchors(w, window)
-                low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                low = key & np.uint64(0xFFFF_FFFF_FFFF)
                 one = K.window_hashes(w.hashes, window)
                 two = K.window_hashes(w.hashes, window, 0x7F4A7C15)
                 for r in range(i, j):
@@ -116,7 +135,7 @@ def _emit_windows(window: int, labels: list[int]):
                     if hi - lo < window:
                         continue
                     own = slice(*np.searchsorted(row, [r - i, r - i + 1]))
-                    hit = at[own][_isin(low[own], _marked(b, r, np.uint32))] - lo
+                    hit = at[own][_isin(low[own], _marked(b, r))] - lo
                     starts = np.zeros(hi - lo + PERIOD, bool)
                     for s in range(PERIOD):
                         starts[hit + PERIOD - 1 - s] = True  # the window begins s words before its anchor
@@ -129,15 +148,20 @@ def _emit_windows(window: int, labels: list[int]):
     return run
 
 
-def _later(batches):
-    """Documents and those of their windows that a smaller document has."""
-    for key, doc, extra in unpack(batches).values():
-        order = np.lexsort((doc, extra, key))
-        key, extra, doc = key[order], extra[order], doc[order]
-        start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (extra[1:] != extra[:-1])])
-        least = np.repeat(doc[start], np.diff(np.r_[start, len(key)]))
-        late = doc > least
-        yield from _per_doc(doc[late], extra[late])
+def _later(labels: list[int]):
+    """Those windows of documents that a smaller document has, sent back to them."""
+
+    def run(batches):
+        packer = Packer(labels)
+        for key, doc, extra in unpack(batches).values():
+            order = np.lexsort((doc, extra, key))
+            key, extra, doc = key[order], extra[order], doc[order]
+            start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (extra[1:] != extra[:-1])])
+            late = doc > np.repeat(doc[start], np.diff(np.r_[start, len(key)]))
+            yield from _send(packer, doc[late], extra[late])
+        yield from packer.flush()
+
+    return run
 
 
 def _cut(window: int, repeats: bool):
@@ -151,7 +175,7 @@ def _cut(window: int, repeats: bool):
                     lo, hi = w.first[r - i], w.first[r - i + 1]
                     gone = None
                     if repeats and hi - lo >= window:
-                        marked = _isin(two[lo : hi - window + 1], _marked(b, r, np.uint64))
+                        marked = _isin(two[lo : hi - window + 1], _marked(b, r))
                         gone = _forward(marked, hi - lo, window)
                     at = np.arange(lo, hi) if gone is None else np.arange(lo, hi)[~gone]
                     text = _join(w.buf, w.starts[at], w.ends[at])
@@ -202,16 +226,18 @@ def remove_repeats(docs: DataFrame, window: int = 13, keep_text: bool = False) -
     n_bytes = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # about one anchor for 15 bytes of text, 8 bytes each
     parts = partitions(spark, n_bytes * 0.55)
-    packed = known.mapInArrow(_emit_anchors(window, spread(spark, parts)), PACKED)
-    shared = save(packed.repartition(parts, "part").mapInArrow(_shared, "doc_id long, hits binary"), "anchors")
+    labels = spread(spark, parts)
+
+    def traced(packed: DataFrame, find, name: str) -> DataFrame:
+        back = packed.repartition(parts, "part").mapInArrow(find(labels), PACKED)
+        return save(back.repartition(parts, "part").mapInArrow(_gather, "doc_id long, hits binary"), name)
 
     def returned(hits: DataFrame) -> DataFrame:
-        some = only_ids(known, hits.select("doc_id").distinct(), "doc_id")
-        return some.join(hits.groupBy("doc_id").agg(F.collect_list("hits").alias("hits")), "doc_id").select("doc_id", "text", "hits")
+        return only_ids(known, hits.select("doc_id"), "doc_id").join(hits, "doc_id").select("doc_id", "text", "hits")
 
-    packed = returned(shared).mapInArrow(_emit_windows(window, spread(spark, parts)), PACKED)
-    late = save(packed.repartition(parts, "part").mapInArrow(_later, "doc_id long, hits binary"), "windows")
+    shared = traced(known.mapInArrow(_emit_anchors(window, labels), PACKED), _shared, "anchors")
+    late = traced(returned(shared).mapInArrow(_emit_windows(window, labels), PACKED), _later, "windows")
     schema = _RESULT + ", kept string"
-    ids = late.select("doc_id").distinct()
+    ids = late.select("doc_id")
     out = returned(late).mapInArrow(_cut(window, True), schema).union(only_ids(docs, ids, "doc_id", "left_anti").select("doc_id", "text").mapInArrow(_cut(window, False), schema))
     return out if keep_text else out.drop("kept")
