@@ -15,7 +15,7 @@ from .tables import save, ship
 
 #: The model is fitted on at most about so many labelled rows, chosen by a hash of doc_id, and
 #: keeps at most so many tokens, those whose log-odds are the most certain.
-FIT_ROWS, FIT_TOKENS = 40_000, 50_000
+FIT_ROWS, FIT_TOKENS = 25_000, 50_000
 PRIOR = 50.0  # pseudo-documents of the Dirichlet prior
 SURE = 3.0  # standard errors that a token's log-odds must be from 0
 DRIFT = 0.15  # cost of each token without evidence
@@ -99,23 +99,25 @@ def _rows(batch: pa.RecordBatch):
 
 
 def _count(batches):
-    """Documents of each label that have a token, and all documents."""
+    """Documents of each label that have a token, and all documents, for a few documents at a time."""
     for b in batches:
         label = b.column("label").to_numpy()
-        docs, names = [], []
         for i, j, w in _rows(b):
             row = np.repeat(np.arange(i, j), np.diff(w.first))
+            docs, names = [], []
             for hashes, own in _tokens(w):
                 order = np.lexsort((hashes, row[own]))
                 r, h = row[own][order], hashes[order]
                 new = np.r_[True, (r[1:] != r[:-1]) | (h[1:] != h[:-1])][: len(r)]
                 docs.append(r[new])
                 names.append(h[new])
-        r, h = np.concatenate(docs or [np.zeros(0, np.int64)]), np.concatenate(names or [np.zeros(0, np.uint64)])
-        token, at = np.unique(h, return_inverse=True)
-        toxic = np.bincount(at, label[r] == 1, len(token)).astype(np.int64)
-        every = np.bincount(at, minlength=len(token)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(toxic), pa.array(every - toxic)], ["token", "t", "c"])
+            r, h = np.concatenate(docs), np.concatenate(names)
+            token, at = np.unique(h, return_inverse=True)
+            toxic = np.bincount(at, label[r] == 1, len(token)).astype(np.int64)
+            every = np.bincount(at, minlength=len(token)).astype(np.int64)
+            for k in range(0, len(token), 50_000):
+                part = slice(k, k + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)[part]), pa.array(toxic[part]), pa.array((every - toxic)[part])], ["token", "t", "c"])
 
 
 def _best(model: Model):
