@@ -206,7 +206,7 @@ SQL: dict[str, str] = {
     "filter_stats": f"WITH {FILTERS} SELECT level, run, checks, positives, false_positives, round(theoretical_fp, 12) AS theoretical_fp FROM fs",
     "filter_stats_summary": f"""WITH {FILTERS} SELECT coalesce(level, -1) AS level, count(*) AS runs, CAST(sum(checks) AS BIGINT) AS checks, CAST(sum(positives) AS BIGINT) AS positives, CAST(sum(false_positives) AS BIGINT) AS false_positives,
         round(avg(bits_per_entry), 9) AS bits_per_entry, round(avg(theoretical_fp), 9) AS theoretical_fp, round(CASE WHEN sum(positives) = 0 THEN 0 ELSE CAST(sum(false_positives) AS DOUBLE) / sum(positives) END, 9) AS observed_fp
-        FROM fs GROUP BY ROLLUP (level)""",
+        FROM fs GROUP BY ROLLUP (level) HAVING count(*) > 0""",
     "codec_bitpack_size": f"WITH {SIZES} SELECT run, block, n, key_bits, value_bits, bytes FROM packed_bytes",
     "codec_delta_size": f"WITH {SIZES} SELECT run, block, n, bytes FROM delta",
     "codec_dictionary": """SELECT key, value, n, CAST(row_number() OVER (ORDER BY n DESC, key, value) - 1 AS INTEGER) AS code FROM (
