@@ -13,24 +13,27 @@ def build(keys: DataFrame, bits: int, key: str = "key") -> DataFrame:
     return keys.select(F.explode(F.array(*positions(F.col(key), bits))).alias("bit")).distinct()
 
 
+#: Filters of up to so many bits are a constant of the plan; larger ones are joined.
+CONSTANT_BITS = 1 << 18
+
+
 def probe(keys: DataFrame, filter_bits: DataFrame, bits: int, key: str = "key") -> DataFrame:
-    """Adds ``may_contain``. The bits become one byte a position, bounded by the filter's size."""
-    spark = keys.sparkSession
+    """Adds ``may_contain``. A small filter becomes a constant array of words, so that probing is
+    one expression; a large one is joined bit by bit."""
+    where = positions(F.col(key), bits)
+    if bits > CONSTANT_BITS:
+        numbered = keys.withColumn("_row", F.monotonically_increasing_id()).persist()
+        asked = numbered.select("_row", F.explode(F.array_distinct(F.array(*where))).alias("bit"))
+        missing = asked.join(filter_bits, "bit", "left_anti").select("_row").distinct().withColumn("_missing", F.lit(True))
+        return numbered.join(missing, "_row", "left").withColumn("may_contain", F.col("_missing").isNull()).drop("_row", "_missing")
     packed = filter_bits.groupBy(F.floor(F.col("bit") / 32).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("bit") % 32).cast("int"))).alias("m"))
     words = dict(packed.collect())
-    table = F.array(*(F.lit(int(words.get(i, 0))) for i in range(-(-bits // 32)))) if bits <= 4096 else None
-    if table is None:
-        # one row with the whole filter
-        rows = [(([int(words.get(i, 0)) for i in range(-(-bits // 32))]),)]
-        one = spark.createDataFrame(rows, "m array<bigint>")
-        keys = keys.join(F.broadcast(one), F.lit(True))
-        table = F.col("m")
+    table = F.lit([int(words.get(i, 0)) for i in range(-(-bits // 32))]).cast("array<bigint>")
     ok = F.lit(True)
-    for p in positions(F.col(key), bits):
+    for p in where:
         word = F.get(table, F.floor(p / 32).cast("int"))
-        ok = ok & (F.expr("1L").bitwiseAND(F.call_function("shiftright", word, (p % 32).cast("int"))) == 1)
-    out = keys.withColumn("may_contain", ok)
-    return out.drop("m") if "m" in out.columns else out
+        ok = ok & (F.lit(1).cast("bigint").bitwiseAND(F.call_function("shiftright", word, (p % 32).cast("int"))) == 1)
+    return keys.withColumn("may_contain", ok)
 
 
 def sketch(df: DataFrame, col: str, expected: int, rate: float):

@@ -84,12 +84,14 @@ class Store:
             raise InvalidInput(f"unknown codec: {name}")
         return known[name]
 
+    def _options(self, writer, level: int):
+        # integers take delta encoding; a key's Bloom filter lets point reads skip files
+        return writer.option("compression", self.codec(level)).option("parquet.writer.version", "PARQUET_2_0").option("parquet.bloom.filter.enabled#key", "true")
+
     def _write(self, merged: DataFrame, level: int, run_seq: int) -> dict | None:
         folder = f"runs/{level}/{run_name(level, run_seq)}-{uuid.uuid4().hex[:8]}"
         writer = merged.repartitionByRange("key").sortWithinPartitions("key").write.option("maxRecordsPerFile", FILE_ROWS)
-        # integers take delta encoding; a key's Bloom filter lets point reads skip files
-        writer = writer.option("compression", self.codec(level)).option("parquet.writer.version", "PARQUET_2_0").option("parquet.bloom.filter.enabled#key", "true")
-        writer.parquet(f"{self.path}/{folder}")
+        self._options(writer, level).parquet(f"{self.path}/{folder}")
         s = self.spark.read.schema(ENTRIES).parquet(f"{self.path}/{folder}").agg(F.count("*"), F.min("key"), F.max("key"), F.count_if("dead"), F.max("seq")).first()
         if not s[0]:
             return None
@@ -120,16 +122,26 @@ class Store:
         self._commit([*self.manifest, row])
         return True
 
-    def ingest(self, log: DataFrame) -> None:
-        """Appends and flushes a log in windows of the buffer's size, compacting where due."""
-        size = self.config.buffer_entries
-        low, high = log.agg(F.min("seq"), F.max("seq")).first()
-        if low is None:
-            return
-        for start in range(low // size * size, high + 1, size):
-            self.append(log.where((F.col("seq") >= start) & (F.col("seq") < start + size)))
-            self.flush()
+    def ingest(self, log: DataFrame) -> int:
+        """Flushes a whole log in windows of the buffer's size, in one job: a run for each window,
+        older windows first. Compaction follows where it is due. Returns the number of runs."""
+        self.flush()
+        window = F.floor(F.col("seq") / self.config.buffer_entries).cast("bigint")
+        merged = resolve.entries(log).withColumn("window", window).groupBy("window", "key").agg(F.max_by("value", "seq").alias("value"), F.max_by("dead", "seq").alias("dead"), F.max("seq").alias("seq"))
+        folder = f"runs/0/batch-{uuid.uuid4().hex[:8]}"
+        writer = merged.repartitionByRange("window", "key").sortWithinPartitions("window", "key").select("window", *ENTRIES.names).write.option("maxRecordsPerFile", FILE_ROWS)
+        self._options(writer, 0).partitionBy("window").parquet(f"{self.path}/{folder}")
+        written = self.spark.read.schema("key long, value long, dead boolean, seq long, window long").parquet(f"{self.path}/{folder}")
+        stats = written.groupBy("window").agg(F.count("*"), F.min("key"), F.max("key"), F.count_if("dead"), F.max("seq")).collect()
+        first, rows = self._next(0, self.manifest), []
+        for i, r in enumerate(sorted(stats)):
+            rows.append({"level": 0, "run_seq": first + i, "path": f"{folder}/window={r[0]}", "entries": r[1], "min_key": r[2], "max_key": r[3], "tombstones": r[4], "max_seq": r[5], "blocks": -(-r[1] // self.config.block_entries)})
+            self.written += r[1]
+            self.ingested += r[1]
+        if rows:
+            self._commit([*self.manifest, *rows])
             self.compact_if_needed()
+        return len(rows)
 
     # compaction -----------------------------------------------------------
 
@@ -166,8 +178,9 @@ class Store:
             fs.delete(where, True)
 
     def collect_garbage(self) -> int:
-        """Deletes run folders that no manifest row names; returns how many."""
-        live = {x["path"].rsplit("/", 1)[-1] for x in self.manifest}
+        """Deletes run folders that no manifest row names; returns how many. Folders of a batch go
+        with their last run."""
+        live = {x["path"].split("/")[2] for x in self.manifest}
         gone = 0
         for level in {x["level"] for x in self.manifest} | {0}:
             where, fs = self._fs(f"{self.path}/runs/{level}")

@@ -57,7 +57,7 @@ def test_prefixes(spark):
 def test_filters(spark):
     keys = spark.range(-3000, 3000).select((F.col("id") * 7919).alias("key"))
     members = keys.where("key % 2 = 0")
-    for bits in (4096, 65_536):
+    for bits in (4096, 65_536, 1 << 19):
         probed = membership.probe(keys, membership.build(members, bits), bits)
         r = membership.rates(probed, members).first()
         assert r.false_negatives == 0 and r.positives == 3000 + r.false_positives

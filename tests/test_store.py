@@ -71,8 +71,14 @@ def test_nothing_is_dropped(spark, tmp_path):
     config = StoreConfig(buffer_pages=1)
     assert config.buffer_entries == 256
     store = Store(spark, str(tmp_path), config)
-    store.ingest(log_of(spark, [("p", i, i) for i in range(1100)]))
-    assert store.image().count() == 1100
+    assert store.ingest(log_of(spark, [("p", i, i) for i in range(1100)])) == 5
+    assert store.image().count() == 1100 and [x["level"] for x in store.manifest] == [1]
+    rows = random_log(random.Random(3), 700, 9)
+    other = Store(spark, str(tmp_path / "b"), StoreConfig(buffer_pages=1, threshold=10))
+    put(spark, other, rows[:5], 0)
+    other.ingest(log_of(spark, rows).where("seq >= 5"))
+    assert len(other.manifest) == 4 and content(other) == Dict(rows).live == content(Store(spark, str(tmp_path / "b"), other.config))
+    assert other.collect_garbage() == 0 and other.validate().count() == 0
     assert store.write_amplification() >= 1
 
 
