@@ -57,5 +57,13 @@ def adaptive_flat(raw_bytes: Column, sequential: Column, key_range: Column, repe
     )
 
 
+def for_level(level: Column, own: dict[int, str], first: str, lower: str) -> Column:
+    """A level's own codec, else that of level 0 or of the levels below."""
+    out = F.when(level == 0, first).otherwise(lower)
+    for k, name in own.items():
+        out = F.when(level == k, name).otherwise(out)
+    return out
+
+
 def lz4_estimate(raw_bytes: Column) -> Column:
     return F.lit(4) + F.floor(raw_bytes * 3 / 4)

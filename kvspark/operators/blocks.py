@@ -31,6 +31,11 @@ def zone_map(blocked: DataFrame, run: str = "run") -> DataFrame:
     return blocked.groupBy(run, "block").agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.count("*").alias("entries"))
 
 
+def load_blocks(blocked: DataFrame, wanted: DataFrame, run: str = "run") -> DataFrame:
+    """The entries of the wanted (run, block) rows, once each."""
+    return blocked.join(wanted.select(run, "block").distinct(), [run, "block"], "left_semi")
+
+
 def find_points(zones: DataFrame, probes: DataFrame, run: str = "run") -> DataFrame:
     """(key, run, block) of each block that may hold a probe's key."""
     z = zones.select(run, "block", F.col("min_key").alias("start"), (F.col("max_key") + 1).alias("end"))

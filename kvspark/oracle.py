@@ -187,6 +187,8 @@ SQL: dict[str, str] = {
     "fence_zone_map": f"WITH {BLOCKED} SELECT run, block, min_key, max_key, entries FROM zones",
     "fence_point": f"WITH {BLOCKED} SELECT p.key, run, block FROM (SELECT unnest(range(-10, 20000, 13)) AS key) p JOIN zones ON min_key <= p.key AND max_key >= p.key",
     "fence_range": f"WITH {BLOCKED} SELECT run, block FROM zones WHERE min_key < 5000 AND max_key >= 500",
+    "load_blocks": f"WITH {BLOCKED} SELECT p.run, p.block, p.key, p.value FROM placed p JOIN zones z ON p.run = z.run AND p.block = z.block WHERE min_key < 900 AND max_key >= 500",
+    "codec_by_level": "SELECT CAST(unnest(range(5)) AS INTEGER) AS level, unnest(['none', 'snappy', 'delta', 'snappy', 'snappy']) AS codec",
     "fence_two_level": f"WITH {BLOCKED} SELECT run, block // {RATIO} AS guide, min(min_key) AS min_key, max(max_key) AS max_key, count(*) AS blocks FROM zones GROUP BY run, block // {RATIO}",
     "fence_two_level_point": f"WITH {BLOCKED} SELECT run, block FROM zones WHERE min_key <= 7777 AND max_key >= 7777",
     "fence_prefix": f"""WITH {KV}, wide AS (SELECT (key % 7 - 3) * 4294967296 + value AS k FROM kv)

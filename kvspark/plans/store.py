@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import resolve
 from ..schema import ENTRIES, ENTRY_BYTES, InvalidInput, StoreConfig, run_name
+from ..sources import logs
 from .compaction import PartialTiered, Policy, RunInfo, make_policy
 
 #: Rows of one file of a run.
@@ -143,6 +144,21 @@ class Store:
             self.compact_if_needed()
         return len(rows)
 
+    def load(self, path: str) -> dict:
+        """Executes the puts and deletes of command files as one change, then flushes: readers see
+        all of them or none. Returns loaded, failed and the reply. Sequence numbers follow those
+        that the store has."""
+        parsed = logs.commands(self.spark.read.text(path))
+        report = logs.load_report(parsed).first().asDict()
+        seen = [x["max_seq"] for x in self.manifest]
+        if self.pending is not None:
+            seen.append(self.pending.agg(F.max("seq")).first()[0])
+        last = max((x for x in seen if x is not None), default=-1)
+        self.append(logs.mutations(parsed).withColumn("seq", F.col("seq") + last + 1))
+        self.flush()
+        self.compact_if_needed()
+        return report
+
     # compaction -----------------------------------------------------------
 
     def compact_level(self, level: int) -> bool:

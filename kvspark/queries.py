@@ -319,6 +319,20 @@ def fence_range(spark, sf):
     return blocks.find_ranges(blocks.zone_map(_blocked(spark, sf)), 500, 5000).select("run", "block")
 
 
+@query
+def load_blocks(spark, sf):
+    """The pairs of the blocks that a range may touch."""
+    b = _blocked(spark, sf)
+    return blocks.load_blocks(b, blocks.find_ranges(blocks.zone_map(b), 500, 900)).select("run", "block", "key", "value")
+
+
+@query
+def codec_by_level(spark, sf):
+    """Codec of each level: its own, else the first or the lower levels' default."""
+    levels = spark.range(5).select(F.col("id").cast("int").alias("level"))
+    return levels.select("level", codecs.for_level(F.col("level"), {2: "delta"}, "none", "snappy").alias("codec"))
+
+
 @query
 def fence_two_level(spark, sf):
     return blocks.guide(blocks.zone_map(_blocked(spark, sf)), RATIO)

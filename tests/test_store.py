@@ -106,6 +106,16 @@ def test_tombstones_survive(spark, tmp_path):
     assert sum(x["tombstones"] for x in again.manifest) == 3
 
 
+def test_load(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    put(spark, store, [("p", 10, 1), ("p", 30, 1)], 7)
+    (tmp_path / "a.txt").write_text("p 10 1000\np 20 2000\np 30 3000\nd 30\n")
+    assert store.load(str(tmp_path / "a.txt"))["reply"] == "Loaded 4 commands from file (0 failed)"
+    assert content(store) == {10: 1000, 20: 2000} == content(Store(spark, str(tmp_path / "s")))
+    (tmp_path / "b.txt").write_text("p 10\ng\nx 10 20\nd 20\n")
+    assert store.load(str(tmp_path / "b.txt"))["failed"] == 3 and content(store) == {10: 1000}
+
+
 def test_flush_of_nothing(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     assert not store.flush() and store.manifest == []
