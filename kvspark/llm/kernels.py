@@ -19,7 +19,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 #: Texts are handled in slices of about so many bytes, which bounds the scratch arrays.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import CANDIDATES, PACKED, Candidates, Packer, link, only_ids, partitions, runs_of, save, ship, spread, unpack
+from .tables import CANDIDATES, PACKED, Candidates, Packer, known, link, only_ids, partitions, runs_of, save, ship, spread, unpack
 
 #: Sizes of one band differ by less than this factor. Linked sets are in one band or in two adjacent ones.
 BAND = 4 / 3
@@ -22,6 +23,7 @@ FREQUENT_DOCS, FREQUENT_SHARE = 50, 2e-4
 _STATS = "node long, doc_id long, text_hash long, n long, d1 long, d2 long, band int, own binary, next binary, shingles binary"
 
 
+@lru_cache(maxsize=1 << 16)
 def band_of(n: int) -> int:
     k = int(math.log(n) / math.log(BAND))
     while math.ceil(BAND ** (k + 1)) <= n:
@@ -31,6 +33,7 @@ def band_of(n: int) -> int:
     return k
 
 
+@lru_cache(maxsize=1 << 10)
 def _most(band: int) -> int:
     return math.ceil(BAND ** (band + 1)) - 1
 
@@ -38,7 +41,7 @@ def _most(band: int) -> int:
 def sketch(shingles: np.ndarray, band: int) -> bytes:
     """One bit per hash bucket: the parity of the shingles in it. The Hamming distance of
     two sketches never exceeds the sets' symmetric difference."""
-    bits = 64 * max(1, math.ceil(2 * _most(band) / 64))
+    bits = 64 * max(1, math.ceil(3 * _most(band) / 64))
     at = K.scale(K.mix(shingles + K.U64(band * 2 + 1)), bits).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -77,16 +80,72 @@ def block_keys(shingles: np.ndarray, band: int, threshold: float, frequent: np.n
     return key[np.lexsort((key, -size, -rare))[: d + 1]]
 
 
+def slice_keys(sets: list[np.ndarray], threshold: float, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, key) of :func:`block_keys` in each set's own and next band, for many sets."""
+    n = np.array([len(s) for s in sets])
+    whole = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), n)
+    common = np.zeros(len(whole), bool)
+    if len(frequent):
+        pos = np.minimum(np.searchsorted(frequent, whole), len(frequent) - 1)
+        common = frequent[pos] == whole
+    first = np.array([band_of(k) for k in n.tolist()])
+    names, keys = [], []
+    for band in (first, first + 1):
+        most = np.array([_most(k) for k in band.tolist()])
+        d = most_apart(most, most, threshold)
+        blocks = 2 * (d + 1) + 8
+        seed = (band * 7919 + 1).astype(np.uint64)[owner]
+        at = ((K.mix(whole ^ seed) >> K.U64(32)) * blocks.astype(np.uint64)[owner] >> K.U64(32)).astype(np.int64)
+        place = owner << 32 | at
+        order = np.argsort(place)
+        place, h = place[order], whole[order]
+        start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        xor = np.bitwise_xor.reduceat(h, start)
+        size = np.diff(np.r_[start, len(h)])
+        rare = np.add.reduceat((~common[order]).astype(np.int64), start)
+        own, at = place[start] >> 32, place[start] & 0xFFFFFFFF
+        key = K.mix(xor + K.mix(at.astype(K.U64) * K.U64(4096) + band.astype(np.uint64)[own]))
+        # by set, then many rare shingles, many shingles, small key
+        order = np.argsort(key)
+        rank = own[order] << 40 | (0xFFFFF - np.minimum(rare, 0xFFFFF))[order] << 20 | (0xFFFFF - np.minimum(size, 0xFFFFF))[order]
+        order = order[np.argsort(rank, kind="stable")]
+        own, key = own[order], key[order]
+        begin = np.searchsorted(own, np.arange(len(sets) + 1))
+        keep = np.arange(len(own)) - begin[own] <= d[own]
+        full = np.diff(begin) > d
+        keep &= full[own]
+        names.append(own[keep])
+        keys.append(key[keep])
+        for k in np.flatnonzero(~full).tolist():  # empty blocks belong to these sets' keys
+            more = block_keys(sets[k], int(band[k]), threshold, frequent)
+            names.append(np.full(len(more), k))
+            keys.append(more)
+    return np.concatenate(names), np.concatenate(keys)
+
+
 def _sets(batch: pa.RecordBatch, size: int):
-    """(row, distinct shingles) of each row that has words."""
+    """Rows that have words and their sets of distinct shingles, a slice at a time."""
     alpha = K.alphabet("space", True)
     buf, bounds = K.text_buffers(batch.column("text"))
     for i, j in K.slices(bounds):
         w = K.words(buf, bounds[i : j + 1], alpha)
-        for r in range(i, j):
-            h = w.hashes[w.first[r - i] : w.first[r - i + 1]]
-            if len(h):
-                yield r, K.shingle_set(h, size)
+        g = K.window_hashes(w.hashes, size)
+        rows, sets = [], []
+        for r, (lo, hi) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist()), i):
+            if hi > lo:
+                rows.append(r)
+                sets.append(_distinct(g[lo : hi - size + 1]) if hi - lo >= size else K.shingle_set(w.hashes[lo:hi], size))
+        if rows:
+            yield rows, sets
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    keep = np.empty(len(x), bool)
+    keep[:1] = True
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -96,6 +155,11 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(x.view(np.int64)[0]), int(x.view(np.int64)[1])
 
 
+def tag_of(d1: int, n: int) -> int:
+    """A set's name in blobs: 44 bits of its digest and its size, up to 20 bits."""
+    return (d1 & ~0xFFFFF) | min(n, 0xFFFFF)
+
+
 def _stats(size: int, local: int):
     """Rows of documents, and lists of shingles that are in ``local`` or more documents nearby."""
 
@@ -116,11 +180,12 @@ def _stats(size: int, local: int):
             ids = batch.column("doc_id").to_pylist()
             out = {x: [] for x in ("n", "d1", "d2", "band", "own", "next")}
             found = dict.fromkeys(range(len(ids)))
-            for r, s in _sets(batch, size):
-                band = band_of(len(s))
-                found[r] = (len(s), *digest(s), band, sketch(s, band), sketch(s, band + 1))
-                near.append(s)
-                pending += len(s)
+            for rows, sets in _sets(batch, size):
+                for r, s in zip(rows, sets):
+                    band = band_of(len(s))
+                    found[r] = (len(s), *digest(s), band, sketch(s, band), sketch(s, band + 1))
+                near += sets
+                pending += sum(map(len, sets))
                 if pending > 4_000_000:
                     yield often()
                     near, pending = [], 0
@@ -149,26 +214,36 @@ def _keys(size: int, threshold: float, frequent: np.ndarray, labels: list[int]):
         packer = Packer(labels)
         done: set[tuple[int, int]] = set()
         for batch in batches:
-            for _, s in _sets(batch, size):
-                d = digest(s)
-                if d in done:  # a copy in the same task adds nothing
-                    continue
+            for _, sets in _sets(batch, size):
+                new, tags = [], []
+                for s in sets:
+                    d = digest(s)
+                    if d not in done:  # a copy in the same task adds nothing
+                        done.add(d)
+                        new.append(s)
+                        tags.append(tag_of(d[0], len(s)))
+                if new:
+                    index, keys = slice_keys(new, threshold, frequent)
+                    yield from packer.add(np.array(tags), keys, index)
                 if len(done) > 200_000:
                     done.clear()
-                done.add(d)
-                band = band_of(len(s))
-                keys = np.concatenate([block_keys(s, band, threshold, frequent), block_keys(s, band + 1, threshold, frequent)])
-                yield from packer.add(np.array([d[0]]), keys, np.zeros(len(keys), np.int64))
         yield from packer.flush()
 
     return run
 
 
-def _pair_up(small: int):
+def _pair_up(small: int, threshold: float):
+    p = round(threshold * 100)
+
     def run(batches):
         for key, node, _ in unpack(batches).values():
             _, node, start, size = runs_of(key, node)
-            yield from Candidates(small).emit(node, start, size)
+            n = node & 0xFFFFF
+
+            def near(i, j, n=n):
+                return np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * p
+
+            yield from Candidates(small).emit(node, start, size, near)
 
     return run
 
@@ -178,14 +253,9 @@ def _near_sketches(threshold: float):
 
     def run(batches):
         for b in batches:
-            na, nb, ba, bb = (b.column(x).to_numpy() for x in ("na", "nb", "ba", "bb"))
-            keep = (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * round(100 * threshold)) & (np.abs(ba - bb) <= 1)
-            most = most_apart(na, nb, threshold)
-            cols = [b.column(x) for x in ("oa", "xa", "ob", "xb")]
-            for i in np.flatnonzero(keep):
-                # both in the larger one's band
-                x = cols[0][i] if ba[i] >= bb[i] else cols[1][i]
-                y = cols[2][i] if bb[i] >= ba[i] else cols[3][i]
+            most = most_apart(b.column("na").to_numpy(), b.column("nb").to_numpy(), threshold)
+            keep = np.zeros(b.num_rows, bool)
+            for i, (x, y) in enumerate(zip(b.column("sa"), b.column("sb"))):
                 u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 keep[i] = int(np.bitwise_count(u ^ v).sum()) <= most[i]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
@@ -193,16 +263,50 @@ def _near_sketches(threshold: float):
     return run
 
 
+def _near_in_run(threshold: float):
+    """Which of some nodes can link with one of them: sizes first, then sketches in the larger
+    one's band."""
+    p = round(threshold * 100)
+
+    def near(infos):
+        n, band = infos.field("n").to_numpy(), infos.field("band").to_numpy()
+        rows = np.zeros(len(n), np.int64)
+        sketches = {}
+        for k in np.unique(band).tolist():
+            at = np.flatnonzero(band == k)
+            rows[at] = np.arange(len(at))
+            for which in ("own", "next"):
+                col = infos.field(which)
+                sketches[k, which] = np.stack([np.frombuffer(col[int(i)].as_buffer(), np.uint64) for i in at])
+
+        def close(x, others):
+            out = np.zeros(len(others), bool)
+            k = int(band[x])
+            for other, mine, theirs in ((k, "own", "own"), (k + 1, "next", "own"), (k - 1, "own", "next")):
+                own = np.flatnonzero(band[others] == other)
+                if len(own):
+                    at = others[own]
+                    apart = np.bitwise_count(sketches[other, theirs][rows[at]] ^ sketches[k, mine][rows[x]]).sum(axis=1)
+                    fits = np.minimum(n[at], n[x]) * 100 >= np.maximum(n[at], n[x]) * p
+                    out[own] = fits & (apart <= most_apart(n[at], n[x], threshold))
+            return out
+
+        return close
+
+    return near
+
+
 def _texts(size: int):
     def run(batches):
         for batch in batches:
             text = batch.column("text")
             d1, d2, packed = [], [], []
-            for r, s in _sets(batch, size):
-                d = digest(s)
-                d1.append(d[0])
-                d2.append(d[1])
-                packed.append(zlib.compress(text[r].as_py().encode(), 1))
+            for rows, sets in _sets(batch, size):
+                for r, s in zip(rows, sets):
+                    d = digest(s)
+                    d1.append(d[0])
+                    d2.append(d[1])
+                    packed.append(zlib.compress(text[r].as_py().encode(), 1))
             yield pa.RecordBatch.from_arrays([pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(packed, pa.binary())], ["d1", "d2", "packed"])
 
     return run
@@ -263,40 +367,50 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: float = 0.75,
 
     parts = partitions(spark, n_shingles * 0.8 * 8)
     packed = docs.mapInArrow(_keys(size, threshold, frequent, spread(spark, parts)), PACKED)
-    found = save(packed.repartition(parts, "part").mapInArrow(_pair_up(small), CANDIDATES), "candidates")
+    found = save(packed.repartition(parts, "part").mapInArrow(_pair_up(small, threshold), CANDIDATES), "candidates")
 
-    nodes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("node").alias("node"), F.min("doc_id").alias("doc_id"))
-    # equal 64-bit digests of unlike sets would be two nodes with one key: both are compared
+    nodes = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("node").alias("node"), F.min("doc_id").alias("doc_id"))
     nodes = save(nodes, "nodes")
-    sketches = rows.join(nodes.select("node"), "node", "left_semi").select("node", "d1", "n", "band", "own", "next")
-
-    ids = found.select(F.explode(F.array("a", "b")).alias("d1")).where("d1 is not null").distinct()
-    wanted = save(nodes.join(ids, "d1", "left_semi"), "wanted")
+    # unlike sets with one tag would be two nodes with one name: both are compared
+    tagged = nodes.withColumn("tag", F.col("d1").bitwiseAND(F.lit(~0xFFFFF)).bitwiseOR(F.least("n", F.lit(0xFFFFF))))
+    ids = found.select(F.explode(F.coalesce("members", F.array("a", "b"))).alias("tag")).distinct()
+    wanted = save(tagged.join(ids, "tag", "left_semi"), "wanted")
+    some = save(rows.where("n > 0").select("node", "n", "band", "own", "next").join(known(wanted.select("node")), "node", "left_semi"), "sketches")
     texts = only_ids(docs.where("doc_id is not null"), wanted.select("doc_id").where("doc_id is not null").distinct(), "doc_id").select("text")
     if wanted.where("doc_id is null").take(1):
         texts = texts.union(docs.where("doc_id is null").select("text"))
     texts = texts.mapInArrow(_texts(size), "d1 long, d2 long, packed binary")
-    texts = save(texts.join(wanted.select("d1", "d2", "node"), ["d1", "d2"]).select("node", "packed").dropDuplicates(["node"]), "texts")
-    some = save(sketches.join(wanted.select("node"), "node", "left_semi"), "sketches")
+    texts = save(texts.join(known(wanted.select("d1", "d2", "node")), ["d1", "d2"]).select("node", "packed").dropDuplicates(["node"]), "texts")
+    sizes = known(save(some.select("node", "n", "band"), "sizes"))
+    by_band = some.select("node", F.explode(F.array(F.struct("band", F.col("own").alias("sketch")), F.struct((F.col("band") + 1).alias("band"), F.col("next").alias("sketch")))).alias("s")).select("node", "s.*")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        """The nodes of some pairs: what is sent to the pairs is cut to these first."""
+        return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Pairs of d1 values, or of nodes once they are known (nodes are below 2**62 and d1 are hashes)."""
-        a = some.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("band").alias("ba"), F.col("own").alias("oa"), F.col("next").alias("xa"))
-        b = some.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("band").alias("bb"), F.col("own").alias("ob"), F.col("next").alias("xb"))
-        close = pairs.join(a, "a").join(b, "b").mapInArrow(_near_sketches(threshold), "a long, b long")
-        close = save(close, "close")
-        ta, tb = (texts.select(F.col("node").alias(x), F.col("packed").alias("t" + x)) for x in "ab")
+        for x in "ab":
+            pairs = pairs.join(sizes.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("band").alias("b" + x)), x)
+        pairs = pairs.where((F.abs(F.col("ba") - F.col("bb")) <= 1) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * round(100 * threshold)))
+        pairs = save(pairs.select("a", "b", "na", "nb", F.greatest("ba", "bb").alias("band")), "sized")
+        sketches = only_ids(by_band, ends(pairs), "node")
+        for x in "ab":
+            pairs = pairs.join(sketches.select(F.col("node").alias(x), "band", F.col("sketch").alias("s" + x)), [x, "band"])
+        close = save(pairs.mapInArrow(_near_sketches(threshold), "a long, b long"), "close")
+        wanted_texts = only_ids(texts, ends(close), "node")
+        ta, tb = (wanted_texts.select(F.col("node").alias(x), F.col("packed").alias("t" + x)) for x in "ab")
         return close.join(tb, "b").join(ta, "a").sortWithinPartitions("a").mapInArrow(_same(size, threshold), "a long, b long")
 
-    # from here on nodes stand for digests
-    names = wanted.select("d1", "node")
+    # from here on nodes stand for tags
+    names = known(save(wanted.select("tag", "node"), "names"))
     pairs = found.where("members is null").select("a", "b")
-    pairs = pairs.join(names.select(F.col("d1").alias("a"), F.col("node").alias("x")), "a").join(names.select(F.col("d1").alias("b"), F.col("node").alias("y")), "b")
+    pairs = pairs.join(names.select(F.col("tag").alias("a"), F.col("node").alias("x")), "a").join(names.select(F.col("tag").alias("b"), F.col("node").alias("y")), "b")
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(None).cast("array<bigint>").alias("members"))
-    runs = found.where("members is not null").select(F.monotonically_increasing_id().alias("run"), F.explode("members").alias("d1"))
-    runs = runs.join(names, "d1").groupBy("run").agg(F.sort_array(F.collect_list("node")).alias("members"))
+    runs = found.where("members is not null").select(F.xxhash64("members").alias("run"), F.explode("members").alias("tag"))
+    runs = runs.join(names, "tag").groupBy("run").agg(F.sort_array(F.collect_list("node")).alias("members"))
     runs = runs.select(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "members")
-    comps = link(pairs.union(runs), verify)
+    info = some.select("node", F.struct("n", "band", "own", "next").alias("info"))
+    comps = link(pairs.union(runs), verify, info, _near_in_run(threshold))
 
     classes = nodes.join(comps, "node", "left").select("d1", "d2", "node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     lowest = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

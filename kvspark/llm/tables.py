@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A set of ids is broadcast as a filter only up to so many rows (about 16 bytes each).
-MAX_BROADCAST_IDS = 4_000_000
+MAX_BROADCAST_IDS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -73,6 +73,11 @@ def partitions(spark: SparkSession, n_bytes: float, each: int = 16 << 20) -> int
     return int(min(60_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // each))))
 
 
+def known(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A small written table to join with: broadcast only if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def spread(spark: SparkSession, n: int) -> list[int]:
     """For each partition 0..n-1 an int that Spark's hash partitioning sends there, so
     that n labels fill n partitions evenly."""
@@ -92,7 +97,7 @@ class Packer:
     """Collects (64-bit key, node) entries of one task and turns them into one blob for
     each shuffle part: 8 bytes an entry instead of a row."""
 
-    def __init__(self, labels: list[int], flush: int = 3_000_000):
+    def __init__(self, labels: list[int], flush: int = 2_000_000):
         self.labels, self.most = labels, flush
         self.nodes: list[np.ndarray] = []
         self.keys: list[np.ndarray] = []
@@ -180,7 +185,6 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
-        large = save(large, "large")
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         moved = large.join(least, "b").where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))
         edges = save(least.select(F.col("m").alias("a"), "b").union(moved).distinct(), "edges")
@@ -236,65 +240,108 @@ class Candidates:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([m], pa.list_(pa.int64()))], ["a", "b", "members"])
 
 
-def link(found: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+#: Nodes outside a run's largest component that one round compares with the run's others: at
+#: first, and by how much more in each next round.
+ROUND_NODES, ROUND_GROWTH = 64, 64
+
+
+def link(found: DataFrame, verify: Callable[[DataFrame], DataFrame], info: DataFrame, near: Callable) -> DataFrame:
     """(node, comp) over all verified links among the candidates in ``found``.
 
     Pairs come first. Then each large run whose nodes are still in different components is
-    taken again: up to ``width`` of the nodes outside its largest component are compared with
-    all its other nodes, and ``width`` grows until no run has two components that were not
-    compared node by node. Pairs inside a component add nothing to it and are never made,
-    so a family of copies costs its size times a few, not the square of it."""
-    spark = found.sparkSession
-    pairs = found.where("members is null").select("a", "b").distinct()
-    links = save(verify(pairs), "links")
-    comps = components(links)
+    taken again: some of the nodes outside its largest component are compared with all its other
+    nodes, and more in each round until no run has two components that were not compared node by
+    node. Pairs inside a component add nothing to it and are never made, so a family of copies
+    costs its size times a few, not the square of it.
+
+    ``info`` (node, info) has some bytes for each node; ``near(infos)`` gives a function of a
+    position and other positions that tells with which of these it can link, so that only such
+    pairs leave the run."""
+    links = save(verify(found.where("members is null").select("a", "b").distinct()), "links")
+    comps = save(components(links), "comps")
     runs = found.where("members is not null").select("members").distinct()
     if not runs.take(1):
         return comps
     runs = save(runs.select(F.monotonically_increasing_id().alias("run"), "members"), "runs")
-    width = 16
+    width = ROUND_NODES
     while True:
-        labelled = runs.select("run", F.posexplode("members").alias("rank", "node")).join(comps, "node", "left")
-        labelled = save(labelled.select("run", "rank", "node", F.coalesce("comp", "node").alias("comp")), "members")
+        labelled = runs.select("run", F.explode("members").alias("node")).join(comps, "node", "left")
+        labelled = save(labelled.select("run", "node", F.coalesce("comp", "node").alias("comp")), "members")
         sizes = labelled.groupBy("run", "comp").agg(F.count("*").alias("n"))
-        sizes = sizes.groupBy("run").agg(F.count("*").alias("comps"), (F.sum("n") - F.max("n")).alias("outside")).where("comps > 1").select("run", "outside")
-        packed = labelled.join(sizes, "run").groupBy("run").agg(F.max("outside").alias("outside"), F.sort_array(F.collect_list(F.struct("rank", "node", "comp"))).alias("m"))
-        packed = save(packed.select("run", "outside", F.col("m.node").alias("members"), F.col("m.comp").alias("comps")), "open")
-        if not packed.take(1):
+        sizes = save(sizes.groupBy("run").agg(F.count("*").alias("comps"), (F.sum("n") - F.max("n")).alias("outside")).where("comps > 1").select("run", "outside"), "open")
+        if not sizes.take(1):
             return comps
-        # runs of one family mostly begin with the same node: together they repeat fewer pairs
-        dealt = packed.repartition(partitions(spark, 0), F.col("members")[0]).select("members", "comps")
-        new = save(verify(dealt.mapInArrow(_cross(width), "a long, b long").distinct()), "links")
+        # runs of one family mostly begin with the same node. They meet in one task, which gets
+        # each node's component and info once and repeats fewer pairs
+        group = F.array_min("members").alias("r")
+        still = runs.join(sizes.select("run"), "run", "left_semi").select("run", group, "members")
+        needed = save(labelled.join(still.select("run", "r"), "run").select("r", "node", "comp").distinct(), "needed")
+        needed = needed.join(only_ids(info, needed.select("node").distinct(), "node"), "node")
+        rows = needed.select("r", F.lit(0).alias("kind"), "node", "comp", "info", F.lit(None).cast("array<bigint>").alias("members"))
+        rows = rows.unionByName(still.select("r", F.lit(1).alias("kind"), "members"), allowMissingColumns=True)
+        dealt = rows.repartition(partitions(found.sparkSession, 0), "r").sortWithinPartitions("r", "kind")
+        new = save(verify(dealt.mapInArrow(_cross(width, near), "a long, b long").distinct()), "links")
         if new.take(1):
             links = save(links.union(new), "links")
-            comps = components(links)
+            comps = save(components(links), "comps")
         # a run with fewer nodes outside its largest component is now compared in full
-        runs, width = packed.where(F.col("outside") > width).select("run", "members"), width * 4
+        runs = runs.join(sizes.where(F.col("outside") > width).select("run"), "run", "left_semi")
+        width *= ROUND_GROWTH
+
 
+def _cross(width: int, near: Callable):
+    """Pairs of up to ``width`` nodes outside a run's largest component with its other nodes.
+    Rows come in order of group and kind: a group's nodes, then its runs."""
 
-def _cross(width: int):
     def run(batches):
-        seen: set[tuple[int, int]] = set()
+        left: list[np.ndarray] = []
+        right: list[np.ndarray] = []
+
+        def flush():
+            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
+            for k in range(0, len(pairs), 100_000):
+                part = pairs[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], ["a", "b"])
+            left.clear()
+            right.clear()
+
+        group, held, nodes, comp, close = None, [], None, None, None
         for b in batches:
-            left, right = [], []
-            for members, comps in zip(b.column("members"), b.column("comps")):
-                m, c = np.asarray(members.values), np.asarray(comps.values)
-                names, at, count = np.unique(c, return_inverse=True, return_counts=True)
-                outside = np.flatnonzero(at != np.argmax(count))
-                outside = outside[np.argsort(at[outside], kind="stable")]
-                first = np.flatnonzero(np.r_[True, np.diff(at[outside]) != 0])
-                nth = np.arange(len(outside)) - np.repeat(first, np.diff(np.r_[first, len(outside)]))
-                for x in outside[np.argsort(nth, kind="stable")[:width]]:  # one of each component, then a second, ...
-                    others = m[c != c[x]]
-                    a, d = np.minimum(others, m[x]), np.maximum(others, m[x])
-                    for pair in zip(a.tolist(), d.tolist()):
-                        if pair not in seen:
-                            seen.add(pair)
-                            left.append(pair[0])
-                            right.append(pair[1])
-                if len(seen) > 2_000_000:
-                    seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+            r, kind = b.column("r").to_numpy(), b.column("kind").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (kind[1:] != kind[:-1])]) if len(r) else []
+            for s, e in zip(cuts, np.r_[cuts[1:], len(r)].astype(int)):
+                if r[s] != group:
+                    if left:
+                        yield from flush()
+                    group, held, close = r[s], [], None
+                part = b.slice(s, e - s)
+                if kind[s] == 0:
+                    held.append(part)
+                    continue
+                if close is None:
+                    whole = pa.Table.from_batches(held)
+                    nodes, comp = whole.column("node").to_numpy(), whole.column("comp").to_numpy()
+                    order = np.argsort(nodes)
+                    nodes, comp = nodes[order], comp[order]
+                    close = near(whole.column("info").combine_chunks().take(pa.array(order)))
+                    held = []
+                for members in part.column("members"):
+                    m = np.searchsorted(nodes, np.sort(np.asarray(members.values)))
+                    c = comp[m]
+                    _, at, count = np.unique(c, return_inverse=True, return_counts=True)
+                    outside = np.flatnonzero(at != np.argmax(count))
+                    outside = outside[np.argsort(at[outside], kind="stable")]
+                    first = np.flatnonzero(np.r_[True, np.diff(at[outside]) != 0][: len(outside)])
+                    nth = np.arange(len(outside)) - np.repeat(first, np.diff(np.r_[first, len(outside)]))
+                    for x in outside[np.argsort(nth, kind="stable")[:width]]:  # one of each component, then a second, ...
+                        others = m[c != c[x]]
+                        others = nodes[others[close(m[x], others)]]
+                        left.append(np.minimum(others, nodes[m[x]]))
+                        right.append(np.maximum(others, nodes[m[x]]))
+                    if sum(map(len, left)) > 1_000_000:
+                        yield from flush()
+        if left:
+            yield from flush()
 
     return run
 
