@@ -21,22 +21,98 @@ MIN_WORDS = 3
 
 
 
+_OTHER = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
+
+
 def normalise(line: bytes) -> bytes:
-    """A-Z folded, runs of ASCII white space one blank, none at the ends."""
-    return b" ".join(line.lower().split())
+    """The words of a line, parted by one blank: runs of ASCII letters, digits and non-ASCII
+    characters, A-Z folded."""
+    return b" ".join(line.translate(_OTHER).split())
 
 
 def simhash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of each row's words: per bit the sign of its sum over the words."""
+    """64-bit SimHash of each row's distinct words: per bit the majority among them."""
+    n = len(first) - 1
     if not len(hashes):
-        return np.zeros(len(first) - 1, np.uint64)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
-    out = np.zeros((len(first) - 1, 64), bool)
-    some = np.flatnonzero(np.diff(first))
-    out[some] = 2 * np.add.reduceat(bits, first[some], axis=0) > np.diff(first)[some][:, None]
+        return np.zeros(n, np.uint64)
+    row = np.repeat(np.arange(n), np.diff(first))
+    order = np.lexsort((hashes, row))
+    row, hashes = row[order], hashes[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])]
+    row, hashes = row[new], hashes[new]
+    some = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    size = np.diff(np.r_[some, len(row)])
+    # eight counters of one byte in a 64-bit sum, over parts of at most PART words
+    parts = -(-size // PART)
+    head = np.cumsum(parts) - parts
+    begin = np.repeat(some, parts) + PART * (np.arange(parts.sum()) - np.repeat(head, parts))
+    out = np.zeros((n, 64), bool)
+    octets = hashes.view(np.uint8).reshape(-1, 8)
+    for k in range(8):
+        sums = np.add.reduceat(_LANES[octets[:, k]], begin).view(np.uint8).reshape(-1, 8)
+        out[row[some], 8 * k : 8 * k + 8] = 2 * np.add.reduceat(sums.astype(np.int32), head, axis=0) > size[:, None]
     return np.packbits(out, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+PART = 200
+#: The bits of a byte, each in a byte of its own.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def edit_distance(a: str, b: str, most: int) -> int:
+    """Edit distance in characters, or any number over ``most`` if it is larger: a column of the
+    matrix is one integer (Hyyro, 2003)."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > most or not a:
+        return len(b) if not a else most + 1
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    mask, last, score, left = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a), len(b)
+    up, down = mask, 0
+    for c in b:
+        x = where.get(c, 0)
+        diagonal = ((((x & up) + up) ^ up) | x | down) & mask
+        more, less = down | (~(diagonal | up) & mask), diagonal & up
+        left -= 1
+        if more & last:
+            score += 1
+        elif less & last:
+            score -= 1
+        if score - left > most:
+            return most + 1
+        more, less = (more << 1 | 1) & mask, (less << 1) & mask
+        up, down = less | (~(diagonal | more) & mask), more & diagonal
+    return score
+
+
+def alike(a: str, b: str, threshold: float) -> bool:
+    """Whether 1 - edit distance / longer length is at least ``threshold``."""
+    most = int(max(len(a), len(b)) * (1 - threshold) + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(u), len(v)) for u, v in zip(x, y) if u != v) <= most:
+        return True  # word by word it is near enough
+    low, high = 0, 0
+    short = min(len(a), len(b))
+    while low < short and a[low] == b[low]:
+        low += 1
+    while high < short - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    return edit_distance(a[low : len(a) - high], b[low : len(b) - high], most) <= most
+
+
+def _alike(threshold: float):
+    def run(batches):
+        for b in batches:
+            keep = [alike(x, y, threshold) for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def block_keys(sim: np.ndarray) -> np.ndarray:
     """For each SimHash a key for each pair of its blocks."""
     cuts = np.linspace(0, 64, BLOCKS + 1).astype(int)
@@ -61,7 +137,7 @@ def _lines(batch: pa.RecordBatch):
     buf, bounds = K.text_buffers(batch.column("text"))
     for i, j in K.slices(bounds):
         starts, first = line_bounds(buf, bounds[i : j + 1])
-        yield i, first, K.words(buf, np.append(starts, bounds[j]), K.alphabet("space", True))
+        yield i, first, K.words(buf, np.append(starts, bounds[j]), K.alphabet("alnum", True))
 
 
 def _hashes(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +198,12 @@ def _pair_up(small: int):
     return run
 
 
+def _near_in_run(infos):
+    """Which of some lines differ from one of them in few SimHash bits."""
+    sim = infos.field("sim").to_numpy().view(np.uint64)
+    return lambda x, others: np.bitwise_count(sim[others] ^ sim[x]) <= MOST_BITS
+
+
 def _texts(batches):
     """Normalised text of the wanted lines of each document."""
     for b in batches:
@@ -160,8 +242,8 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.75, small: int = 16) -> Da
     """Per row of ``docs``: ``row`` (the whole row), kept (the text without removed lines),
     n_lines and n_removed.
 
-    Lines are what stands between line feeds. Normalised (A-Z folded, white space runs one
-    blank) they link when they are equal, or when their SimHashes differ in at most MOST_BITS
+    Lines are what stands between line feeds. Normalised (see :func:`normalise`) they link when
+    they are equal, or when their SimHashes differ in at most MOST_BITS
     bits and 1 - edit distance / longer length, in characters, is at least ``threshold``. Of each
     connected group only the occurrence with the smallest (doc_id, line) stays. Lines of fewer
     than MIN_WORDS words, blank ones among them, always stay.
@@ -184,7 +266,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.75, small: int = 16) -> Da
     packed = classes.select("node", "sim").mapInArrow(_emit(spread(spark, parts)), PACKED)
     found = save(packed.repartition(parts, "part").mapInArrow(_pair_up(small), CANDIDATES), "candidates")
 
-    ids = found.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
+    ids = found.select(F.explode(F.coalesce("members", F.array("a", "b"))).alias("node")).distinct()
     wanted = save(classes.join(ids, "node", "left_semi").select("node", "sim", "first.*"), "wanted")
     by_doc = wanted.groupBy("doc", "digest").agg(F.collect_list("line").alias("lines"), F.collect_list("node").alias("nodes"))
     some = only_ids(texts, wanted.select("doc").distinct(), "doc").dropDuplicates(["doc", "digest"]).join(by_doc, ["doc", "digest"])
@@ -193,11 +275,10 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.75, small: int = 16) -> Da
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = (norms.select(F.col("node").alias(x), F.col("norm").alias("t" + x), F.col("sim").alias("s" + x)) for x in "ab")
         both = pairs.join(a, "a").join(b, "b").where(F.expr(f"bit_count(sa ^ sb) <= {MOST_BITS}"))
-        longer = F.greatest(F.char_length("ta"), F.char_length("tb"))
-        both = both.withColumn("most", F.floor(longer * F.lit(1 - threshold) + F.lit(1e-9)).cast("int"))
-        return both.where(F.expr("levenshtein(ta, tb, most) >= 0")).select("a", "b")
+        return both.select("a", "b", "ta", "tb").mapInArrow(_alike(threshold), "a long, b long")
 
-    comps = link(found, verify)
+    info = norms.select("node", F.struct("sim").alias("info"))
+    comps = link(found, verify, info, _near_in_run)
     grouped = classes.join(comps, "node", "left").select("h1", "h2", "n", "first", F.coalesce("comp", "node").alias("comp"), F.col("comp").isNotNull().alias("linked")).where("n > 1 or linked")
     keep = grouped.groupBy("comp").agg(F.min("first").alias("keep"))
     groups = save(grouped.join(keep, "comp").select("h1", "h2", "keep"), "groups")
