@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import partitions, ship
+from .tables import known, partitions, ship
 
 MAGIC = b"DAC1"
 CHUNK_BITS = 8
@@ -19,7 +19,7 @@ RANK_BITS = 512  # one directory entry for so many bits
 #: A segment of a file holds about so many ids: writers and readers need memory for one segment.
 SEGMENT_IDS = 1 << 20
 
-FILE = "first_doc long, n_docs long, n_ids long, doc_ids binary, lengths binary, codes binary, shard int, segment int"
+FILE = "first_doc long, n_docs long, n_ids long, doc_ids binary, lengths binary, codes binary, shard int, segment int, shard_start long"
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -200,15 +200,15 @@ def _write(path: str, end_id: int, segment_ids: int):
     def run(batches):
         from pyspark import TaskContext
 
-        shard, segment = TaskContext.get().partitionId(), 0
+        shard, segment, before = TaskContext.get().partitionId(), 0, 0
         encoder = _encoder(path, end_id)
         docs, sizes, ids, n = [], [], [], 0
 
         def close():
-            nonlocal segment
+            nonlocal segment, before
             d = np.concatenate(docs)
-            row = {"first_doc": int(d[0]), "n_docs": len(d), "n_ids": n, "doc_ids": d.tobytes(), "lengths": np.concatenate(sizes).astype("<u4").tobytes(), "codes": encode(np.concatenate(ids)), "shard": shard, "segment": segment}
-            segment += 1
+            row = {"first_doc": int(d[0]), "n_docs": len(d), "n_ids": n, "doc_ids": d.tobytes(), "lengths": np.concatenate(sizes).astype("<u4").tobytes(), "codes": encode(np.concatenate(ids)), "shard": shard, "segment": segment, "shard_start": before}
+            segment, before = segment + 1, before + n
             return pa.RecordBatch.from_pylist([row], schema)
 
         for b in batches:
@@ -226,7 +226,7 @@ def _write(path: str, end_id: int, segment_ids: int):
         if docs:
             yield close()
 
-    schema = pa.schema([("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("codes", pa.binary()), ("shard", pa.int32()), ("segment", pa.int32())])
+    schema = pa.schema([("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("codes", pa.binary()), ("shard", pa.int32()), ("segment", pa.int32()), ("shard_start", pa.int64())])
     return run
 
 
@@ -259,17 +259,16 @@ def _digest(batches):
 
 
 def read_ids(spark, path: str) -> DataFrame:
-    """Segments of the written files in order, each with ``start``, the number of ids before it."""
+    """Segments of the written files, each with ``start``, the number of ids before it."""
     files = spark.read.schema(FILE).parquet(path)
-    # a row for each segment of about a million ids
-    heads = sorted(files.select("shard", "segment", "n_ids").collect())
+    # a row for each shard: as many as the writing job had partitions
+    totals = sorted(files.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
     begin, rows = 0, []
-    for shard, segment, n in heads:
-        rows.append((shard, segment, begin))
+    for shard, n in totals:
+        rows.append((shard, begin))
         begin += n
-    starts = spark.createDataFrame(rows, "shard int, segment int, start long")
-    small = len(rows) <= 1_000_000
-    return files.join(F.broadcast(starts) if small else starts, ["shard", "segment"])
+    starts = spark.createDataFrame(rows, "shard int, before long")
+    return files.join(known(starts), "shard").withColumn("start", F.col("before") + F.col("shard_start")).drop("before")
 
 
 def document_digests(spark, path: str) -> DataFrame:
