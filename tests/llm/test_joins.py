@@ -168,3 +168,16 @@ def test_empty_tables(spark):
 
 def test_sql_covers_what_it_can():
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_many_sets_at_once():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 2, 3, 4, 5, 7, 9, 20, 64, 300, 2000)]
+    frequent = np.sort(np.concatenate([s[::3] for s in sets]))
+    own, key = near_dup.slice_keys(sets, 0.75, frequent)
+    for i, s in enumerate(sets):
+        band = near_dup.band_of(len(s))
+        want = np.concatenate([near_dup.block_keys(s, b, 0.75, frequent) for b in (band, band + 1)])
+        assert sorted(key[own == i].tolist()) == sorted(want.tolist())

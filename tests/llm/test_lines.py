@@ -118,3 +118,23 @@ def test_blocks_find_all_close_hashes():
         flips |= np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)
     x, y = line_dedup.block_keys(a), line_dedup.block_keys(a ^ flips)
     assert (x == y).any(axis=1).all()
+
+
+def test_edit_distance():
+    rng = random.Random(6)
+    for _ in range(400):
+        a = "".join(rng.choices("abc é", k=rng.randint(0, 14)))
+        b = "".join(rng.choices("abc é", k=rng.randint(0, 14))) if rng.random() < 0.5 else a[: rng.randint(0, 14)] + "x" + a[rng.randint(0, 5) :]
+        d = distance(a, b)
+        assert line_dedup.edit_distance(a, b, 99) == d
+        for most in range(0, 6):
+            assert (line_dedup.edit_distance(a, b, most) <= most) == (d <= most)
+        for t in (0.5, 0.75, 0.9):
+            assert line_dedup.alike(a, b, t) == (d <= int(max(len(a), len(b)) * (1 - t) + 1e-9))
+
+
+def test_simhash_of_long_lines():
+    norm = " ".join(f"w{i}" for i in range(1200)).encode()
+    raw = np.frombuffer(norm, np.uint8)
+    w = K.words(raw, np.array([0, len(raw)]), K.alphabet("alnum", True))
+    assert int(line_dedup.simhash(w.hashes, w.first)[0]) == simhash(norm)
