@@ -28,8 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Rows of one Arrow batch: what a Python worker holds at a time is so many texts. A session that
+#: has its own setting keeps it.
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this subpackage to the executors, once for each application."""
+    """Sends this subpackage to the executors, once for each application, and makes Arrow batches
+    smaller than Spark's default."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_llm_shipped", None) is None:
         here = Path(__file__).resolve().parent
