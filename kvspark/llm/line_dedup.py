@@ -1,9 +1,7 @@
-"""Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, connected groups."""
+"""Fuzzy line dedup: MinHash bands, SimHash and length bounds, edit similarity, connected groups."""
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,9 +11,14 @@ from pyspark.sql import types as T
 from . import kernels as K
 from .tables import CANDIDATES, PACKED, Candidates, Packer, link, only_ids, partitions, save, ship, spread, unpack
 
-#: Linked lines differ in at most this many of 64 SimHash bits. Any two of five blocks of bits
-#: make a key: three differing bits leave two blocks as they are.
-MOST_BITS, BLOCKS = 3, 5
+#: MinHashes of a line's words, as many keys as these, each of three of them. Long words, which
+#: lines rarely share by chance, are chosen more often: a word weighs its length, up to LONGEST, squared.
+MINS, LONGEST = 20, 6
+#: Lines of up to SHORT characters have further keys of MinHashes of their runs of GRAM bytes.
+SHORT, GRAM_MINS, GRAM = 60, 9, 4
+#: Candidates of which both are longer than SHORT differ in at most this many of 56 SimHash bits
+#: (lines with three quarters of their words in common: 13 on average, others 28).
+MOST_BITS = 24
 #: Lines of fewer words are neither compared nor removed.
 MIN_WORDS = 3
 
@@ -113,12 +116,68 @@ def _alike(threshold: float):
     return run
 
 
-def block_keys(sim: np.ndarray) -> np.ndarray:
-    """For each SimHash a key for each pair of its blocks."""
-    cuts = np.linspace(0, 64, BLOCKS + 1).astype(int)
-    masks = [np.uint64(sum(1 << b for b in range(lo, hi))) for lo, hi in zip(cuts, cuts[1:])]
-    pairs = list(combinations(range(BLOCKS), BLOCKS - MOST_BITS))
-    return np.stack([K.mix((sim & np.bitwise_or.reduce([masks[i] for i in p])) + np.uint64(k * 0x9E3779B9 + 1)) for k, p in enumerate(pairs)], axis=1)
+_SEEDS = K.mix(np.arange(1, 1 + MINS + GRAM_MINS, dtype=np.uint64)) | np.uint64(1)
+_RARE = 1.0 / np.clip(np.arange(LONGEST + 1), 1, None) ** 2.0
+
+
+def _short(mins: list[np.ndarray]) -> np.ndarray:
+    """16 bits of each MinHash: three make a key of 48."""
+    return np.stack([(K.mix(x) >> np.uint64(48)).astype(np.uint16) for x in mins], axis=1)
+
+
+def word_mins(w: K.Words) -> np.ndarray:
+    """MINS MinHashes of each line that has words."""
+    first = w.first[:-1][np.diff(w.first) > 0]
+    if not len(first):
+        return np.zeros((0, MINS), np.uint16)
+    rare = _RARE[np.minimum(w.ends - w.starts, LONGEST)]
+    return _short([np.minimum.reduceat((K.mix(w.hashes * m) >> np.uint64(11)) * rare, first).view(np.uint64) for m in _SEEDS[:MINS]])
+
+
+def gram_mins(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """GRAM_MINS MinHashes of each of some lines of GRAM bytes or more."""
+    n = end - begin - GRAM + 1
+    if not len(n):
+        return np.zeros((0, GRAM_MINS), np.uint16)
+    first = np.cumsum(n) - n
+    at = np.repeat(begin - first, n) + np.arange(n.sum())
+    folded = np.frombuffer(_OTHER, np.uint8)[buf]
+    x = np.zeros(len(at), np.uint64)
+    for k in range(GRAM):
+        x = x << np.uint64(8) | folded[at + k]
+    x = K.mix(x)
+    return _short([np.minimum.reduceat(K.mix(x * m), first) for m in _SEEDS[MINS:]])
+
+
+def band_keys(mins: np.ndarray, salt: int) -> np.ndarray:
+    """As many keys of each row as it has MinHashes; no two are made of more than one in common."""
+    n = mins.shape[1]
+    x = mins.astype(np.uint64)
+    y = x | np.roll(x, -1, axis=1) << np.uint64(16) | np.roll(x, -4, axis=1) << np.uint64(32)
+    return K.mix(y + (np.arange(n, dtype=np.uint64) + np.uint64(salt) << np.uint64(48)))
+
+
+def _length_code(chars: np.ndarray) -> np.ndarray:
+    """Sixteenths of the binary logarithm, in a byte."""
+    return np.minimum(16 * np.log2(np.maximum(chars, 1)), 255).astype(np.uint64)
+
+
+_LOW = np.uint64(255)
+
+
+def sketch(w: K.Words) -> np.ndarray:
+    """SimHash of each line with the code of its normalised length in place of its low byte."""
+    chars = np.zeros(len(w.buf) + 1, np.int64)
+    np.cumsum((w.buf & 0xC0) != 0x80, out=chars[1:])
+    sums = np.r_[0, np.cumsum(chars[w.ends] - chars[w.starts] + 1)]
+    return simhash(w.hashes, w.first) & ~_LOW | _length_code(sums[w.first[1:]] - sums[w.first[:-1]] - 1)
+
+
+def may_link(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether lines with these sketches can be so alike: the length bound drops no such pair."""
+    p, q = (x & _LOW).astype(np.int64), (y & _LOW).astype(np.int64)
+    short = np.minimum(p, q) <= int(_length_code(np.array([SHORT]))[0])
+    return (np.abs(p - q) <= int(-16 * np.log2(threshold)) + 1) & (short | (np.bitwise_count((x ^ y) & ~_LOW) <= MOST_BITS))
 
 
 def line_bounds(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,11 +192,12 @@ def line_bounds(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _lines(batch: pa.RecordBatch):
-    """First row, each row's first line, and the words of the lines of each slice."""
+    """First row, each row's first line, the lines' bounds and words of each slice."""
     buf, bounds = K.text_buffers(batch.column("text"))
     for i, j in K.slices(bounds):
         starts, first = line_bounds(buf, bounds[i : j + 1])
-        yield i, first, K.words(buf, np.append(starts, bounds[j]), K.alphabet("alnum", True))
+        cuts = np.append(starts, bounds[j])
+        yield i, first, cuts - cuts[0], K.words(buf, cuts, K.alphabet("alnum", True))
 
 
 def _hashes(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -159,13 +219,41 @@ def _hashes(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
 def _measure(batches):
     for b in batches:
         ids, digest = b.column("doc").to_numpy(), b.column("digest").to_numpy()
-        for i, first, w in _lines(b):
+        for i, first, cuts, w in _lines(b):
             keep = np.flatnonzero(np.diff(w.first) >= MIN_WORDS)
             h1, h2 = _hashes(w)
-            sim = simhash(w.hashes, w.first).view(np.int64)
+            sim = sketch(w)
             row = np.searchsorted(first, keep, side="right") - 1
             line = (keep - first[row]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i + row], digest[i + row], line, h1[keep], h2[keep], sim[keep])], ["doc", "digest", "line", "h1", "h2", "sim"])
+            mins = _pack_mins(w, cuts, sim, keep)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (ids[i + row], digest[i + row], line, h1[keep], h2[keep], sim[keep].view(np.int64))), mins], ["doc", "digest", "line", "h1", "h2", "sim", "mins"])
+
+
+def _pack_mins(w: K.Words, cuts: np.ndarray, sim: np.ndarray, keep: np.ndarray) -> pa.Array:
+    """The MinHashes of the lines ``keep``, two bytes each, one after the other."""
+    full = np.flatnonzero(np.diff(w.first) > 0)
+    words = word_mins(w)[np.searchsorted(full, keep)]
+    # a little beyond SHORT, so that a line just below meets those just above
+    top = int(_length_code(np.array([SHORT * 4 / 3]))[0]) + 1
+    short = np.flatnonzero(((sim[keep] & _LOW) <= top) & (cuts[keep + 1] - cuts[keep] >= GRAM))
+    n = np.full(len(keep), MINS)
+    n[short] += GRAM_MINS
+    ends = np.cumsum(n)
+    out = np.empty(int(n.sum()), np.uint16)
+    out[(ends - n)[:, None] + np.arange(MINS)] = words
+    out[ends[short][:, None] + np.arange(-GRAM_MINS, 0)] = gram_mins(w.buf, cuts[keep[short]], cuts[keep[short] + 1])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.r_[0, 2 * ends].astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def keys_of(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of the rows of :func:`_pack_mins`, and the row of each."""
+    packed = packed.cast(pa.large_binary())
+    ends = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1] // 2
+    raw = np.frombuffer(packed.buffers()[2], np.uint16, ends[-1])
+    words = band_keys(raw[ends[:-1, None] + np.arange(MINS)], 0)
+    more = np.flatnonzero(np.diff(ends) > MINS)
+    grams = band_keys(raw[ends[more + 1][:, None] + np.arange(-GRAM_MINS, 0)], MINS)
+    return np.r_[words.ravel(), grams.ravel()], np.r_[np.repeat(np.arange(len(packed)), MINS), np.repeat(more, GRAM_MINS)]
 
 
 def _emit(labels: list[int]):
@@ -175,15 +263,14 @@ def _emit(labels: list[int]):
             for at in range(0, b.num_rows, 20_000):
                 part = b.slice(at, 20_000)
                 node, sim = part.column("node").to_numpy(), part.column("sim").to_numpy().view(np.uint64)
-                keys = block_keys(sim)
-                index = np.repeat(np.arange(len(node)), keys.shape[1])
-                yield from packer.add(node, keys.ravel(), index, np.repeat(sim, keys.shape[1]))
+                keys, index = keys_of(part.column("mins"))
+                yield from packer.add(node, keys, index, sim[index])
         yield from packer.flush()
 
     return run
 
 
-def _pair_up(small: int):
+def _pair_up(small: int, threshold: float):
     def run(batches):
         for key, node, sim in unpack(batches).values():
             order = np.lexsort((node, key))
@@ -191,17 +278,21 @@ def _pair_up(small: int):
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
 
             def near(i, j, sim=sim):
-                return np.bitwise_count(sim[i] ^ sim[j]) <= MOST_BITS
+                return may_link(sim[i], sim[j], threshold)
 
             yield from Candidates(small).emit(node, start, np.diff(np.r_[start, len(key)]), near)
 
     return run
 
 
-def _near_in_run(infos):
-    """Which of some lines differ from one of them in few SimHash bits."""
-    sim = infos.field("sim").to_numpy().view(np.uint64)
-    return lambda x, others: np.bitwise_count(sim[others] ^ sim[x]) <= MOST_BITS
+def _near_in_run(threshold: float):
+    """Which of some lines may link with one of them."""
+
+    def near(infos):
+        sim = infos.field("sim").to_numpy().view(np.uint64)
+        return lambda x, others: may_link(sim[others], sim[x], threshold)
+
+    return near
 
 
 def _texts(batches):
@@ -243,12 +334,14 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.75, small: int = 16) -> Da
     n_lines and n_removed.
 
     Lines are what stands between line feeds. Normalised (see :func:`normalise`) they link when
-    they are equal, or when their SimHashes differ in at most MOST_BITS
-    bits and 1 - edit distance / longer length, in characters, is at least ``threshold``. Of each
+    they are equal, or when 1 - edit distance / longer length, in characters, is at least
+    ``threshold``. Of each
     connected group only the occurrence with the smallest (doc_id, line) stays. Lines of fewer
     than MIN_WORDS words, blank ones among them, always stay.
 
-    Equal lines are one node. Nodes that can link share a key made of two SimHash blocks.
+    Equal lines are one node. Compared are nodes that share a key of three MinHashes of words or,
+    up to SHORT characters, of runs of GRAM bytes (see the README for the share of links that
+    this finds), less those too far apart in length or, beyond SHORT, in SimHash.
 
     Null text stays null, with 0 lines; empty text has one empty line. Null doc_ids come after all
     others. Rows with equal doc_id and text keep the same lines each; with equal doc_id and other
@@ -257,14 +350,14 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.75, small: int = 16) -> Da
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     named = docs.select(doc.alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("digest"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     texts = docs.select(doc.alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("digest"), F.col("text").cast("string").alias("text")).where("text is not null")
-    lines = save(texts.mapInArrow(_measure, "doc long, digest long, line int, h1 long, h2 long, sim long"), "lines")
+    lines = save(texts.mapInArrow(_measure, "doc long, digest long, line int, h1 long, h2 long, sim long, mins binary"), "lines")
 
     place = F.struct("doc", "digest", "line")
-    classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("sim").alias("sim"), F.count("*").alias("n"))
-    classes = save(classes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "sim", "n", "first"), "classes")
-    parts = partitions(spark, classes.count() * 240)
-    packed = classes.select("node", "sim").mapInArrow(_emit(spread(spark, parts)), PACKED)
-    found = save(packed.repartition(parts, "part").mapInArrow(_pair_up(small), CANDIDATES), "candidates")
+    classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("sim").alias("sim"), F.min("mins").alias("mins"), F.count("*").alias("n"))
+    classes = save(classes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "sim", "mins", "n", "first"), "classes")
+    parts = partitions(spark, classes.count() * 24 * (MINS + GRAM_MINS // 2))
+    packed = classes.select("node", "sim", "mins").mapInArrow(_emit(spread(spark, parts)), PACKED)
+    found = save(packed.repartition(parts, "part").mapInArrow(_pair_up(small, threshold), CANDIDATES), "candidates")
 
     ids = found.select(F.explode(F.coalesce("members", F.array("a", "b"))).alias("node")).distinct()
     wanted = save(classes.join(ids, "node", "left_semi").select("node", "sim", "first.*"), "wanted")
@@ -273,12 +366,12 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.75, small: int = 16) -> Da
     norms = save(some.select("text", "lines", "nodes").mapInArrow(_texts, "node long, norm string").join(wanted.select("node", "sim"), "node"), "norms")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (norms.select(F.col("node").alias(x), F.col("norm").alias("t" + x), F.col("sim").alias("s" + x)) for x in "ab")
-        both = pairs.join(a, "a").join(b, "b").where(F.expr(f"bit_count(sa ^ sb) <= {MOST_BITS}"))
+        a, b = (norms.select(F.col("node").alias(x), F.col("norm").alias("t" + x)) for x in "ab")
+        both = pairs.join(a, "a").join(b, "b")
         return both.select("a", "b", "ta", "tb").mapInArrow(_alike(threshold), "a long, b long")
 
     info = norms.select("node", F.struct("sim").alias("info"))
-    comps = link(found, verify, info, _near_in_run)
+    comps = link(found, verify, info, _near_in_run(threshold))
     grouped = classes.join(comps, "node", "left").select("h1", "h2", "n", "first", F.coalesce("comp", "node").alias("comp"), F.col("comp").isNotNull().alias("linked")).where("n > 1 or linked")
     keep = grouped.groupBy("comp").agg(F.min("first").alias("keep"))
     groups = save(grouped.join(keep, "comp").select("h1", "h2", "keep"), "groups")

@@ -138,3 +138,30 @@ def test_simhash_of_long_lines():
     raw = np.frombuffer(norm, np.uint8)
     w = K.words(raw, np.array([0, len(raw)]), K.alphabet("alnum", True))
     assert int(line_dedup.simhash(w.hashes, w.first)[0]) == simhash(norm)
+
+
+def edit_only(norms, threshold=0.75):
+    """Components over all pairs of lines by edit similarity alone, whatever the candidate step."""
+    g = Groups(len(norms))
+    for i in range(len(norms)):
+        for j in range(i):
+            a, b = norms[i], norms[j]
+            most = int(max(len(a), len(b)) * (1 - threshold) + 1e-9)
+            if abs(len(a) - len(b)) <= most and line_dedup.edit_distance(a, b, most) <= most:
+                g.join(i, j)
+    return len({g.find(i) for i in range(len(norms))})
+
+
+def test_word_edits_far_apart_in_simhash(spark):
+    # one to three of 8 to 40 words replaced: mostly more than 3 SimHash bits, all within edit similarity
+    rng = random.Random(12)
+    lines = []
+    for n in (8, 12, 20, 30, 40):
+        for _ in range(12):
+            base = sentence(rng, n).split(" ")
+            other = list(base)
+            for k in rng.sample(range(n), max(1, n // 12)):
+                other[k] = "".join(rng.choices("bdfgkmpz", k=len(base[k])))
+            lines += [" ".join(base), " ".join(other)]
+    gone = _found(spark, [(i, x, *[None] * 9) for i, x in enumerate(lines)])
+    assert sum(r[3] * n for r, n in gone.items()) == len(lines) - edit_only(lines) >= 58
