@@ -19,18 +19,18 @@ SHORT, GRAM_MINS, GRAM = 60, 9, 4
 #: Candidates of which both are longer than SHORT differ in at most this many of 56 SimHash bits
 #: (lines with three quarters of their words in common: 13 on average, others 28).
 MOST_BITS = 24
-#: Lines of fewer words are neither compared nor removed.
-MIN_WORDS = 3
-
-
+#: Lines of fewer words, parted by white space, always stay: blank ones.
+MIN_WORDS = 1
+#: Lines with fewer words of letters and digits have no near copies, only exact ones.
+FUZZY_WORDS = 3
 
 _OTHER = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
+_FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
 def normalise(line: bytes) -> bytes:
-    """The words of a line, parted by one blank: runs of ASCII letters, digits and non-ASCII
-    characters, A-Z folded."""
-    return b" ".join(line.translate(_OTHER).split())
+    """A line with its symbols, A-Z folded, white space as single blanks between words."""
+    return b" ".join(line.translate(_FOLD).split())
 
 
 def simhash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -165,12 +165,12 @@ def _length_code(chars: np.ndarray) -> np.ndarray:
 _LOW = np.uint64(255)
 
 
-def sketch(w: K.Words) -> np.ndarray:
+def sketch(w: K.Words, full: K.Words) -> np.ndarray:
     """SimHash of each line with the code of its normalised length in place of its low byte."""
     chars = np.zeros(len(w.buf) + 1, np.int64)
     np.cumsum((w.buf & 0xC0) != 0x80, out=chars[1:])
-    sums = np.r_[0, np.cumsum(chars[w.ends] - chars[w.starts] + 1)]
-    return simhash(w.hashes, w.first) & ~_LOW | _length_code(sums[w.first[1:]] - sums[w.first[:-1]] - 1)
+    sums = np.r_[0, np.cumsum(chars[full.ends] - chars[full.starts] + 1)]
+    return simhash(w.hashes, w.first) & ~_LOW | _length_code(sums[full.first[1:]] - sums[full.first[:-1]] - 1)
 
 
 def may_link(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
@@ -192,12 +192,12 @@ def line_bounds(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _lines(batch: pa.RecordBatch):
-    """First row, each row's first line, the lines' bounds and words of each slice."""
+    """First row, each row's first line, the lines' bounds, and their words without and with symbols, of each slice."""
     buf, bounds = K.text_buffers(batch.column("text"))
     for i, j in K.slices(bounds):
         starts, first = line_bounds(buf, bounds[i : j + 1])
         cuts = np.append(starts, bounds[j])
-        yield i, first, cuts - cuts[0], K.words(buf, cuts, K.alphabet("alnum", True))
+        yield i, first, cuts - cuts[0], K.words(buf, cuts, K.alphabet("alnum", True)), K.words(buf, cuts, K.alphabet("space", True))
 
 
 def _hashes(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -219,10 +219,10 @@ def _hashes(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
 def _measure(batches):
     for b in batches:
         ids, digest = b.column("doc").to_numpy(), b.column("digest").to_numpy()
-        for i, first, cuts, w in _lines(b):
-            keep = np.flatnonzero(np.diff(w.first) >= MIN_WORDS)
-            h1, h2 = _hashes(w)
-            sim = sketch(w)
+        for i, first, cuts, w, full in _lines(b):
+            keep = np.flatnonzero(np.diff(full.first) >= MIN_WORDS)
+            h1, h2 = _hashes(full)
+            sim = sketch(w, full)
             row = np.searchsorted(first, keep, side="right") - 1
             line = (keep - first[row]).astype(np.int32)
             mins = _pack_mins(w, cuts, sim, keep)
@@ -230,18 +230,21 @@ def _measure(batches):
 
 
 def _pack_mins(w: K.Words, cuts: np.ndarray, sim: np.ndarray, keep: np.ndarray) -> pa.Array:
-    """The MinHashes of the lines ``keep``, two bytes each, one after the other."""
-    full = np.flatnonzero(np.diff(w.first) > 0)
-    words = word_mins(w)[np.searchsorted(full, keep)]
+    """The MinHashes of the lines ``keep``, two bytes each, one after the other; none for lines of
+    fewer than FUZZY_WORDS words."""
+    own = np.flatnonzero(np.diff(w.first)[keep] >= FUZZY_WORDS)
+    some = keep[own]
+    words = word_mins(w)[np.searchsorted(np.flatnonzero(np.diff(w.first) > 0), some)]
     # a little beyond SHORT, so that a line just below meets those just above
     top = int(_length_code(np.array([SHORT * 4 / 3]))[0]) + 1
-    short = np.flatnonzero(((sim[keep] & _LOW) <= top) & (cuts[keep + 1] - cuts[keep] >= GRAM))
-    n = np.full(len(keep), MINS)
-    n[short] += GRAM_MINS
+    short = np.flatnonzero(((sim[some] & _LOW) <= top) & (cuts[some + 1] - cuts[some] >= GRAM))
+    n = np.zeros(len(keep), np.int64)
+    n[own] = MINS
+    n[own[short]] += GRAM_MINS
     ends = np.cumsum(n)
     out = np.empty(int(n.sum()), np.uint16)
-    out[(ends - n)[:, None] + np.arange(MINS)] = words
-    out[ends[short][:, None] + np.arange(-GRAM_MINS, 0)] = gram_mins(w.buf, cuts[keep[short]], cuts[keep[short] + 1])
+    out[(ends - n)[own][:, None] + np.arange(MINS)] = words
+    out[ends[own[short]][:, None] + np.arange(-GRAM_MINS, 0)] = gram_mins(w.buf, cuts[some[short]], cuts[some[short] + 1])
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.r_[0, 2 * ends].astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
 
 
@@ -249,11 +252,12 @@ def keys_of(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All keys of the rows of :func:`_pack_mins`, and the row of each."""
     packed = packed.cast(pa.large_binary())
     ends = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1] // 2
-    raw = np.frombuffer(packed.buffers()[2], np.uint16, ends[-1])
-    words = band_keys(raw[ends[:-1, None] + np.arange(MINS)], 0)
+    raw = np.frombuffer(packed.buffers()[2], np.uint16, ends[-1]) if ends[-1] else np.zeros(0, np.uint16)
+    some = np.flatnonzero(np.diff(ends))
+    words = band_keys(raw[ends[some][:, None] + np.arange(MINS)], 0)
     more = np.flatnonzero(np.diff(ends) > MINS)
     grams = band_keys(raw[ends[more + 1][:, None] + np.arange(-GRAM_MINS, 0)], MINS)
-    return np.r_[words.ravel(), grams.ravel()], np.r_[np.repeat(np.arange(len(packed)), MINS), np.repeat(more, GRAM_MINS)]
+    return np.r_[words.ravel(), grams.ravel()], np.r_[np.repeat(some, MINS), np.repeat(more, GRAM_MINS)]
 
 
 def _emit(labels: list[int]):
@@ -337,7 +341,8 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.75, small: int = 16) -> Da
     they are equal, or when 1 - edit distance / longer length, in characters, is at least
     ``threshold``. Of each
     connected group only the occurrence with the smallest (doc_id, line) stays. Lines of fewer
-    than MIN_WORDS words, blank ones among them, always stay.
+    than FUZZY_WORDS words of letters and digits, such as rows of symbols, link only when equal;
+    blank lines always stay.
 
     Equal lines are one node. Compared are nodes that share a key of three MinHashes of words or,
     up to SHORT characters, of runs of GRAM bytes (see the README for the share of links that

@@ -165,3 +165,14 @@ def test_word_edits_far_apart_in_simhash(spark):
             lines += [" ".join(base), " ".join(other)]
     gone = _found(spark, [(i, x, *[None] * 9) for i, x in enumerate(lines)])
     assert sum(r[3] * n for r, n in gone.items()) == len(lines) - edit_only(lines) >= 58
+
+
+def test_short_lines_and_symbols(spark):
+    texts = ["ok\n| --- | --- |\n\nx = a[i] + b(j) - c", "OK\n|  ---  | --- |\n\nx = a[i] + b(j) + c", "two words\n| === |\nbb, cc, dd", "two  words\nno words\nbb%%%%%%%% cc^^^^^^^^ dd########\n  "]
+    got = {i: (kept, gone) for i, kept, _, gone in _found(spark, [(i, t, *[None] * 9) for i, t in enumerate(texts)])}
+    assert got == {
+        0: (texts[0], 0),
+        1: ("", 3),  # a word, a table bar, and one symbol of a line of code that is near enough
+        2: (texts[2], 0),
+        3: ("no words\nbb%%%%%%%% cc^^^^^^^^ dd########\n  ", 1),  # alike but for symbols, and these are most of it
+    }
