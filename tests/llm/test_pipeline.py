@@ -67,3 +67,9 @@ def test_registered():
     for n in range(1, 11):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert alnum("A-b") == ["a", "b"]
+
+
+def test_documents_stay_without_languages(spark):
+    data = [(1, "some words", None, *[None] * 8), (2, "123 ...", None, *[None] * 8), (3, None, None, *[None] * 8)]
+    kept = corpus_pipeline.language_id(spark, spark.createDataFrame(data, DOCS), "/root/testdata/sf0.001")
+    assert [r.doc_id for r in kept.collect()] == [1]
