@@ -17,8 +17,8 @@ from .tables import ship
 ORDER = 3  # bytes of the longest context
 UNKNOWN = "und"
 #: The model is fitted on about so many labelled documents of each language, chosen by a
-#: hash of doc_id, and on the most frequent languages only.
-FIT_DOCS, FIT_LANGUAGES = 2_000, 256
+#: hash of doc_id, and on all languages.
+FIT_DOCS = 2_000
 UNITS = 1024  # costs are kept in 1/1024 bit, so that sums are exact
 
 RESULT = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
@@ -112,7 +112,7 @@ class Coder:
         row = self.row[slot]
         missing = np.flatnonzero((row < 0) | (self.key[slot] != code))
         if len(missing):
-            if len(self.cost) > 4_000_000:
+            if self.cost.size > 16_000_000:
                 self.row[:], self.cost = -1, self.cost[:0]
                 return self.rows(code)
             new, at = np.unique(code[missing], return_inverse=True)
@@ -152,7 +152,7 @@ def _count(langs: list[str]):
 def fit(docs: DataFrame, where: Column, fit_docs: int = FIT_DOCS) -> Trees | None:
     """Context trees from text and lang of the rows of ``docs`` that ``where`` admits."""
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(where & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return None

@@ -153,3 +153,8 @@ def test_passage_is_found(spark):
     for r in found:
         if r.doc_id % 4 == 0:
             assert any(s["first"] <= 41 and s["last"] >= 43 for s in r.segments)
+
+
+def test_more_than_256_languages(spark):
+    docs = spark.createDataFrame([(i, f"text{i:03d} " * 3, f"l{i:03d}") for i in range(300)], "doc_id long, text string, lang string")
+    assert language.fit(docs, F.lit(True)).langs == [f"l{i:03d}" for i in range(300)]
