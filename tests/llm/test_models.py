@@ -158,3 +158,7 @@ def test_passage_is_found(spark):
 def test_more_than_256_languages(spark):
     docs = spark.createDataFrame([(i, f"text{i:03d} " * 3, f"l{i:03d}") for i in range(300)], "doc_id long, text string, lang string")
     assert language.fit(docs, F.lit(True)).langs == [f"l{i:03d}" for i in range(300)]
+
+
+def test_toxicity_fits_on_forty_thousand_rows():
+    assert toxicity.FIT_ROWS == 40_000
