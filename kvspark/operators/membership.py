@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column
 
 from ..functions.bloom import positions
 
@@ -41,6 +42,16 @@ def sketch(df: DataFrame, col: str, expected: int, rate: float):
     return df._jdf.stat().bloomFilter(col, expected, rate)
 
 
+def missed(df: DataFrame, made, col: str) -> int:
+    """How many rows with a value in the long column ``col`` the sketch denies, counted on the executors."""
+    out = df.sparkSession._jvm.java.io.ByteArrayOutputStream()
+    made.writeTo(out)
+    jvm = df.sparkSession._jvm.org.apache.spark.sql
+    bits, value = (jvm.classic.ExpressionUtils.expression(c._jc) for c in (F.lit(bytes(out.toByteArray())), F.col(col)))
+    kept = Column(jvm.classic.ExpressionUtils.column(jvm.catalyst.expressions.BloomFilterMightContain(bits, value)))
+    return df.where(~kept).count()
+
+
 def rates(probed: DataFrame, present: DataFrame, key: str = "key") -> DataFrame:
     """checks, positives, false_positives and the false-positive rate among absent keys."""
     known = present.select(F.col(key), F.lit(True).alias("present")).distinct()

@@ -405,7 +405,8 @@ def bloom_sketch(spark, sf):
     """Spark's sketch over even keys: no false negatives, few false positives."""
     members = _members(spark, sf)
     made = membership.sketch(members, "key", max(1, members.count()), 0.01)
-    return spark.createDataFrame([(int(made.bitSize()), float(made.expectedFpp()), all(made.mightContainLong(2 * k) for k in range(100)))], "bits long, expected_fp double, keeps boolean")
+    missed = membership.missed(members, made, "key")
+    return spark.createDataFrame([(int(made.bitSize()), float(made.expectedFpp()), missed == 0, missed)], "bits long, expected_fp double, keeps boolean, missed long")
 
 
 def _filter_stats(spark, sf):

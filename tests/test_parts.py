@@ -195,3 +195,14 @@ def test_against_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).columns == ["key", "value"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_sketch_misses_are_counted_over_all_keys(spark):
+    from kvspark.operators import membership
+    from kvspark.queries import bloom_sketch
+
+    keys = spark.range(0, 4000, 2).withColumnRenamed("id", "key")
+    assert membership.missed(keys, membership.sketch(keys, "key", 2000, 0.01), "key") == 0
+    # the first hundred keys alone would pass
+    assert membership.missed(keys, membership.sketch(keys.where("key < 200"), "key", 2000, 0.01), "key") > 1800
+    assert bloom_sketch(spark, "/root/testdata/sf0.001").first()["missed"] == 0
