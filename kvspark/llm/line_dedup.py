@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .tables import CANDIDATES, PACKED, Candidates, Packer, link, only_ids, partitions, save, ship, spread, unpack
-
-#: MinHashes of a line's words, as many keys as these, each of three of them. Long words, which
-#: lines rarely share by chance, are chosen more often: a word weighs its length, up to LONGEST, squared.
-MINS, LONGEST = 20, 6
-#: Lines of up to SHORT characters have further keys of MinHashes of their runs of GRAM bytes.
-SHORT, GRAM_MINS, GRAM = 60, 9, 4
+from .tables import CANDIDATES, PACKED, Candidates, Packer, known_bytes, lean, link, only_ids, partitions, save, ship, spread, unpack
+
+#: MinHashes of a line's words, as many keys as these, each of three of them, WORD_STEPS apart: no two
+#: keys have more than one in common. Long words, which lines rarely share by chance, are chosen more
+#: often: a word weighs its length, up to LONGEST, squared.
+MINS, WORD_STEPS, LONGEST = 16, (0, 1, 4), 6
+#: Lines of up to SHORT characters have further keys, each of three MinHashes of their runs of GRAM bytes.
+SHORT, GRAM_MINS, GRAM_STEPS, GRAM = 60, 7, (0, 1, 3), 4
 #: Candidates of which both are longer than SHORT differ in at most this many of 56 SimHash bits
-#: (lines with three quarters of their words in common: 13 on average, others 28).
-MOST_BITS = 24
+#: (lines with an edit similarity of 0.75 or more: 7 on average, of 1,266 such pairs none over 20; others 22 to 28).
+MOST_BITS = 20
 #: Lines of fewer words, parted by white space, always stay: blank ones.
 MIN_WORDS = 1
 #: Lines with fewer words of letters and digits have no near copies, only exact ones.
@@ -90,13 +91,39 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score
 
 
+#: Words that :func:`aligned` looks ahead for the next one in common.
+AHEAD = 4
+
+
+def aligned(x: list[str], y: list[str], most: int) -> int:
+    """A bound from above on the edit distance of two lines by their words, or a number over ``most``:
+    from left to right, what stands between words in common is replaced."""
+    i = j = cost = 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        for p, q in _STEPS:
+            if i + p < len(x) and j + q < len(y) and x[i + p] == y[j + q]:
+                break
+        else:
+            p = q = 1
+        cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q) - (p == q == 1)
+        if cost > most:
+            return cost
+        i, j = i + p, j + q
+    return cost + sum(map(len, x[i:])) + len(x) - i + sum(map(len, y[j:])) + len(y) - j
+
+
+_STEPS = sorted(((p, q) for p in range(AHEAD + 1) for q in range(AHEAD + 1) if p + q), key=lambda s: (sum(s), abs(s[0] - s[1])))
+
+
 def alike(a: str, b: str, threshold: float) -> bool:
     """Whether 1 - edit distance / longer length is at least ``threshold``."""
     most = int(max(len(a), len(b)) * (1 - threshold) + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y) and sum(max(len(u), len(v)) for u, v in zip(x, y) if u != v) <= most:
+    if aligned(a.split(" "), b.split(" "), most) <= most:
         return True  # word by word it is near enough
     low, high = 0, 0
     short = min(len(a), len(b))
@@ -121,7 +148,7 @@ _RARE = 1.0 / np.clip(np.arange(LONGEST + 1), 1, None) ** 2.0
 
 
 def _short(mins: list[np.ndarray]) -> np.ndarray:
-    """16 bits of each MinHash: three make a key of 48."""
+    """16 bits of each MinHash: three make a key."""
     return np.stack([(K.mix(x) >> np.uint64(48)).astype(np.uint16) for x in mins], axis=1)
 
 
@@ -149,12 +176,12 @@ def gram_mins(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
     return _short([np.minimum.reduceat(K.mix(x * m), first) for m in _SEEDS[MINS:]])
 
 
-def band_keys(mins: np.ndarray, salt: int) -> np.ndarray:
+def band_keys(mins: np.ndarray, steps: tuple[int, ...], salt: int) -> np.ndarray:
     """As many keys of each row as it has MinHashes; no two are made of more than one in common."""
-    n = mins.shape[1]
-    x = mins.astype(np.uint64)
-    y = x | np.roll(x, -1, axis=1) << np.uint64(16) | np.roll(x, -4, axis=1) << np.uint64(32)
-    return K.mix(y + (np.arange(n, dtype=np.uint64) + np.uint64(salt) << np.uint64(48)))
+    key = np.zeros(mins.shape, np.uint64)
+    for k in steps:
+        key = K.mix(key + np.roll(mins, -k, axis=1).astype(np.uint64))
+    return K.mix(key + (np.arange(mins.shape[1], dtype=np.uint64) + np.uint64(salt) << np.uint64(48)))
 
 
 def _length_code(chars: np.ndarray) -> np.ndarray:
@@ -254,9 +281,9 @@ def keys_of(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1] // 2
     raw = np.frombuffer(packed.buffers()[2], np.uint16, ends[-1]) if ends[-1] else np.zeros(0, np.uint16)
     some = np.flatnonzero(np.diff(ends))
-    words = band_keys(raw[ends[some][:, None] + np.arange(MINS)], 0)
+    words = band_keys(raw[ends[some][:, None] + np.arange(MINS)], WORD_STEPS, 0)
     more = np.flatnonzero(np.diff(ends) > MINS)
-    grams = band_keys(raw[ends[more + 1][:, None] + np.arange(-GRAM_MINS, 0)], MINS)
+    grams = band_keys(raw[ends[more + 1][:, None] + np.arange(-GRAM_MINS, 0)], GRAM_STEPS, MINS)
     return np.r_[words.ravel(), grams.ravel()], np.r_[np.repeat(some, MINS), np.repeat(more, GRAM_MINS)]
 
 
@@ -284,35 +311,38 @@ def _pair_up(small: int, threshold: float):
             def near(i, j, sim=sim):
                 return may_link(sim[i], sim[j], threshold)
 
-            yield from Candidates(small).emit(node, start, np.diff(np.r_[start, len(key)]), near)
+            yield from Candidates(small, shatter=True).emit(node, start, np.diff(np.r_[start, len(key)]), near)
 
     return run
 
 
 def _near_in_run(threshold: float):
-    """Which of some lines may link with one of them."""
+    """Which pairs of some lines may link."""
 
     def near(infos):
         sim = infos.field("sim").to_numpy().view(np.uint64)
-        return lambda x, others: may_link(sim[others], sim[x], threshold)
+        return lambda i, j: may_link(sim[i], sim[j], threshold)
 
     return near
 
 
 def _texts(batches):
     """Normalised text of the wanted lines of each document."""
+    schema = pa.schema([("node", pa.int64()), ("norm", pa.string()), ("sim", pa.int64()), ("chars", pa.int32())])
     for b in batches:
         wanted = b.column("lines").to_pylist()
-        nodes = b.column("nodes").to_pylist()
         buf, bounds = K.text_buffers(b.column("text"))
-        out: dict[str, list] = {"node": [], "norm": []}
+        out: list[dict] = []
         for r in range(b.num_rows):
             lines = buf[bounds[r] : bounds[r + 1]].tobytes().split(b"\n")
-            for k, node in zip(wanted[r], nodes[r]):
-                if k < len(lines):
-                    out["node"].append(node)
-                    out["norm"].append(normalise(lines[k]).decode(errors="replace"))
-        yield pa.RecordBatch.from_arrays([pa.array(out["node"], pa.int64()), pa.array(out["norm"], pa.string())], ["node", "norm"])
+            for x in wanted[r]:
+                if x["line"] < len(lines):
+                    norm = normalise(lines[x["line"]]).decode(errors="replace")
+                    out.append({"node": x["node"], "norm": norm, "sim": x["sim"], "chars": len(norm)})
+            if len(out) > 5000:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, schema)
 
 
 def _cut(batches):
@@ -355,25 +385,28 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.75, small: int = 16) -> Da
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     named = docs.select(doc.alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("digest"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     texts = docs.select(doc.alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("digest"), F.col("text").cast("string").alias("text")).where("text is not null")
-    lines = save(texts.mapInArrow(_measure, "doc long, digest long, line int, h1 long, h2 long, sim long, mins binary"), "lines")
+    lines = save(texts.mapInArrow(lean(_measure), "doc long, digest long, line int, h1 long, h2 long, sim long, mins binary"), "lines")
 
     place = F.struct("doc", "digest", "line")
     classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("sim").alias("sim"), F.min("mins").alias("mins"), F.count("*").alias("n"))
     classes = save(classes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "sim", "mins", "n", "first"), "classes")
     parts = partitions(spark, classes.count() * 24 * (MINS + GRAM_MINS // 2))
-    packed = classes.select("node", "sim", "mins").mapInArrow(_emit(spread(spark, parts)), PACKED)
-    found = save(packed.repartition(parts, "part").mapInArrow(_pair_up(small, threshold), CANDIDATES), "candidates")
+    packed = classes.select("node", "sim", "mins").mapInArrow(lean(_emit(spread(spark, parts))), PACKED)
+    found = save(packed.repartition(parts, "part").mapInArrow(lean(_pair_up(small, threshold)), CANDIDATES), "candidates")
 
     ids = found.select(F.explode(F.coalesce("members", F.array("a", "b"))).alias("node")).distinct()
     wanted = save(classes.join(ids, "node", "left_semi").select("node", "sim", "first.*"), "wanted")
-    by_doc = wanted.groupBy("doc", "digest").agg(F.collect_list("line").alias("lines"), F.collect_list("node").alias("nodes"))
+    by_doc = wanted.groupBy("doc", "digest").agg(F.collect_list(F.struct("line", "node", "sim")).alias("lines"))
     some = only_ids(texts, wanted.select("doc").distinct(), "doc").dropDuplicates(["doc", "digest"]).join(by_doc, ["doc", "digest"])
-    norms = save(some.select("text", "lines", "nodes").mapInArrow(_texts, "node long, norm string").join(wanted.select("node", "sim"), "node"), "norms")
+    norms = save(some.select("text", "lines").mapInArrow(lean(_texts), "node long, norm string, sim long, chars int"), "norms")
+
+    norms = known_bytes(norms, "norm")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (norms.select(F.col("node").alias(x), F.col("norm").alias("t" + x)) for x in "ab")
-        both = pairs.join(a, "a").join(b, "b")
-        return both.select("a", "b", "ta", "tb").mapInArrow(_alike(threshold), "a long, b long")
+    def verify(pairs: DataFrame, screened: bool) -> DataFrame:
+        a, b = (norms.select(F.col("node").alias(x), F.col("norm").alias("t" + x), F.col("chars").alias("n" + x)) for x in "ab")
+        both = pairs.join(a, "a").join(b, "b").withColumn("most", F.floor(F.greatest("na", "nb") * F.lit(1 - threshold) + 1e-9).cast("int"))
+        both = both.where(F.abs(F.col("na") - F.col("nb")) <= F.col("most"))
+        return both.select("a", "b", "ta", "tb").mapInArrow(lean(_alike(threshold)), "a long, b long")
 
     info = norms.select("node", F.struct("sim").alias("info"))
     comps = link(found, verify, info, _near_in_run(threshold))
@@ -388,4 +421,4 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.75, small: int = 16) -> Da
     ids = gone.select("doc").distinct()
     changed = only_ids(named, ids, "doc").join(gone, ["doc", "digest"], "left").select("row", "gone")
     same = only_ids(named, ids, "doc", "left_anti").select("row", F.lit(None).cast("array<int>").alias("gone"))
-    return changed.union(same).mapInArrow(_cut, schema)
+    return changed.union(same).mapInArrow(lean(_cut), schema)

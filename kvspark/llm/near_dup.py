@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import CANDIDATES, PACKED, Candidates, Packer, known, link, only_ids, partitions, runs_of, save, ship, spread, unpack
+from .tables import CANDIDATES, PACKED, Candidates, Packer, known, known_bytes, lean, link, only_ids, partitions, runs_of, save, ship, spread, unpack
 
 #: Sizes of one band differ by less than this factor. Linked sets are in one band or in two adjacent ones.
 BAND = 4 / 3
@@ -186,7 +186,7 @@ def _stats(size: int, local: int):
                     found[r] = (len(s), *digest(s), band, sketch(s, band), sketch(s, band + 1))
                 near += sets
                 pending += sum(map(len, sets))
-                if pending > 4_000_000:
+                if pending > 1_000_000:
                     yield often()
                     near, pending = [], 0
             for r in range(len(ids)):
@@ -249,14 +249,17 @@ def _pair_up(small: int, threshold: float):
 
 
 def _near_sketches(threshold: float):
-    """Keeps pairs whose sketches allow a link."""
+    """Keeps pairs whose sizes and sketches, in the larger one's band, allow a link."""
+    p = round(threshold * 100)
 
     def run(batches):
         for b in batches:
-            most = most_apart(b.column("na").to_numpy(), b.column("nb").to_numpy(), threshold)
-            keep = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column("sa"), b.column("sb"))):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+            step = b.column("ba").to_numpy() - b.column("bb").to_numpy()
+            most = most_apart(na, nb, threshold)
+            keep = (np.abs(step) <= 1) & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * p)
+            for i in np.flatnonzero(keep).tolist():
+                u, v = (np.frombuffer(b.column(("next" if d else "own") + x)[i].as_buffer(), np.uint64) for x, d in (("a", step[i] < 0), ("b", step[i] > 0)))
                 keep[i] = int(np.bitwise_count(u ^ v).sum()) <= most[i]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
 
@@ -264,8 +267,7 @@ def _near_sketches(threshold: float):
 
 
 def _near_in_run(threshold: float):
-    """Which of some nodes can link with one of them: sizes first, then sketches in the larger
-    one's band."""
+    """Which pairs of some nodes can link: sizes first, then sketches in the larger one's band."""
     p = round(threshold * 100)
 
     def near(infos):
@@ -279,16 +281,18 @@ def _near_in_run(threshold: float):
                 col = infos.field(which)
                 sketches[k, which] = np.stack([np.frombuffer(col[int(i)].as_buffer(), np.uint64) for i in at])
 
-        def close(x, others):
-            out = np.zeros(len(others), bool)
-            k = int(band[x])
-            for other, mine, theirs in ((k, "own", "own"), (k + 1, "next", "own"), (k - 1, "own", "next")):
-                own = np.flatnonzero(band[others] == other)
-                if len(own):
-                    at = others[own]
-                    apart = np.bitwise_count(sketches[other, theirs][rows[at]] ^ sketches[k, mine][rows[x]]).sum(axis=1)
-                    fits = np.minimum(n[at], n[x]) * 100 >= np.maximum(n[at], n[x]) * p
-                    out[own] = fits & (apart <= most_apart(n[at], n[x], threshold))
+        def close(i, j):
+            out = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * p
+            most = most_apart(n[i], n[j], threshold)
+            step = band[i] - band[j]
+            out &= np.abs(step) <= 1
+            for k in np.unique(band[i[out]]).tolist():
+                for d, mine, theirs in ((0, "own", "own"), (-1, "next", "own"), (1, "own", "next")):
+                    at = np.flatnonzero(out & (band[i] == k) & (step == d))
+                    for c in range(0, len(at), 50_000):
+                        own = at[c : c + 50_000]
+                        x = sketches[k, mine][rows[i[own]]] ^ sketches[k - d, theirs][rows[j[own]]]
+                        out[own] = np.bitwise_count(x).sum(axis=1) <= most[own]
             return out
 
         return close
@@ -358,7 +362,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: float = 0.75,
     spark = ship(docs.sparkSession)
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    table = save(docs.mapInArrow(_stats(size, 3), _STATS), "stats")
+    table = save(docs.mapInArrow(lean(_stats(size, 3)), _STATS), "stats")
     rows = table.where("shingles is null").drop("shingles")
     n_docs, n_shingles = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     often = table.where("shingles is not null").select("shingles").mapInArrow(_unlist, "s long, c long")
@@ -366,8 +370,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: float = 0.75,
     frequent = np.sort(np.array([r[0] for r in often.select("s").collect()], np.int64).view(np.uint64))
 
     parts = partitions(spark, n_shingles * 0.8 * 8)
-    packed = docs.mapInArrow(_keys(size, threshold, frequent, spread(spark, parts)), PACKED)
-    found = save(packed.repartition(parts, "part").mapInArrow(_pair_up(small, threshold), CANDIDATES), "candidates")
+    packed = docs.mapInArrow(lean(_keys(size, threshold, frequent, spread(spark, parts))), PACKED)
+    found = save(packed.repartition(parts, "part").mapInArrow(lean(_pair_up(small, threshold)), CANDIDATES), "candidates")
 
     nodes = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("node").alias("node"), F.min("doc_id").alias("doc_id"))
     nodes = save(nodes, "nodes")
@@ -379,27 +383,18 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: float = 0.75,
     texts = only_ids(docs.where("doc_id is not null"), wanted.select("doc_id").where("doc_id is not null").distinct(), "doc_id").select("text")
     if wanted.where("doc_id is null").take(1):
         texts = texts.union(docs.where("doc_id is null").select("text"))
-    texts = texts.mapInArrow(_texts(size), "d1 long, d2 long, packed binary")
+    texts = texts.mapInArrow(lean(_texts(size)), "d1 long, d2 long, packed binary")
     texts = save(texts.join(known(wanted.select("d1", "d2", "node")), ["d1", "d2"]).select("node", "packed").dropDuplicates(["node"]), "texts")
-    sizes = known(save(some.select("node", "n", "band"), "sizes"))
-    by_band = some.select("node", F.explode(F.array(F.struct("band", F.col("own").alias("sketch")), F.struct((F.col("band") + 1).alias("band"), F.col("next").alias("sketch")))).alias("s")).select("node", "s.*")
-
-    def ends(pairs: DataFrame) -> DataFrame:
-        """The nodes of some pairs: what is sent to the pairs is cut to these first."""
-        return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        for x in "ab":
-            pairs = pairs.join(sizes.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("band").alias("b" + x)), x)
-        pairs = pairs.where((F.abs(F.col("ba") - F.col("bb")) <= 1) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * round(100 * threshold)))
-        pairs = save(pairs.select("a", "b", "na", "nb", F.greatest("ba", "bb").alias("band")), "sized")
-        sketches = only_ids(by_band, ends(pairs), "node")
-        for x in "ab":
-            pairs = pairs.join(sketches.select(F.col("node").alias(x), "band", F.col("sketch").alias("s" + x)), [x, "band"])
-        close = save(pairs.mapInArrow(_near_sketches(threshold), "a long, b long"), "close")
-        wanted_texts = only_ids(texts, ends(close), "node")
-        ta, tb = (wanted_texts.select(F.col("node").alias(x), F.col("packed").alias("t" + x)) for x in "ab")
-        return close.join(tb, "b").join(ta, "a").sortWithinPartitions("a").mapInArrow(_same(size, threshold), "a long, b long")
+    sketches, texts = known_bytes(some, "own", "next"), known_bytes(texts, "packed")
+
+    def verify(pairs: DataFrame, screened: bool) -> DataFrame:
+        if not screened:
+            for x in "ab":
+                pairs = pairs.join(sketches.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("band").alias("b" + x), F.col("own").alias("own" + x), F.col("next").alias("next" + x)), x)
+            pairs = save(pairs.mapInArrow(lean(_near_sketches(threshold)), "a long, b long"), "close")
+        ta, tb = (texts.select(F.col("node").alias(x), F.col("packed").alias("t" + x)) for x in "ab")
+        both = pairs.join(tb, "b").join(ta, "a").sortWithinPartitions("a")
+        return both.mapInArrow(lean(_same(size, threshold)), "a long, b long")
 
     # from here on nodes stand for tags
     names = known(save(wanted.select("tag", "node"), "names"))

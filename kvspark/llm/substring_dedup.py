@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import PACKED, Packer, only_ids, partitions, save, ship, spread, unpack
+from .tables import PACKED, Packer, lean, only_ids, partitions, save, ship, spread, unpack
 
 #: For any two positions some shift below 7 takes both into this set modulo 7.
 PERIOD, COVER = 7, (0, 1, 3)
@@ -229,15 +229,15 @@ def remove_repeats(docs: DataFrame, window: int = 13, keep_text: bool = False) -
     labels = spread(spark, parts)
 
     def traced(packed: DataFrame, find, name: str) -> DataFrame:
-        back = packed.repartition(parts, "part").mapInArrow(find(labels), PACKED)
-        return save(back.repartition(parts, "part").mapInArrow(_gather, "doc_id long, hits binary"), name)
+        back = packed.repartition(parts, "part").mapInArrow(lean(find(labels)), PACKED)
+        return save(back.repartition(parts, "part").mapInArrow(lean(_gather), "doc_id long, hits binary"), name)
 
     def returned(hits: DataFrame) -> DataFrame:
         return only_ids(known, hits.select("doc_id"), "doc_id").join(hits, "doc_id").select("doc_id", "text", "hits")
 
-    shared = traced(known.mapInArrow(_emit_anchors(window, labels), PACKED), _shared, "anchors")
-    late = traced(returned(shared).mapInArrow(_emit_windows(window, labels), PACKED), _later, "windows")
+    shared = traced(known.mapInArrow(lean(_emit_anchors(window, labels)), PACKED), _shared, "anchors")
+    late = traced(returned(shared).mapInArrow(lean(_emit_windows(window, labels)), PACKED), _later, "windows")
     schema = _RESULT + ", kept string"
     ids = late.select("doc_id")
-    out = returned(late).mapInArrow(_cut(window, True), schema).union(only_ids(docs, ids, "doc_id", "left_anti").select("doc_id", "text").mapInArrow(_cut(window, False), schema))
+    out = returned(late).mapInArrow(lean(_cut(window, True)), schema).union(only_ids(docs, ids, "doc_id", "left_anti").select("doc_id", "text").mapInArrow(lean(_cut(window, False)), schema))
     return out if keep_text else out.drop("kept")

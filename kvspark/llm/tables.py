@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -19,9 +20,12 @@ MAX_BROADCAST_IDS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where none is set."""
+    """The shared folder of the cluster; one of our own only where none is set and all runs on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         path = tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
         atexit.register(_remove_local, path)
@@ -51,6 +55,25 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` for mapInArrow, after which the worker gives the memory it has freed back to the system:
+    workers are kept for later tasks, and so would be their largest size."""
+
+    def inner(batches):
+        import ctypes
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return inner
+
+
 def _remove_local(path: str) -> None:
     import shutil
 
@@ -76,7 +99,7 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "le
     return df.join(F.broadcast(ids) if small else ids, key, how)
 
 
-def partitions(spark: SparkSession, n_bytes: float, each: int = 16 << 20) -> int:
+def partitions(spark: SparkSession, n_bytes: float, each: int = 8 << 20) -> int:
     """Enough shuffle partitions for ``n_bytes`` at ``each`` bytes, and no fewer than configured."""
     return int(min(60_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // each))))
 
@@ -86,6 +109,17 @@ def known(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+#: Rows with long columns are broadcast up to so many bytes.
+MAX_BROADCAST_BYTES = 12 << 20
+
+
+def known_bytes(df: DataFrame, *long: str) -> DataFrame:
+    """A written table to join with: broadcast only if its ``long`` columns and 64 bytes a row are
+    at most MAX_BROADCAST_BYTES."""
+    size = df.agg(F.coalesce(F.sum(sum((F.octet_length(c) for c in long), F.lit(64))), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= MAX_BROADCAST_BYTES else df
+
+
 def spread(spark: SparkSession, n: int) -> list[int]:
     """For each partition 0..n-1 an int that Spark's hash partitioning sends there, so
     that n labels fill n partitions evenly."""
@@ -99,13 +133,19 @@ def spread(spark: SparkSession, n: int) -> list[int]:
 
 
 PACKED = "part int, blob binary"
+#: Blobs go to the JVM in batches of about so many bytes.
+MAX_BATCH_BYTES = 4 << 20
+
+
+def _packed(parts: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
 
 class Packer:
     """Collects (64-bit key, node) entries of one task and turns them into one blob for
     each shuffle part: 8 bytes an entry instead of a row."""
 
-    def __init__(self, labels: list[int], flush: int = 2_000_000):
+    def __init__(self, labels: list[int], flush: int = 1_000_000):
         self.labels, self.most = labels, flush
         self.nodes: list[np.ndarray] = []
         self.keys: list[np.ndarray] = []
@@ -134,7 +174,7 @@ class Packer:
             part = (((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.uint16)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(n + 1))
-            parts, blobs = [], []
+            parts, blobs, pending = [], [], 0
             for p in range(n):
                 own = order[cuts[p] : cuts[p + 1]]
                 if len(own):
@@ -143,8 +183,12 @@ class Packer:
                     head = np.array([len(own), len(used), extra is not None], np.int64)
                     parts.append(self.labels[p])
                     blobs.append(b"".join((head.tobytes(), nodes[used].tobytes(), k.astype(np.uint32).tobytes(), ((k >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), at.astype(np.uint16).tobytes(), b"" if extra is None else extra[own].tobytes())))
-            for i in range(0, len(parts), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(parts[i : i + 64], pa.int32()), pa.array(blobs[i : i + 64], pa.binary())], ["part", "blob"])
+                    pending += len(blobs[-1])
+                    if pending > MAX_BATCH_BYTES:
+                        yield _packed(parts, blobs)
+                        parts, blobs, pending = [], [], 0
+            if parts:
+                yield _packed(parts, blobs)
         self.nodes, self.keys, self.index, self.extra, self.n_nodes, self.n_keys = [], [], [], [], 0, 0
 
 
@@ -181,13 +225,60 @@ def runs_of(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key, node, start, np.diff(np.r_[start, len(key)])
 
 
+#: Up to so many edges (16 bytes each) that are left of the tasks' own forests, one task finds the components.
+ONE_TASK_EDGES = 2_000_000
+
+
+def labels_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges and the smallest node of each one's component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    up = np.arange(len(nodes))
+    while len(a):
+        x, y = up[a], up[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (up[up] != up).any():
+            up = up[up]
+    return nodes, nodes[up]
+
+
+def _forest(batches):
+    """Each node of the task's edges with the smallest of its component there: no more edges than nodes."""
+    held = [(np.zeros(0, np.int64),) * 2]
+    n = 0
+
+    def joined():
+        return labels_of(*map(np.concatenate, zip(*held)))
+
+    for x in batches:
+        held.append((x.column("a").to_numpy(), x.column("b").to_numpy()))
+        n += x.num_rows
+        if n > ONE_TASK_EDGES:  # as many nodes can't be exceeded by their forest: it is sent on
+            nodes, least = joined()
+            yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(nodes)], ["a", "b"])
+            held, n = [(np.zeros(0, np.int64),) * 2], 0
+    nodes, least = joined()
+    yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(nodes)], ["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of every linked node; comp is the smallest node of its component.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014) until the edges no
-    longer change. Minima are aggregated before the shuffle, so a node with very many links
+    Tasks reduce their edges to forests first. What is left goes to one task up to ONE_TASK_EDGES edges;
+    beyond, large-star and small-star steps (Kiveris et al., 2014) alternate until the edges no
+    longer change, with minima aggregated before the shuffle, so a node with very many links
     costs no more than others. ``links`` has longs a and b."""
-    edges = save(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
+    edges = save(edges.mapInArrow(lean(_forest), "a long, b long"), "edges")
+    if edges.count() <= ONE_TASK_EDGES:
+        return edges.repartition(1).mapInArrow(lean(_forest), "a long, b long").select(F.col("b").alias("node"), F.col("a").alias("comp"))
+    return stars(edges.where("a < b"))
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """:func:`components` of more edges than one task may have."""
     state = _state(edges)
     while state[0]:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
@@ -207,30 +298,55 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
+#: Runs of more nodes are not taken apart before they are linked.
+WHOLE_NODES = 8192
+
 CANDIDATES = "a long, b long, members array<bigint>"
 
 
 class Candidates:
     """Turns runs of nodes that share a key into candidate pairs. A run of at most ``small``
     nodes gives all its pairs; a larger one gives the pairs of its first node, and its
-    members are kept for :func:`link`."""
-
-    def __init__(self, small: int = 16):
-        self.small = small
+    members are kept for :func:`link`. With ``shatter`` a larger run of up to WHOLE_NODES nodes falls into
+    the parts that ``near`` connects first, so that nodes which merely share a key don't stay together."""
+
+    def __init__(self, small: int = 16, shatter: bool = False):
+        self.small, self.shatter = small, shatter
+
+    @staticmethod
+    def _parts(s: int, n: int, near: Callable) -> list[np.ndarray]:
+        """The positions s to s + n in parts of two or more that ``near`` connects."""
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x in range(s, s + n, 256):
+            i, j = (v.ravel() for v in np.meshgrid(np.arange(x, min(x + 256, s + n)), np.arange(x, s + n), indexing="ij"))
+            ok = i < j
+            ok[ok] = near(i[ok], j[ok])
+            left.append(i[ok])
+            right.append(j[ok])
+        nodes, least = labels_of(np.concatenate(left), np.concatenate(right))
+        order = np.argsort(least, kind="stable")
+        return np.split(nodes[order], np.flatnonzero(np.diff(least[order])) + 1) if len(nodes) else []
 
     def emit(self, node: np.ndarray, start: np.ndarray, size: np.ndarray, near: Callable | None = None) -> Iterator[pa.RecordBatch]:
         """``near`` tells of positions i and j of ``node`` whether they can link."""
-        left, right = [], []
+        left, right, large = [], [], []
         for n in range(2, self.small + 1):
             at = start[size == n]
             if len(at):
                 i, j = np.triu_indices(n, 1)
                 left.append((at[:, None] + i).ravel())
                 right.append((at[:, None] + j).ravel())
-        large = [(s, s + n) for s, n in zip(start[size > self.small].tolist(), size[size > self.small].tolist())]
-        for s, e in large:
-            left.append(np.full(e - s - 1, s))
-            right.append(np.arange(s + 1, e))
+        for s, n in zip(start[size > self.small].tolist(), size[size > self.small].tolist()):
+            parts = self._parts(s, n, near) if self.shatter and n <= WHOLE_NODES else [np.arange(s, s + n)]
+            for at in parts:
+                if len(at) <= self.small:
+                    i, j = np.triu_indices(len(at), 1)
+                    left.append(at[i])
+                    right.append(at[j])
+                else:
+                    large.append(at)
+                    left.append(np.full(len(at) - 1, at[0]))
+                    right.append(at[1:])
         if left:
             i, j = np.concatenate(left), np.concatenate(right)
             if near is not None:
@@ -243,113 +359,130 @@ class Candidates:
             a, b = a[keep], b[keep]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.list_(pa.int64()))], ["a", "b", "members"])
         # the same members often share many keys: each set of members is kept once
-        seen = {node[s:e].tobytes(): node[s:e] for s, e in large}
+        seen = {node[at].tobytes(): node[at] for at in large}
         for m in seen.values():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([m], pa.list_(pa.int64()))], ["a", "b", "members"])
 
 
-#: Nodes outside a run's largest component that one round compares with the run's others: at
-#: first, and by how much more in each next round.
-ROUND_NODES, ROUND_GROWTH = 64, 64
+#: Pairs of any two components of a run that the first round takes; the second takes all.
+FIRST_PAIRS = 4
 
 
-def link(found: DataFrame, verify: Callable[[DataFrame], DataFrame], info: DataFrame, near: Callable) -> DataFrame:
+def link(found: DataFrame, verify: Callable[[DataFrame, bool], DataFrame], info: DataFrame, near: Callable) -> DataFrame:
     """(node, comp) over all verified links among the candidates in ``found``.
 
     Pairs come first. Then each large run whose nodes are still in different components is
-    taken again: some of the nodes outside its largest component are compared with all its other
-    nodes, and more in each round until no run has two components that were not compared node by
-    node. Pairs inside a component add nothing to it and are never made, so a family of copies
+    taken again: of any two of its components FIRST_PAIRS pairs of nodes that can link are compared, and
+    then, of runs that had more and whose components are still apart, all such pairs. Pairs inside a
+    component add nothing to it and are never made, so a family of copies
     costs its size times a few, not the square of it.
 
-    ``info`` (node, info) has some bytes for each node; ``near(infos)`` gives a function of a
-    position and other positions that tells with which of these it can link, so that only such
-    pairs leave the run."""
-    links = save(verify(found.where("members is null").select("a", "b").distinct()), "links")
+    ``info`` (node, info) has some bytes for each node; ``near(infos)`` gives a function of
+    two arrays of positions that tells which pairs can link, so that only such pairs leave the run. ``verify`` keeps the pairs that link; it is told whether ``near`` has held for all."""
+    links = save(verify(found.where("members is null").select("a", "b").distinct(), False), "links")
     comps = save(components(links), "comps")
-    runs = found.where("members is not null").select("members").distinct()
-    if not runs.take(1):
-        return comps
-    runs = save(runs.select(F.monotonically_increasing_id().alias("run"), "members"), "runs")
-    width = ROUND_NODES
-    while True:
-        labelled = runs.select("run", F.explode("members").alias("node")).join(comps, "node", "left")
-        labelled = save(labelled.select("run", "node", F.coalesce("comp", "node").alias("comp")), "members")
-        sizes = labelled.groupBy("run", "comp").agg(F.count("*").alias("n"))
-        sizes = save(sizes.groupBy("run").agg(F.count("*").alias("comps"), (F.sum("n") - F.max("n")).alias("outside")).where("comps > 1").select("run", "outside"), "open")
-        if not sizes.take(1):
-            return comps
+    runs = found.where("members is not null").select("members").distinct().select(F.xxhash64("members").alias("run"), "members")
+    for most in (FIRST_PAIRS, None):
+        labelled = runs.select("run", F.explode("members").alias("node")).join(known(comps), "node", "left")
+        labelled = labelled.select("run", F.struct("node", F.coalesce("comp", "node").alias("comp")).alias("m"))
+        still = labelled.groupBy("run").agg(F.collect_list("m").alias("members"), F.min("m.comp").alias("low"), F.max("m.comp").alias("high")).where("low < high")
         # runs of one family mostly begin with the same node. They meet in one task, which gets
-        # each node's component and info once and repeats fewer pairs
-        group = F.array_min("members").alias("r")
-        still = runs.join(sizes.select("run"), "run", "left_semi").select("run", group, "members")
-        needed = save(labelled.join(still.select("run", "r"), "run").select("r", "node", "comp").distinct(), "needed")
-        needed = needed.join(only_ids(info, needed.select("node").distinct(), "node"), "node")
-        rows = needed.select("r", F.lit(0).alias("kind"), "node", "comp", "info", F.lit(None).cast("array<bigint>").alias("members"))
-        rows = rows.unionByName(still.select("r", F.lit(1).alias("kind"), "members"), allowMissingColumns=True)
+        # each node's info once and repeats fewer pairs
+        still = save(still.select("run", F.array_min("members.node").alias("r"), "members"), "open")
+        if not still.take(1):
+            return comps
+        needed = still.select("r", F.explode("members.node").alias("node")).distinct()
+        needed = needed.join(info, "node")
+        rows = needed.select("r", F.lit(0).alias("kind"), "node", "info").unionByName(still.select("r", F.lit(1).alias("kind"), "run", "members"), allowMissingColumns=True)
         dealt = rows.repartition(partitions(found.sparkSession, 0), "r").sortWithinPartitions("r", "kind")
-        new = save(verify(dealt.mapInArrow(_cross(width, near), "a long, b long").distinct()), "links")
+        made = save(dealt.mapInArrow(lean(_cross(most, near)), "a long, b long, run long"), "crossed")
+        new = save(verify(made.where("run is null").select("a", "b").distinct(), True), "links")
         if new.take(1):
-            links = save(links.union(new), "links")
-            comps = save(components(links), "comps")
-        # a run with fewer nodes outside its largest component is now compared in full
-        runs = runs.join(sizes.where(F.col("outside") > width).select("run"), "run", "left_semi")
-        width *= ROUND_GROWTH
+            comps = save(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(new)), "comps")
+        # the other runs were compared in full
+        more = made.where("run is not null").select("run").distinct()
+        runs = still.join(more, "run", "left_semi").select("run", F.col("members.node").alias("members"))
+    return comps
+
+
+#: Pairs of one group that :func:`_cross` holds at a time.
+CROSS_PAIRS = 500_000
 
 
-def _cross(width: int, near: Callable):
-    """Pairs of up to ``width`` nodes outside a run's largest component with its other nodes.
-    Rows come in order of group and kind: a group's nodes, then its runs."""
+def _cross(most: int | None, near: Callable):
+    """Pairs of nodes of runs that are in unlike components and can link, up to ``most`` of any two
+    components, and the numbers of runs that may have more. Rows come in order of group and kind: a
+    group's nodes, then its runs."""
+
+    def pairs_of(members: np.ndarray, comp: np.ndarray) -> Iterator[np.ndarray]:
+        """All pairs of a run's unlike components, as first x 2**32 + second, a part at a time."""
+        _, at, count = np.unique(comp[members], return_inverse=True, return_counts=True)
+        # each pair of unlike components has a node outside the largest one
+        outside = np.flatnonzero(at != np.argmax(count))
+        step = max(1, CROSS_PAIRS // len(members))
+        for k in range(0, len(outside), step):
+            x, y = np.nonzero(at[outside[k : k + step], None] != at[None, :])
+            x, y = members[outside[k + x]], members[y]
+            yield np.minimum(x, y) << 32 | np.maximum(x, y)
 
     def run(batches):
-        left: list[np.ndarray] = []
-        right: list[np.ndarray] = []
+        nodes = comp = close = None
+        codes: list[np.ndarray] = []
+        cut: list[int] = []
+        names: list[int] = []
 
         def flush():
-            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
-            for k in range(0, len(pairs), 100_000):
-                part = pairs[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], ["a", "b"])
-            left.clear()
-            right.clear()
-
-        group, held, nodes, comp, close = None, [], None, None, None
+            code = np.unique(np.concatenate(codes))
+            codes.clear()
+            i, j = code >> 32, code & 0xFFFFFFFF
+            ok = close(i, j)
+            i, j = i[ok], j[ok]
+            if most is not None and len(i):
+                two = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+                order = np.lexsort(two[::-1])
+                i, j, two = i[order], j[order], [x[order] for x in two]
+                first = np.flatnonzero(np.r_[True, (two[0][1:] != two[0][:-1]) | (two[1][1:] != two[1][:-1])])
+                keep = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) < most
+                if not keep.all():
+                    cut.extend(names)
+                i, j = i[keep], j[keep]
+            for k in range(0, len(i), 100_000):
+                a, b = nodes[i[k : k + 100_000]], nodes[j[k : k + 100_000]]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "run"])
+
+        group, held = None, []
         for b in batches:
             r, kind = b.column("r").to_numpy(), b.column("kind").to_numpy()
             cuts = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (kind[1:] != kind[:-1])]) if len(r) else []
             for s, e in zip(cuts, np.r_[cuts[1:], len(r)].astype(int)):
                 if r[s] != group:
-                    if left:
+                    if codes:
                         yield from flush()
                     group, held, close = r[s], [], None
+                    names.clear()
                 part = b.slice(s, e - s)
                 if kind[s] == 0:
                     held.append(part)
                     continue
                 if close is None:
                     whole = pa.Table.from_batches(held)
-                    nodes, comp = whole.column("node").to_numpy(), whole.column("comp").to_numpy()
+                    nodes = whole.column("node").to_numpy()
                     order = np.argsort(nodes)
-                    nodes, comp = nodes[order], comp[order]
+                    nodes, comp = nodes[order], np.zeros(len(order), np.int64)
                     close = near(whole.column("info").combine_chunks().take(pa.array(order)))
                     held = []
-                for members in part.column("members"):
-                    m = np.searchsorted(nodes, np.sort(np.asarray(members.values)))
-                    c = comp[m]
-                    _, at, count = np.unique(c, return_inverse=True, return_counts=True)
-                    outside = np.flatnonzero(at != np.argmax(count))
-                    outside = outside[np.argsort(at[outside], kind="stable")]
-                    first = np.flatnonzero(np.r_[True, np.diff(at[outside]) != 0][: len(outside)])
-                    nth = np.arange(len(outside)) - np.repeat(first, np.diff(np.r_[first, len(outside)]))
-                    for x in outside[np.argsort(nth, kind="stable")[:width]]:  # one of each component, then a second, ...
-                        others = m[c != c[x]]
-                        others = nodes[others[close(m[x], others)]]
-                        left.append(np.minimum(others, nodes[m[x]]))
-                        right.append(np.maximum(others, nodes[m[x]]))
-                    if sum(map(len, left)) > 1_000_000:
-                        yield from flush()
-        if left:
+                for name, members in zip(part.column("run").to_pylist(), part.column("members")):
+                    m = np.searchsorted(nodes, members.values.field("node").to_numpy())
+                    comp[m] = members.values.field("comp").to_numpy()
+                    names.append(name)
+                    for code in pairs_of(m, comp):
+                        codes.append(code)
+                        if sum(map(len, codes)) > 4 * CROSS_PAIRS:
+                            yield from flush()
+        if codes:
             yield from flush()
+        if cut:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.int64()), pa.array(cut, pa.int64())], ["a", "b", "run"])
 
     return run
 
