@@ -17,9 +17,13 @@ from .tables import CANDIDATES, PACKED, Candidates, Packer, known_bytes, lean, l
 MINS, WORD_STEPS, LONGEST = 16, (0, 1, 4), 6
 #: Lines of up to SHORT characters have further keys, each of three MinHashes of their runs of GRAM bytes.
 SHORT, GRAM_MINS, GRAM_STEPS, GRAM = 60, 7, (0, 1, 3), 4
-#: Candidates of which both are longer than SHORT differ in at most this many of 56 SimHash bits
-#: (lines with an edit similarity of 0.75 or more: 7 on average, of 1,266 such pairs none over 20; others 22 to 28).
-MOST_BITS = 20
+#: Candidates differ in at most so many of 56 SimHash bits, the first if the shorter has up to SHORT
+#: characters (lines with an edit similarity of 0.75 or more: 7 on average, of 1,266 such pairs of more than
+#: SHORT characters none over 20; others 22 to 28).
+SHORT_BITS, MOST_BITS = 24, 20
+#: Before their texts are compared, so many of their MinHashes of words or of byte runs must be equal
+#: (of those 1,266 pairs none had under 7 of 20).
+LEAST_WORDS, LEAST_GRAMS = 7, 4
 #: Lines of fewer words, parted by white space, always stay: blank ones.
 MIN_WORDS = 1
 #: Lines with fewer words of letters and digits have no near copies, only exact ones.
@@ -120,25 +124,109 @@ _STEPS = sorted(((p, q) for p in range(AHEAD + 1) for q in range(AHEAD + 1) if p
 
 def alike(a: str, b: str, threshold: float) -> bool:
     """Whether 1 - edit distance / longer length is at least ``threshold``."""
-    most = int(max(len(a), len(b)) * (1 - threshold) + 1e-9)
-    if abs(len(a) - len(b)) > most:
-        return False
-    if aligned(a.split(" "), b.split(" "), most) <= most:
-        return True  # word by word it is near enough
-    low, high = 0, 0
-    short = min(len(a), len(b))
-    while low < short and a[low] == b[low]:
-        low += 1
-    while high < short - low and a[-1 - high] == b[-1 - high]:
-        high += 1
-    return edit_distance(a[low : len(a) - high], b[low : len(b) - high], most) <= most
+    return bool(all_alike([a], [b], threshold)[0])
+
+
+#: Lines whose unlike parts have more characters than this are compared one pair at a time.
+TOGETHER = 2048
+
+
+def all_alike(a: list[str], b: list[str], threshold: float) -> np.ndarray:
+    """:func:`alike` of many pairs: word by word first, then by edit distance without what they begin and
+    end with alike."""
+    out = np.zeros(len(a), bool)
+    rest: dict[int, list[tuple[int, str, str, int]]] = {}
+    for i, (x, y) in enumerate(zip(a, b)):
+        most = int(max(len(x), len(y)) * (1 - threshold) + 1e-9)
+        if abs(len(x) - len(y)) > most:
+            continue
+        if aligned(x.split(" "), y.split(" "), most) <= most:
+            out[i] = True
+            continue
+        low, high = 0, 0
+        short = min(len(x), len(y))
+        while low < short and x[low] == y[low]:
+            low += 1
+        while high < short - low and x[-1 - high] == y[-1 - high]:
+            high += 1
+        x, y = sorted((x[low : len(x) - high], y[low : len(y) - high]), key=len)
+        if not x or len(y) > TOGETHER:
+            out[i] = edit_distance(x, y, most) <= most
+        else:
+            rest.setdefault(-(-len(x) // 64), []).append((i, x, y, most))
+    for blocks, same in rest.items():
+        if len(same) < 20 * blocks:  # too few to pay for numpy's calls
+            for i, x, y, most in same:
+                out[i] = edit_distance(x, y, most) <= most
+            continue
+        same.sort(key=lambda r: len(r[2]))
+        for k in range(0, len(same), 1024):
+            row, x, y, most = zip(*same[k : k + 1024])
+            out[list(row)] = edit_distances(x, y, blocks) <= np.array(most)
+    return out
+
+
+def edit_distances(a: tuple[str, ...], b: tuple[str, ...], blocks: int) -> np.ndarray:
+    """Edit distances of many pairs at once; every line of ``a`` has as many 64-bit blocks. A column of a
+    pair's matrix is ``blocks`` integers of differences (Myers, 1999), and numpy steps through all pairs."""
+    n, one, top = len(a), np.uint64(1), np.uint64(63)
+    m, length = (np.array([len(x) for x in t]) for t in (a, b))
+    code = np.unique(np.frombuffer("".join(a).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    row = np.repeat(np.arange(n), m)
+    pos = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
+    where = np.zeros((len(code[0]) + 1, blocks, n), np.uint64)  # the last code is in no line of a
+    np.bitwise_or.at(where, (code[1].ravel(), pos // 64, row), one << (pos % 64).astype(np.uint64))
+    text = np.full((int(length.max()), n), len(code[0]))
+    chars = np.frombuffer("".join(b).encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.minimum(np.searchsorted(code[0], chars), len(code[0]) - 1)
+    row = np.repeat(np.arange(n), length)
+    text[np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length), row] = np.where(code[0][at] == chars, at, len(code[0]))
+    up, down = np.full((blocks, n), ~np.uint64(0)), np.zeros((blocks, n), np.uint64)
+    last, score = ((m - 1) % 64).astype(np.uint64), m.copy()
+    every = np.arange(n)
+    begin = 0  # pairs come by length: those before are done
+    for t in range(len(text)):
+        begin = int(np.searchsorted(length, t, side="right"))
+        own = slice(begin, n)
+        more, less = np.ones(n - begin, np.uint64), np.zeros(n - begin, np.uint64)
+        for k in range(blocks):
+            p, q, eq = up[k, own], down[k, own], where[text[t, own], k, every[own]]
+            vertical = eq | q
+            eq = eq | less
+            diagonal = (((eq & p) + p) ^ p) | eq
+            plus, minus = q | ~(diagonal | p), p & diagonal
+            if k == blocks - 1:
+                score[own] += ((plus >> last[own]) & one).astype(np.int64) - ((minus >> last[own]) & one).astype(np.int64)
+            new_more, new_less = plus >> top, minus >> top
+            plus, minus = plus << one | more, minus << one | less
+            up[k, own], down[k, own] = minus | ~(vertical | plus), plus & vertical
+            more, less = new_more, new_less
+    return score
+
+
+#: Pairs with about so many characters are compared at a time.
+TOGETHER_CHARS = 4 << 20
 
 
 def _alike(threshold: float):
     def run(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush():
+            x = pa.Table.from_batches(held)
+            held.clear()
+            keep = all_alike(x.column("ta").to_pylist(), x.column("tb").to_pylist(), threshold)
+            yield from x.select(["a", "b"]).filter(pa.array(keep)).to_batches()
+
         for b in batches:
-            keep = [alike(x, y, threshold) for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            held.append(b)
+            size += b.get_total_buffer_size()
+            if size > TOGETHER_CHARS:
+                yield from flush()
+                size = 0
+        if held:
+            yield from flush()
 
     return run
 
@@ -204,7 +292,7 @@ def may_link(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     """Whether lines with these sketches can be so alike: the length bound drops no such pair."""
     p, q = (x & _LOW).astype(np.int64), (y & _LOW).astype(np.int64)
     short = np.minimum(p, q) <= int(_length_code(np.array([SHORT]))[0])
-    return (np.abs(p - q) <= int(-16 * np.log2(threshold)) + 1) & (short | (np.bitwise_count((x ^ y) & ~_LOW) <= MOST_BITS))
+    return (np.abs(p - q) <= int(-16 * np.log2(threshold)) + 1) & (np.bitwise_count((x ^ y) & ~_LOW) <= np.where(short, SHORT_BITS, MOST_BITS))
 
 
 def line_bounds(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -275,11 +363,16 @@ def _pack_mins(w: K.Words, cuts: np.ndarray, sim: np.ndarray, keep: np.ndarray)
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.r_[0, 2 * ends].astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
 
 
-def keys_of(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All keys of the rows of :func:`_pack_mins`, and the row of each."""
+def _mins(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All MinHashes of some rows of :func:`_pack_mins` and the n + 1 bounds of the rows."""
     packed = packed.cast(pa.large_binary())
     ends = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1] // 2
-    raw = np.frombuffer(packed.buffers()[2], np.uint16, ends[-1]) if ends[-1] else np.zeros(0, np.uint16)
+    return np.frombuffer(packed.buffers()[2], np.uint16, ends[-1]) if ends[-1] else np.zeros(0, np.uint16), ends
+
+
+def keys_of(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of the rows of :func:`_pack_mins`, and the row of each."""
+    raw, ends = _mins(packed)
     some = np.flatnonzero(np.diff(ends))
     words = band_keys(raw[ends[some][:, None] + np.arange(MINS)], WORD_STEPS, 0)
     more = np.flatnonzero(np.diff(ends) > MINS)
@@ -287,6 +380,28 @@ def keys_of(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[words.ravel(), grams.ravel()], np.r_[np.repeat(some, MINS), np.repeat(more, GRAM_MINS)]
 
 
+def agree(x: tuple[np.ndarray, np.ndarray], i: np.ndarray, y: tuple[np.ndarray, np.ndarray], j: np.ndarray) -> np.ndarray:
+    """Whether rows i of x and j of y, which all have MinHashes, have enough in common."""
+    (rx, ex), (ry, ey) = x, y
+    out = np.zeros(len(i), bool)
+    for k in range(0, len(i), 100_000):
+        a, b = i[k : k + 100_000], j[k : k + 100_000]
+        enough = (rx[ex[a][:, None] + np.arange(MINS)] == ry[ey[b][:, None] + np.arange(MINS)]).sum(axis=1) >= LEAST_WORDS
+        both = np.flatnonzero((ex[a + 1] - ex[a] > MINS) & (ey[b + 1] - ey[b] > MINS) & ~enough)
+        last = np.arange(-GRAM_MINS, 0)
+        enough[both] = (rx[ex[a[both] + 1][:, None] + last] == ry[ey[b[both] + 1][:, None] + last]).sum(axis=1) >= LEAST_GRAMS
+        out[k : k + 100_000] = enough
+    return out
+
+
+def _screen(batches):
+    """Pairs with enough MinHashes in common."""
+    for b in batches:
+        at = np.arange(b.num_rows)
+        ok = agree(_mins(b.column("ma")), at, _mins(b.column("mb")), at)
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
+
+
 def _emit(labels: list[int]):
     def run(batches):
         packer = Packer(labels)
@@ -320,15 +435,21 @@ def _near_in_run(threshold: float):
     """Which pairs of some lines may link."""
 
     def near(infos):
-        sim = infos.field("sim").to_numpy().view(np.uint64)
-        return lambda i, j: may_link(sim[i], sim[j], threshold)
+        sim, mins = infos.field("sim").to_numpy().view(np.uint64), _mins(infos.field("mins"))
+
+        def close(i, j):
+            ok = may_link(sim[i], sim[j], threshold)
+            ok[ok] = agree(mins, i[ok], mins, j[ok])
+            return ok
+
+        return close
 
     return near
 
 
 def _texts(batches):
     """Normalised text of the wanted lines of each document."""
-    schema = pa.schema([("node", pa.int64()), ("norm", pa.string()), ("sim", pa.int64()), ("chars", pa.int32())])
+    schema = pa.schema([("node", pa.int64()), ("norm", pa.string()), ("chars", pa.int32())])
     for b in batches:
         wanted = b.column("lines").to_pylist()
         buf, bounds = K.text_buffers(b.column("text"))
@@ -338,7 +459,7 @@ def _texts(batches):
             for x in wanted[r]:
                 if x["line"] < len(lines):
                     norm = normalise(lines[x["line"]]).decode(errors="replace")
-                    out.append({"node": x["node"], "norm": norm, "sim": x["sim"], "chars": len(norm)})
+                    out.append({"node": x["node"], "norm": norm, "chars": len(norm)})
             if len(out) > 5000:
                 yield pa.RecordBatch.from_pylist(out, schema)
                 out = []
@@ -395,21 +516,26 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.75, small: int = 16) -> Da
     found = save(packed.repartition(parts, "part").mapInArrow(lean(_pair_up(small, threshold)), CANDIDATES), "candidates")
 
     ids = found.select(F.explode(F.coalesce("members", F.array("a", "b"))).alias("node")).distinct()
-    wanted = save(classes.join(ids, "node", "left_semi").select("node", "sim", "first.*"), "wanted")
-    by_doc = wanted.groupBy("doc", "digest").agg(F.collect_list(F.struct("line", "node", "sim")).alias("lines"))
+    wanted = save(classes.join(ids, "node", "left_semi").select("node", "sim", "mins", "first.*"), "wanted")
+    by_doc = wanted.groupBy("doc", "digest").agg(F.collect_list(F.struct("line", "node")).alias("lines"))
     some = only_ids(texts, wanted.select("doc").distinct(), "doc").dropDuplicates(["doc", "digest"]).join(by_doc, ["doc", "digest"])
-    norms = save(some.select("text", "lines").mapInArrow(lean(_texts), "node long, norm string, sim long, chars int"), "norms")
+    norms = save(some.select("text", "lines").mapInArrow(lean(_texts), "node long, norm string, chars int"), "norms")
+
+    norms, sketches = known_bytes(norms, "norm"), known_bytes(wanted.select("node", "sim", "mins"), "mins")
 
-    norms = known_bytes(norms, "norm")
+    def screen(pairs: DataFrame) -> DataFrame:
+        for x in "ab":
+            pairs = pairs.join(sketches.select(F.col("node").alias(x), F.col("mins").alias("m" + x)), x)
+        return pairs.mapInArrow(lean(_screen), "a long, b long")
 
-    def verify(pairs: DataFrame, screened: bool) -> DataFrame:
+    def verify(pairs: DataFrame) -> DataFrame:
         a, b = (norms.select(F.col("node").alias(x), F.col("norm").alias("t" + x), F.col("chars").alias("n" + x)) for x in "ab")
         both = pairs.join(a, "a").join(b, "b").withColumn("most", F.floor(F.greatest("na", "nb") * F.lit(1 - threshold) + 1e-9).cast("int"))
         both = both.where(F.abs(F.col("na") - F.col("nb")) <= F.col("most"))
         return both.select("a", "b", "ta", "tb").mapInArrow(lean(_alike(threshold)), "a long, b long")
 
-    info = norms.select("node", F.struct("sim").alias("info"))
-    comps = link(found, verify, info, _near_in_run(threshold))
+    info = sketches.select("node", F.struct("sim", "mins").alias("info"))
+    comps = link(found, screen, verify, info, _near_in_run(threshold))
     grouped = classes.join(comps, "node", "left").select("h1", "h2", "n", "first", F.coalesce("comp", "node").alias("comp"), F.col("comp").isNotNull().alias("linked")).where("n > 1 or linked")
     keep = grouped.groupBy("comp").agg(F.min("first").alias("keep"))
     groups = save(grouped.join(keep, "comp").select("h1", "h2", "keep"), "groups")

@@ -387,11 +387,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: float = 0.75,
     texts = save(texts.join(known(wanted.select("d1", "d2", "node")), ["d1", "d2"]).select("node", "packed").dropDuplicates(["node"]), "texts")
     sketches, texts = known_bytes(some, "own", "next"), known_bytes(texts, "packed")
 
-    def verify(pairs: DataFrame, screened: bool) -> DataFrame:
-        if not screened:
-            for x in "ab":
-                pairs = pairs.join(sketches.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("band").alias("b" + x), F.col("own").alias("own" + x), F.col("next").alias("next" + x)), x)
-            pairs = save(pairs.mapInArrow(lean(_near_sketches(threshold)), "a long, b long"), "close")
+    def screen(pairs: DataFrame) -> DataFrame:
+        for x in "ab":
+            pairs = pairs.join(sketches.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("band").alias("b" + x), F.col("own").alias("own" + x), F.col("next").alias("next" + x)), x)
+        return pairs.mapInArrow(lean(_near_sketches(threshold)), "a long, b long")
+
+    def verify(pairs: DataFrame) -> DataFrame:
         ta, tb = (texts.select(F.col("node").alias(x), F.col("packed").alias("t" + x)) for x in "ab")
         both = pairs.join(tb, "b").join(ta, "a").sortWithinPartitions("a")
         return both.mapInArrow(lean(_same(size, threshold)), "a long, b long")
@@ -405,7 +406,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: float = 0.75,
     runs = runs.join(names, "tag").groupBy("run").agg(F.sort_array(F.collect_list("node")).alias("members"))
     runs = runs.select(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "members")
     info = some.select("node", F.struct("n", "band", "own", "next").alias("info"))
-    comps = link(pairs.union(runs), verify, info, _near_in_run(threshold))
+    comps = link(pairs.union(runs), screen, verify, info, _near_in_run(threshold))
 
     classes = nodes.join(comps, "node", "left").select("d1", "d2", "node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     lowest = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

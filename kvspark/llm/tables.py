@@ -368,7 +368,7 @@ class Candidates:
 FIRST_PAIRS = 4
 
 
-def link(found: DataFrame, verify: Callable[[DataFrame, bool], DataFrame], info: DataFrame, near: Callable) -> DataFrame:
+def link(found: DataFrame, screen: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], info: DataFrame, near: Callable) -> DataFrame:
     """(node, comp) over all verified links among the candidates in ``found``.
 
     Pairs come first. Then each large run whose nodes are still in different components is
@@ -378,8 +378,10 @@ def link(found: DataFrame, verify: Callable[[DataFrame, bool], DataFrame], info:
     costs its size times a few, not the square of it.
 
     ``info`` (node, info) has some bytes for each node; ``near(infos)`` gives a function of
-    two arrays of positions that tells which pairs can link, so that only such pairs leave the run. ``verify`` keeps the pairs that link; it is told whether ``near`` has held for all."""
-    links = save(verify(found.where("members is null").select("a", "b").distinct(), False), "links")
+    two arrays of positions that tells which pairs can link, so that only such pairs leave the run;
+    ``screen`` does the same to pairs (a, b). ``verify`` keeps the pairs that link. No pair is verified twice."""
+    tested = save(screen(found.where("members is null").select("a", "b").distinct()), "close")
+    links = save(verify(tested), "links")
     comps = save(components(links), "comps")
     runs = found.where("members is not null").select("members").distinct().select(F.xxhash64("members").alias("run"), "members")
     for most in (FIRST_PAIRS, None):
@@ -396,7 +398,9 @@ def link(found: DataFrame, verify: Callable[[DataFrame, bool], DataFrame], info:
         rows = needed.select("r", F.lit(0).alias("kind"), "node", "info").unionByName(still.select("r", F.lit(1).alias("kind"), "run", "members"), allowMissingColumns=True)
         dealt = rows.repartition(partitions(found.sparkSession, 0), "r").sortWithinPartitions("r", "kind")
         made = save(dealt.mapInArrow(lean(_cross(most, near)), "a long, b long, run long"), "crossed")
-        new = save(verify(made.where("run is null").select("a", "b").distinct(), True), "links")
+        fresh = save(made.where("run is null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "close")
+        new = save(verify(fresh), "links")
+        tested = tested.union(fresh)
         if new.take(1):
             comps = save(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(new)), "comps")
         # the other runs were compared in full

@@ -166,6 +166,22 @@ def test_edit_distance():
             assert line_dedup.alike(a, b, t) == (d <= int(max(len(a), len(b)) * (1 - t) + 1e-9))
 
 
+def test_edit_distances_together():
+    rng = random.Random(9)
+    for blocks in (1, 2, 4):
+        a = ["".join(rng.choices("abc \u00e9", k=rng.randint(64 * blocks - 63, 64 * blocks))) for _ in range(60)]
+        b = []
+        for x in a:
+            y = list(x)
+            for _ in range(rng.randint(0, 30)):
+                y[rng.randrange(len(y)) :][:1] = rng.choices("abd", k=1)
+                y.insert(rng.randint(0, len(y)), rng.choice("abz"))
+            b.append("".join(y))
+        order = sorted(range(60), key=lambda i: len(b[i]))
+        a, b = tuple(a[i] for i in order), tuple(b[i] for i in order)
+        assert line_dedup.edit_distances(a, b, blocks).tolist() == [line_dedup.edit_distance(x, y, 9999) for x, y in zip(a, b)]
+
+
 def test_simhash_of_long_lines():
     norm = " ".join(f"w{i}" for i in range(1200)).encode()
     raw = np.frombuffer(norm, np.uint8)
