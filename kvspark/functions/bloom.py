@@ -23,6 +23,25 @@ def positions(key: Column, bits: int) -> list[Column]:
     return [(k * a + b) % PRIME % bits for a, b in HASHES]
 
 
+def probes(key: Column, bits: Column, hashes: Column) -> Column:
+    """As many bits of a key as ``hashes`` says, an array: the first position hash and multiples of the second."""
+    k = (key % PRIME + PRIME) % PRIME
+    first, step = ((k * a + b) % PRIME for a, b in HASHES)
+    return F.transform(F.sequence(F.lit(0), hashes - 1), lambda i: (first + i * step) % PRIME % bits)
+
+
+def blocked_probes(key: Column, bits: Column, hashes: Column) -> Column:
+    """The same within one block of BLOCK_BITS bits, which the first hash chooses: one cache line a key."""
+    k = (key % PRIME + PRIME) % PRIME
+    first, step = ((k * a + b) % PRIME for a, b in HASHES)
+    block = first % F.floor(bits / BLOCK_BITS).cast("bigint")
+    return F.transform(F.sequence(F.lit(0), hashes - 1), lambda i: block * BLOCK_BITS + (step + i * (1 + first % (BLOCK_BITS - 1))) % BLOCK_BITS)
+
+
+#: Filters by name.
+VARIANTS = {"standard": probes, "blocked": blocked_probes}
+
+
 def level_bits(level: Column, fanout: int = 4) -> Column:
     """Bits for each entry by level: fewer the deeper, at least LEAST_BITS."""
     return F.greatest(F.lit(float(L0_BITS)) / F.pow(F.lit(float(fanout)), level / F.lit(2.0)), F.lit(float(LEAST_BITS)))

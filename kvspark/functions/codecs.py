@@ -20,12 +20,16 @@ def width(low: Column, high: Column) -> Column:
     return F.when(span > F.floor(half / 2), F.lit(64)).otherwise(F.length(F.bin(span.cast("bigint")))).cast("int")
 
 
-def zigzag(delta: Column) -> Column:
-    return F.when(delta >= 0, delta * 2).otherwise(-delta * 2 - 1)
+def wrapped(a: Column, b: Column) -> Column:
+    """a - b modulo 2**64, as the codecs store differences."""
+    d = a.cast("decimal(20,0)") - b.cast("decimal(20,0)")
+    whole, half = F.lit(1 << 62).cast("decimal(20,0)") * 4, F.lit(1 << 62).cast("decimal(20,0)") * 2
+    return F.when(d >= half, d - whole).when(d < -half, d + whole).otherwise(d).cast("bigint")
 
 
-def varint_bytes(zz: Column) -> Column:
-    return F.floor((F.length(F.bin(zz)) + 6) / 7).cast("bigint")
+def varint_bytes(delta: Column) -> Column:
+    """Bytes of a difference as a zigzag varint: one bit more than the difference, or its complement, has."""
+    return F.floor((F.length(F.bin(F.when(delta >= 0, delta).otherwise(F.bitwise_not(delta)))) + 7) / 7).cast("bigint")
 
 
 def adaptive(level: Column, raw_bytes: Column, sequential: Column, key_range: Column, repetition: Column) -> Column:

@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from .lookup import range_join
 
-#: Rows are numbered in key cells of so many keys, which bounds a task: a run's keys are unique.
+#: Rows are numbered in cells of about so many rows, if a run's keys are spread evenly.
 CELL = 65_536
 
 
 def number(entries: DataFrame, run: str = "run") -> DataFrame:
     """Adds ``row``, each entry's place in its run by key, without a window over a whole run:
-    cells are counted first, and a row's place is that of its cell plus that in the cell."""
-    cell = F.floor(F.col("key") / CELL).cast("bigint")
-    e = entries.withColumn("_cell", cell)
+    cells are counted first, and a row's place is that of its cell plus that in the cell. A run's cells
+    are as wide as its span and number of rows say, so sparse keys make no more cells than dense ones."""
+    wide = lambda c: c.cast("decimal(20,0)")
+    shape = entries.groupBy(run).agg(F.min("key").alias("_low"), F.max("key").alias("_high"), F.count("*").alias("_rows"))
+    width = F.greatest(F.lit(1).cast("decimal(38,0)"), F.ceil((wide(F.col("_high")) - wide(F.col("_low")) + 1) * CELL / F.col("_rows")).cast("decimal(38,0)"))
+    shape = shape.select(run, "_low", width.alias("_width"))
+    cell = F.floor((wide(F.col("key")) - wide(F.col("_low"))) / F.col("_width")).cast("bigint")
+    e = entries.join(shape, run).withColumn("_cell", cell).drop("_low", "_width")
     counts = e.groupBy(run, "_cell").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(run).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(run, "_cell", before.alias("_before"))
@@ -38,8 +43,8 @@ def load_blocks(blocked: DataFrame, wanted: DataFrame, run: str = "run") -> Data
 
 def find_points(zones: DataFrame, probes: DataFrame, run: str = "run") -> DataFrame:
     """(key, run, block) of each block that may hold a probe's key."""
-    z = zones.select(run, "block", F.col("min_key").alias("start"), (F.col("max_key") + 1).alias("end"))
-    return range_join(z, probes.select("key")).select("key", run, "block")
+    z = zones.select(run, "block", F.col("min_key").alias("start"), F.col("max_key").alias("end"))
+    return range_join(z, probes.select("key"), closed=True).select("key", run, "block")
 
 
 def find_ranges(zones: DataFrame, start: int, end: int) -> DataFrame:

@@ -124,9 +124,9 @@ def make_cache(name: str, capacity: int, **options) -> CachePolicy:
     return POLICIES[name](capacity, **options)
 
 
-def simulate(trace: DataFrame, policy: str, capacity: int, shards: int = 16, **options) -> DataFrame:
-    """(shard, accesses, hits, misses, evictions) of a sharded cache over a trace (seq, key). A
-    shard's accesses are replayed in order by one task, in batches; shards share nothing."""
+def simulate(trace: DataFrame, policy: str, capacity: int, shards: int = 16, shard=None, **options) -> DataFrame:
+    """(shard, accesses, hits, misses, evictions) of a sharded cache over a trace (seq, key and, for expiry,
+    at in seconds); ``shard`` is a column 0..shards-1, a hash of the key if not given. A shard's accesses are replayed in order by one task, in batches; shards share nothing."""
 
     def run(frames):
         caches: dict[int, CachePolicy] = {}
@@ -136,11 +136,12 @@ def simulate(trace: DataFrame, policy: str, capacity: int, shards: int = 16, **o
                 cache = caches.setdefault(shard, make_cache(policy, max(1, capacity // shards), **options))
                 count = counts.setdefault(shard, [0, 0])
                 count[0] += len(own)
-                count[1] += sum(cache.access(k, s) for s, k in zip(own["seq"].tolist(), own["key"].tolist()))
+                count[1] += sum(cache.access(k, s) for s, k in zip(own["at"].tolist(), own["key"].tolist()))
         rows = [(s, n, h, n - h, caches[s].evicted) for s, (n, h) in counts.items()]
         yield pd.DataFrame(rows, columns=["shard", "accesses", "hits", "misses", "evictions"]).astype({"shard": "int32"})
 
-    dealt = trace.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "seq", "key")
+    where = F.pmod(F.xxhash64("key"), F.lit(shards)) if shard is None else shard
+    dealt = trace.select(where.cast("int").alias("shard"), "seq", "key", F.col("at" if "at" in trace.columns else "seq").cast("long").alias("at"))
     return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "seq").mapInPandas(run, "shard int, accesses long, hits long, misses long, evictions long")
 
 

@@ -26,8 +26,8 @@ def bit_pack_sizes(blocked: DataFrame) -> DataFrame:
 def delta_sizes(blocked: DataFrame) -> DataFrame:
     """Per block: bytes of zigzag varints of consecutive differences, the first pair whole."""
     w = Window.partitionBy("run", "block").orderBy("key")
-    d = blocked.select("run", "block", "key", "value", (F.col("key") - F.lag("key").over(w)).alias("dk"), (F.col("value") - F.lag("value").over(w)).alias("dv"))
-    size = lambda c: F.coalesce(codecs.varint_bytes(codecs.zigzag(F.col(c))), F.lit(0))
+    d = blocked.select("run", "block", *(codecs.wrapped(F.col(c), F.lag(c).over(w)).alias(name) for c, name in (("key", "dk"), ("value", "dv"))))
+    size = lambda c: F.coalesce(codecs.varint_bytes(F.col(c)), F.lit(0))
     return d.groupBy("run", "block").agg(F.count("*").alias("n"), (F.lit(ENTRY_BYTES) + F.sum(size("dk")) + F.sum(size("dv"))).cast("bigint").alias("bytes"))
 
 
@@ -41,10 +41,10 @@ def dictionary(pairs: DataFrame, most: int = codecs.DICTIONARY_MOST) -> DataFram
 def shapes(blocked: DataFrame) -> DataFrame:
     """What the adaptive rule looks at, per block."""
     w = Window.partitionBy("run", "block").orderBy("key")
-    d = blocked.select("run", "block", "key", "value", (F.col("key") - F.lag("key").over(w)).alias("dk"))
+    d = blocked.select("run", "block", "key", "value", codecs.wrapped(F.col("key"), F.lag("key").over(w)).alias("dk"))
     out = d.groupBy("run", "block").agg(
         F.count("*").alias("n"),
-        (F.max("key") - F.min("key")).alias("key_range"),
+        (F.max("key").cast("decimal(20,0)") - F.min("key").cast("decimal(20,0)")).alias("key_range"),
         F.coalesce(F.min("dk") == F.max("dk"), F.lit(False)).alias("sequential"),
         (1 - F.count_distinct("value") / F.count("*")).alias("repetition"),
     )

@@ -24,19 +24,23 @@ def scan(image: DataFrame, start: int, end: int) -> DataFrame:
     return image.where((F.col("key") >= start) & (F.col("key") < end)).select("key", "value").orderBy("key")
 
 
-def range_join(ranges: DataFrame, points: DataFrame, point: str = "key", start: str = "start", end: str = "end") -> DataFrame:
-    """Inner join on start <= point < end as an equi-join.
+def range_join(ranges: DataFrame, points: DataFrame, point: str = "key", start: str = "start", end: str = "end", closed: bool = False) -> DataFrame:
+    """Inner join on start <= point < end, or start <= point <= end if ``closed``, as an equi-join.
 
     A range of length n takes the aligned cells of the least power of two >= n: at most two.
     Points take their cell at each of the sizes in use (at most 64). So neither a long range nor
-    many ranges make a nested loop, and each pair meets in exactly one cell."""
-    size = F.ceil(F.log2((F.col(end) - F.col(start)).cast("double"))).cast("int")
-    r = ranges.where(F.col(start) < F.col(end)).withColumn("_size", size)
+    many ranges make a nested loop, and each pair meets in exactly one cell. Lengths are exact for
+    all 64-bit bounds: of the longest ranges, up to 2**64, the cells are the two signs."""
+    last = F.col(end) if closed else F.col(end) - 1
+    r = ranges.where(F.col(start) <= F.col(end) if closed else F.col(start) < F.col(end)).withColumn("_last", last)
+    steps = F.col("_last").cast("decimal(20,0)") - F.col(start).cast("decimal(20,0)")
+    size = F.when(steps == 0, 0).when(steps > F.lit((1 << 63) - 1).cast("decimal(20,0)"), 63).otherwise(F.length(F.bin(steps.cast("bigint")))).cast("int")
+    r = r.withColumn("_size", size)
     sizes = sorted(x[0] for x in r.select("_size").distinct().collect())
     cell = lambda c: F.call_function("shiftright", c, F.col("_size"))
-    r = r.withColumn("_cell", F.explode(F.array_distinct(F.array(cell(F.col(start)), cell(F.col(end) - 1)))))
+    r = r.withColumn("_cell", F.explode(F.array_distinct(F.array(cell(F.col(start)), cell(F.col("_last"))))))
     p = points.withColumn("_size", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>"))).withColumn("_cell", cell(F.col(point)))
-    return r.join(p, ["_size", "_cell"]).where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("_size", "_cell")
+    return r.join(p, ["_size", "_cell"]).where((F.col(point) >= F.col(start)) & (F.col(point) <= F.col("_last"))).drop("_size", "_cell", "_last")
 
 
 def range_batch(image: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.classic.column import Column
 
+from ..functions import bloom
 from ..functions.bloom import positions
+from ..schema import InvalidInput
 
 
 def build(keys: DataFrame, bits: int, key: str = "key") -> DataFrame:
@@ -14,6 +16,40 @@ def build(keys: DataFrame, bits: int, key: str = "key") -> DataFrame:
     return keys.select(F.explode(F.array(*positions(F.col(key), bits))).alias("bit")).distinct()
 
 
+def sized(runs: DataFrame, level: str = "level", run: str = "run") -> DataFrame:
+    """(level, run, n, bits_per_entry, hashes, bits) of the filters of some runs, by the level-aware rule."""
+    n = runs.groupBy(level, run).agg(F.count("*").alias("n"))
+    per = bloom.level_bits(F.col(level))
+    return n.select(level, run, "n", per.alias("bits_per_entry"), bloom.hashes_for(per).alias("hashes"), bloom.block_bits(F.col("n"), per).alias("bits"))
+
+
+def run_filters(runs: DataFrame, variant: str = "standard") -> DataFrame:
+    """(run, bit): the set bits of each run's filter."""
+    if variant not in bloom.VARIANTS:
+        raise InvalidInput(f"unknown filter: {variant}")
+    at = bloom.VARIANTS[variant](F.col("key"), F.col("bits"), F.col("hashes"))
+    return runs.select("level", "run", "key").join(F.broadcast(sized(runs)), ["level", "run"]).select("level", "run", F.explode(at).alias("bit")).distinct()
+
+
+def run_statistics(runs: DataFrame, keys: DataFrame, variant: str = "standard") -> DataFrame:
+    """Per run: checks, positives and false positives of asking its filter for each row of ``keys``
+    (key), with the filter's size and theoretical rate. Keys are aggregated first; one row of ``sized`` for
+    each run is broadcast to them."""
+    asked = keys.groupBy("key").agg(F.count("*").alias("times"))
+    size = sized(runs)
+    at = bloom.VARIANTS[variant](F.col("key"), F.col("bits"), F.col("hashes"))
+    filters = size.agg(F.collect_list(F.struct("level", "run", "bits", "hashes")).alias("filters"))
+    every = asked.withColumn("one", F.lit(1)).join(F.broadcast(filters.withColumn("one", F.lit(1))), "one").select("key", "times", F.explode("filters").alias("f")).select("key", "times", "f.*")
+    bits = every.select("level", "run", "key", "times", F.explode(F.array_distinct(at)).alias("bit"))
+    set_bits = run_filters(runs, variant).withColumn("set", F.lit(1))
+    told = bits.join(set_bits, ["level", "run", "bit"], "left").groupBy("level", "run", "key").agg(F.first("times").alias("times"), (F.count("*") == F.count("set")).alias("may"))
+    held = runs.select("level", "run", "key", F.lit(True).alias("held"))
+    told = told.join(held, ["level", "run", "key"], "left")
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("times"))), F.lit(0))
+    out = told.groupBy("level", "run").agg(F.sum("times").alias("checks"), n(F.col("may")).alias("positives"), n(F.col("may") & F.col("held").isNull()).alias("false_positives"), n(~F.col("may") & F.col("held").isNotNull()).alias("false_negatives"))
+    return out.join(size, ["level", "run"]).withColumn("theoretical_fp", bloom.theoretical_fp(F.col("n"), F.col("bits"), F.col("hashes")))
+
+
 #: Filters of up to so many bits are a constant of the plan; larger ones are joined.
 CONSTANT_BITS = 1 << 18
 

@@ -54,12 +54,54 @@ STORED = "coalesce(value, -9223372036854775807 - 1) AS value"
 LEVEL_BITS = "greatest(32.0 / power(4.0, level / 2.0), 2.0)"
 QUICK = "power(1 - exp(-0.7 * {}), 6)"
 
-FILTERS = RUNS + f""", fs AS (
-    SELECT *, {LEVEL_BITS} AS bits_per_entry, {QUICK.format(LEVEL_BITS)} AS theoretical_fp FROM (
-        SELECT CAST(run % 3 AS INTEGER) AS level, run, count(*) * 20 AS checks, count(*) * 3 AS positives, count(*) FILTER (WHERE dead) AS false_positives FROM runs GROUP BY run)
-    WHERE checks > 1000
+LAYOUT = MUT + f""", edge AS (
+    SELECT CAST(floor(max(seq) / {WINDOW}) AS BIGINT) * {WINDOW} AS last FROM mut
+), layout AS (
+    SELECT CASE WHEN seq < (SELECT last FROM edge) THEN 1 ELSE 0 END AS level, CAST(0 AS BIGINT) AS run, key, value, dead, seq FROM ent
+    QUALIFY row_number() OVER (PARTITION BY level, key ORDER BY seq DESC) = 1
 )"""
 
+
+def _filters(probes: str) -> str:
+    """Filters of the layout's runs, asked for all gets and as many keys that don't exist."""
+    return LAYOUT + f""", sized AS (
+        SELECT level, run, n, per AS bits_per_entry, CAST(least(greatest(round(0.6931471805599453 * per), 1), 10) AS INTEGER) AS hashes,
+            CAST(power(2, ceil(log2(greatest(ceil(n * per / 512), 1)))) AS BIGINT) * 512 AS bits
+        FROM (SELECT level, run, count(*) AS n, {LEVEL_BITS} AS per FROM layout GROUP BY level, run)
+    ), asked AS (
+        SELECT key, count(*) AS times FROM (SELECT key FROM mut WHERE op = 'g' UNION ALL SELECT key + 1000003 FROM mut WHERE op = 'g') GROUP BY key
+    ), hashed AS (
+        SELECT key, (key % 2147483647 * 1103515245 + 12345) % 2147483647 AS h1, (key % 2147483647 * 69069 + 1) % 2147483647 AS h2 FROM (SELECT DISTINCT key FROM layout UNION SELECT key FROM asked)
+    ), placed AS (
+        SELECT level, run, key, unnest([{probes} FOR i IN range(hashes)]) AS bit FROM hashed, sized
+    ), set_bits AS (
+        SELECT DISTINCT level, run, bit FROM placed SEMI JOIN layout USING (level, run, key)
+    ), told AS (
+        SELECT p.level, p.run, p.key, count(*) = count(s.bit) AS may FROM placed p LEFT JOIN set_bits s USING (level, run, bit) GROUP BY ALL
+    ), counted AS (
+        SELECT t.level, t.run, CAST(sum(times) AS BIGINT) AS checks, CAST(coalesce(sum(times) FILTER (WHERE may), 0) AS BIGINT) AS positives,
+            CAST(coalesce(sum(times) FILTER (WHERE may AND l.key IS NULL), 0) AS BIGINT) AS false_positives, CAST(coalesce(sum(times) FILTER (WHERE NOT may AND l.key IS NOT NULL), 0) AS BIGINT) AS false_negatives
+        FROM told t JOIN asked a ON a.key = t.key LEFT JOIN layout l ON l.level = t.level AND l.run = t.run AND l.key = t.key GROUP BY t.level, t.run
+    ), fs AS (
+        SELECT *, power(1 - exp(-hashes * n / CAST(bits AS DOUBLE)), hashes) AS theoretical_fp FROM counted JOIN sized USING (level, run)
+    )"""
+
+
+FILTERS = _filters("(h1 + i * h2) % 2147483647 % bits")
+BLOCKED_FILTERS = _filters("h1 % (bits // 512) * 512 + (h2 + i * (1 + h1 % 511)) % 512")
+
+WIDE = "CASE {0} % 97 WHEN 0 THEN -9223372036854775807 - 1 WHEN 1 THEN 9223372036854775807 ELSE (({0} * 1103515245 + 12345) % 2147483647 - 1073741823) * 8589934592 END"
+
+#: An access is a hit if fewer than four other keys of its shard came since the key's last access.
+LRU = """WITH t AS (
+    SELECT event_id AS seq, user_id AS key, CAST(user_id % 16 AS INTEGER) AS shard, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events
+), d AS (
+    SELECT a.shard, a.seq, a.prev, count(b.seq) AS apart FROM t a LEFT JOIN t b ON a.shard = b.shard AND b.seq > a.prev AND b.seq < a.seq AND coalesce(b.prev, -1) <= a.prev GROUP BY ALL
+), h AS (
+    SELECT shard, count(*) AS accesses, count(*) FILTER (WHERE prev IS NOT NULL AND apart < 4) AS hits FROM d GROUP BY shard
+)
+SELECT shard, accesses, hits, accesses - hits AS misses, greatest(accesses - hits - 4, 0) AS evictions FROM h"""
+
 LINES = MUT + """, lines AS (
     SELECT seq, CASE seq % 11
         WHEN 0 THEN concat_ws(' ', 'p', key) WHEN 1 THEN 'g x' WHEN 2 THEN '  p   ' || key || ' ' || value || '  ' WHEN 3 THEN 's' WHEN 4 THEN 'l dir/file.txt'
@@ -179,8 +221,14 @@ SQL: dict[str, str] = {
         SELECT * FROM ent WHERE seq < (SELECT floor((floor((max(seq) + 1) / {WINDOW}) * {WINDOW} - 500) / {WINDOW}) * {WINDOW} FROM mut)
         QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1
     ) SELECT key, value, seq FROM flushed WHERE NOT dead""",
-    "storage_stats": f"""WITH {RUNS} SELECT CASE WHEN run % 3 = 0 THEN 1 ELSE 0 END AS level, count(*) AS runs, CAST(sum((n + {BLOCK} - 1) // {BLOCK}) AS BIGINT) AS blocks, CAST(sum(n) AS BIGINT) AS entries,
-        CAST(sum(dead) AS BIGINT) AS tombstones, CAST(sum(n * 16) AS BIGINT) AS bytes FROM (SELECT run, count(*) AS n, count(*) FILTER (WHERE dead) AS dead FROM runs GROUP BY run) GROUP BY 1""",
+    "storage_stats": f"""WITH {LAYOUT} SELECT level, runs, blocks, entries, tombstones, entries * 16 AS bytes FROM (
+        SELECT level, count(DISTINCT run) AS runs, CAST((count(*) + {BLOCK} - 1) // {BLOCK} AS BIGINT) AS blocks, count(*) AS entries, count(*) FILTER (WHERE dead) AS tombstones FROM layout GROUP BY level)""",
+    "store_validate": "SELECT CAST(0 AS BIGINT) AS bad",
+    "store_orc": f"WITH {MUT} SELECT key, value, seq FROM image",
+    "range_extremes": f"""WITH {MUT}, {KV}, wide AS (SELECT {WIDE.format('key')} AS key FROM kv), r AS (
+        SELECT id, least(a, b) AS s, greatest(a, b) AS e FROM (SELECT seq AS id, {WIDE.format('(key * 31 + seq)')} AS a, {WIDE.format('(seq * 17 + 3)')} AS b FROM mut WHERE op = 'r' AND key % 15 = 0))
+        SELECT id, count(*) AS n, min(key) AS low, max(key) AS high FROM r JOIN wide ON key >= s AND key < e GROUP BY id""",
+    "cache_lru_sim": LRU,
     "key_range": f"WITH {MUT} SELECT min(key) AS min_key, max(key) AS max_key, count(DISTINCT key) AS keys FROM ent",
     "memory_stats": f"WITH {MUT} SELECT 128 AS pages, count(DISTINCT key) * 16 AS used_bytes, CAST(524288 AS BIGINT) AS total_bytes, CAST(0 AS DOUBLE) AS fragmentation FROM ent",
     "run_blocks": f"WITH {BLOCKED} SELECT run, block, key, value FROM placed",
@@ -205,7 +253,8 @@ SQL: dict[str, str] = {
     "bloom_theoretical_fp": f"""WITH {RUNS}, s AS (SELECT run, count(*) AS n, CAST(power(2, ceil(log2(greatest(ceil(count(*) * 10.0 / 512), 1)))) AS BIGINT) * 512 AS bits FROM runs GROUP BY run)
         SELECT run, n, bits, round(power(1 - exp(-6 * n / CAST(bits AS DOUBLE)), 6), 12) AS theoretical_fp, round({QUICK.format('(bits / n)')}, 12) AS quick_fp FROM s""",
     "noop_filter": f"WITH {KV} SELECT key, true AS may_contain FROM kv",
-    "filter_stats": f"WITH {FILTERS} SELECT level, run, checks, positives, false_positives, round(theoretical_fp, 12) AS theoretical_fp FROM fs",
+    "filter_stats": f"WITH {FILTERS} SELECT level, run, n, bits, hashes, checks, positives, false_positives, false_negatives, round(theoretical_fp, 12) AS theoretical_fp FROM fs",
+    "filter_stats_blocked": f"WITH {BLOCKED_FILTERS} SELECT level, run, n, bits, hashes, checks, positives, false_positives, false_negatives FROM fs",
     "filter_stats_summary": f"""WITH {FILTERS} SELECT coalesce(level, -1) AS level, count(*) AS runs, CAST(sum(checks) AS BIGINT) AS checks, CAST(sum(positives) AS BIGINT) AS positives, CAST(sum(false_positives) AS BIGINT) AS false_positives,
         round(avg(bits_per_entry), 9) AS bits_per_entry, round(avg(theoretical_fp), 9) AS theoretical_fp, round(CASE WHEN sum(positives) = 0 THEN 0 ELSE CAST(sum(false_positives) AS DOUBLE) / sum(positives) END, 9) AS observed_fp
         FROM fs GROUP BY ROLLUP (level) HAVING count(*) > 0""",

@@ -14,8 +14,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bloom import TARGET_RATES
 from ..operators import resolve
-from ..schema import ENTRIES, ENTRY_BYTES, InvalidInput, StoreConfig, run_name
+from ..schema import ENTRIES, ENTRY_BYTES, STORAGES, InvalidInput, StoreConfig, StoreError, run_name
 from ..sources import logs
 from .compaction import PartialTiered, Policy, RunInfo, make_policy
 
@@ -31,6 +32,8 @@ class Store:
         self.spark, self.path, self.config = spark, path, config or StoreConfig()
         options = {"max_runs": self.config.max_runs, "selection": self.config.selection} if self.config.policy.replace("_", "") == "partialtiered" else {}
         self.policy: Policy = make_policy(self.config.policy, self.config.threshold, **options)
+        if self.config.storage not in STORAGES:
+            raise InvalidInput(f"unknown storage: {self.config.storage}")
         self.manifest: list[dict] = []
         self.pending: DataFrame | None = None
         self.ingested = self.written = self._version = 0
@@ -50,18 +53,29 @@ class Store:
 
     def _load(self) -> None:
         for version in reversed(self._versions()):
-            lines = [r[0] for r in self.spark.read.text(f"{self.path}/manifest/{version}").collect()]
-            head = [json.loads(x) for x in lines]
-            if head and any(x.get("end") for x in head):  # a version without its end was never committed
-                self.manifest = sorted((x for x in head if "path" in x), key=lambda x: (x["level"], x["run_seq"]))
-                self._version = version
+            rows = self._committed(version)
+            if rows is not None:
+                self.manifest, self._version = rows, version
                 return
 
     def _commit(self, rows: list[dict]) -> None:
         rows = sorted(rows, key=lambda x: (x["level"], x["run_seq"]))
         lines = [json.dumps(x) for x in rows] + [json.dumps({"end": len(rows)})]
-        self.spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{self.path}/manifest/{self._version + 1}")
-        self.manifest, self._version = rows, self._version + 1
+        # written aside and renamed: a commit that dies leaves no version, and what is half there is stepped over
+        aside = f"{self.path}/manifest/_{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(aside)
+        version = max([self._version, *self._versions()]) + 1
+        where, fs = self._fs(aside)
+        if not fs.rename(where, self._fs(f"{self.path}/manifest/{version}")[0]):
+            raise StoreError(f"manifest version {version} can't be written; another writer may have it")
+        self.manifest, self._version = rows, version
+
+    def _committed(self, version: int) -> list[dict] | None:
+        """The rows of a version, or none if it was never committed in full."""
+        lines = [json.loads(r[0]) for r in self.spark.read.text(f"{self.path}/manifest/{version}").collect()]
+        if not any("end" in x for x in lines):
+            return None
+        return sorted((x for x in lines if "path" in x), key=lambda x: (x["level"], x["run_seq"]))
 
     def runs(self, level: int) -> list[RunInfo]:
         return [RunInfo(x["level"], x["run_seq"], x["min_key"], x["max_key"], x["entries"]) for x in self.manifest if x["level"] == level]
@@ -85,15 +99,32 @@ class Store:
             raise InvalidInput(f"unknown codec: {name}")
         return known[name]
 
-    def _options(self, writer, level: int):
-        # integers take delta encoding; a key's Bloom filter lets point reads skip files
-        return writer.option("compression", self.codec(level)).option("parquet.writer.version", "PARQUET_2_0").option("parquet.bloom.filter.enabled#key", "true")
-
-    def _write(self, merged: DataFrame, level: int, run_seq: int) -> dict | None:
+    def _options(self, writer, level: int, entries: int = FILE_ROWS):
+        """Integers take delta encoding; a key's Bloom filter, sized for the level's target rate, lets
+        point reads skip files of up to ``entries`` keys."""
+        keys = max(1, min(FILE_ROWS, entries))
+        rate = TARGET_RATES[min(level, len(TARGET_RATES) - 1)]
+        options = {
+            "compression": self.codec(level),
+            "parquet.writer.version": "PARQUET_2_0",
+            "parquet.bloom.filter.enabled#key": "true",
+            "parquet.bloom.filter.expected.ndv#key": str(keys),
+            "parquet.bloom.filter.fpp#key": str(rate),
+            "parquet.bloom.filter.max.bytes": str(64 << 20),
+        }
+        if self.config.storage == "orc":
+            codec = options["compression"]
+            options = {"compression": {"uncompressed": "none", "lz4_raw": "lz4"}.get(codec, codec), "orc.bloom.filter.columns": "key", "orc.bloom.filter.fpp": str(rate)}
+        return writer.format(self.config.storage).options(**options)
+
+    def _reader(self, schema):
+        return self.spark.read.format(self.config.storage).schema(schema)
+
+    def _write(self, merged: DataFrame, level: int, run_seq: int, entries: int = FILE_ROWS) -> dict | None:
         folder = f"runs/{level}/{run_name(level, run_seq)}-{uuid.uuid4().hex[:8]}"
         writer = merged.repartitionByRange("key").sortWithinPartitions("key").write.option("maxRecordsPerFile", FILE_ROWS)
-        self._options(writer, level).parquet(f"{self.path}/{folder}")
-        s = self.spark.read.schema(ENTRIES).parquet(f"{self.path}/{folder}").agg(F.count("*"), F.min("key"), F.max("key"), F.count_if("dead"), F.max("seq")).first()
+        self._options(writer, level, entries).save(f"{self.path}/{folder}")
+        s = self._reader(ENTRIES).load(f"{self.path}/{folder}").agg(F.count("*"), F.min("key"), F.max("key"), F.count_if("dead"), F.max("seq")).first()
         if not s[0]:
             return None
         self.written += s[0]
@@ -102,7 +133,7 @@ class Store:
     def read(self, rows: list[dict] | None = None) -> DataFrame:
         """Entries of the given runs, of all if none are given."""
         paths = [f"{self.path}/{x['path']}" for x in (self.manifest if rows is None else rows)]
-        return self.spark.read.schema(ENTRIES).parquet(*paths) if paths else self.spark.createDataFrame([], ENTRIES)
+        return self._reader(ENTRIES).load(paths) if paths else self.spark.createDataFrame([], ENTRIES)
 
     # writes ---------------------------------------------------------------
 
@@ -123,16 +154,17 @@ class Store:
         self._commit([*self.manifest, row])
         return True
 
-    def ingest(self, log: DataFrame) -> int:
-        """Flushes a whole log in windows of the buffer's size, in one job: a run for each window,
-        older windows first. Compaction follows where it is due. Returns the number of runs."""
+    def ingest(self, log: DataFrame, size: int | None = None, compact: bool = True) -> int:
+        """Flushes a whole log in windows of ``size`` sequence numbers (the buffer's size), in one job: a
+        run for each window, older windows first. Compaction follows where it is due. Returns the
+        number of runs."""
         self.flush()
-        window = F.floor(F.col("seq") / self.config.buffer_entries).cast("bigint")
+        window = F.floor(F.col("seq") / (size or self.config.buffer_entries)).cast("bigint")
         merged = resolve.entries(log).withColumn("window", window).groupBy("window", "key").agg(F.max_by("value", "seq").alias("value"), F.max_by("dead", "seq").alias("dead"), F.max("seq").alias("seq"))
         folder = f"runs/0/batch-{uuid.uuid4().hex[:8]}"
         writer = merged.repartitionByRange("window", "key").sortWithinPartitions("window", "key").select("window", *ENTRIES.names).write.option("maxRecordsPerFile", FILE_ROWS)
-        self._options(writer, 0).partitionBy("window").parquet(f"{self.path}/{folder}")
-        written = self.spark.read.schema("key long, value long, dead boolean, seq long, window long").parquet(f"{self.path}/{folder}")
+        self._options(writer, 0).partitionBy("window").save(f"{self.path}/{folder}")
+        written = self._reader("key long, value long, dead boolean, seq long, window long").load(f"{self.path}/{folder}")
         stats = written.groupBy("window").agg(F.count("*"), F.min("key"), F.max("key"), F.count_if("dead"), F.max("seq")).collect()
         first, rows = self._next(0, self.manifest), []
         for i, r in enumerate(sorted(stats)):
@@ -141,7 +173,8 @@ class Store:
             self.ingested += r[1]
         if rows:
             self._commit([*self.manifest, *rows])
-            self.compact_if_needed()
+            if compact:
+                self.compact_if_needed()
         return len(rows)
 
     def load(self, path: str) -> dict:
@@ -172,9 +205,8 @@ class Store:
         if len(source) == 1 and isinstance(self.policy, PartialTiered):
             return False
         rest = [x for x in self.manifest if x not in source]
-        row = self._write(resolve.merge(self.read(source)), level + 1, self._next(level + 1, self.manifest))
+        row = self._write(resolve.merge(self.read(source)), level + 1, self._next(level + 1, self.manifest), sum(x["entries"] for x in source))
         self._commit([*rest, *([row] if row else [])])
-        self._drop(source)
         if self.policy.due(level + 1, self.runs(level + 1)):
             self.compact_level(level + 1)
         return True
@@ -188,19 +220,31 @@ class Store:
         for level in sorted({x["level"] for x in self.manifest}):
             self.compact_level(level)
 
-    def _drop(self, rows: list[dict]) -> None:
+    def move(self, level: int, run_seq: int, to: int) -> None:
+        """Puts a run on another level without rewriting it."""
+        rows = [dict(x) for x in self.manifest]
         for x in rows:
-            where, fs = self._fs(f"{self.path}/{x['path']}")
-            fs.delete(where, True)
-
-    def collect_garbage(self) -> int:
-        """Deletes run folders that no manifest row names; returns how many. Folders of a batch go
-        with their last run."""
-        live = {x["path"].split("/")[2] for x in self.manifest}
+            if (x["level"], x["run_seq"]) == (level, run_seq):
+                x["level"], x["run_seq"] = to, self._next(to, self.manifest)
+        self._commit(rows)
+
+    def collect_garbage(self, retain: int = 1) -> int:
+        """Deletes run folders that none of the newest ``retain`` manifest versions names, and the older
+        versions; returns how many folders went. Until then compaction deletes nothing, so
+        readers that opened an earlier version go on. Folders of a batch go with their last run."""
+        kept: dict[int, list[dict]] = {}
+        for version in reversed(self._versions()):
+            rows = self._committed(version) if len(kept) < max(1, retain) else None
+            if rows is not None:
+                kept[version] = rows
+            else:
+                where, fs = self._fs(f"{self.path}/manifest/{version}")
+                fs.delete(where, True)
+        live = {x["path"].split("/")[2] for rows in kept.values() for x in rows}
         gone = 0
-        for level in {x["level"] for x in self.manifest} | {0}:
-            where, fs = self._fs(f"{self.path}/runs/{level}")
-            for s in fs.listStatus(where) if fs.exists(where) else []:
+        top, fs = self._fs(f"{self.path}/runs")
+        for level in fs.listStatus(top) if fs.exists(top) else []:
+            for s in fs.listStatus(level.getPath()):
                 if s.getPath().getName() not in live:
                     fs.delete(s.getPath(), True)
                     gone += 1
@@ -211,6 +255,11 @@ class Store:
     def _overlapping(self, low: int, high: int) -> list[dict]:
         return [x for x in self.manifest if x["min_key"] <= high and x["max_key"] >= low]
 
+    def tables(self) -> DataFrame:
+        """The entries of all runs with their level and run."""
+        parts = [self.read([x]).select(F.lit(x["level"]).alias("level"), F.lit(x["run_seq"]).cast("bigint").alias("run"), *ENTRIES.names) for x in self.manifest]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], ENTRIES).select(F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("run"), *ENTRIES.names)
+
     def image(self, rows: list[dict] | None = None) -> DataFrame:
         parts = [self.read(rows)] + ([resolve.entries(self.pending)] if self.pending is not None else [])
         return resolve.image(*parts)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,9 +15,9 @@ from pyspark.sql import functions as F
 from .functions import bloom, codecs
 from .functions.commands import parse
 from .operators import blocks, cache, encode, lookup, membership, replay, resolve
-from .plans.compaction import RunInfo, make_policy
+from .plans.store import Store
 from .plans.workload import Workload, generate
-from .schema import ENTRY_BYTES, TOMBSTONE, StoreConfig
+from .schema import ENTRY_BYTES, TOMBSTONE, StoreConfig, StoreError
 from .sources import logs
 from .streaming import ingest
 
@@ -102,6 +103,21 @@ def range_batch(spark, sf):
     return lookup.range_batch(logs.orders_pairs(spark, sf), _ranges(spark, sf))
 
 
+@query
+def range_extremes(spark, sf):
+    """Ranges of all lengths up to 2**64 over keys of all sizes."""
+    keys = logs.orders_pairs(spark, sf).select(_wide(F.col("key")).alias("key"), "value")
+    log = logs.events_log(spark, sf).where("op = 'r' and key % 15 = 0")
+    start, end = _wide(F.col("key") * 31 + F.col("seq")), _wide(F.col("seq") * 17 + 3)
+    return lookup.range_batch(keys, log.select(F.col("seq").alias("id"), F.least(start, end).alias("start"), F.greatest(start, end).alias("end"))).groupBy("id").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+
+
+def _wide(k):
+    """Numbers spread over all 64-bit integers, the smallest and largest among them."""
+    spread = ((k * 1103515245 + 12345) % 2147483647 - 1073741823) * 8589934592
+    return F.when(k % 97 == 0, F.lit(-(1 << 63))).when(k % 97 == 1, F.lit((1 << 63) - 1)).otherwise(spread)
+
+
 @query
 def range_replies(spark, sf):
     return lookup.range_replies(logs.orders_pairs(spark, sf), _ranges(spark, sf))
@@ -196,25 +212,21 @@ def flush_runs(spark, sf):
     return _stored(_runs(spark, sf))
 
 
-def _manifest(runs):
-    """One small row for each run."""
-    m = runs.groupBy("run").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n")).collect()
-    return sorted((RunInfo(0, r["run"], r["a"], r["b"], r["n"]) for r in m), key=lambda r: r.run_seq)
+def _store(spark, name, **options):
+    """A new store in the scratch folder."""
+    return Store(spark, f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}", StoreConfig(block_entries=BLOCK, **options))
 
 
-def _compacted(spark, sf, name, **options):
-    """Level and content of all runs after one compaction of level 0."""
-    runs = _runs(spark, sf)
-    policy = make_policy(name, **options)
-    level0, target = _manifest(runs), []
-    if policy.joins_target:  # the oldest run is already below
-        target, level0 = level0[:1], level0[1:]
-    picked = policy.pick(0, level0) if policy.due(0, level0) else []
-    inside = [r.run_seq for r in picked + (target if picked else [])]
-    below = [] if picked else [r.run_seq for r in target]
-    merged = resolve.merge(runs.where(F.col("run").isin(inside))).select(F.lit(1).alias("level"), F.lit(0).cast("bigint").alias("run"), "key", "value", "dead", "seq")
-    rest = runs.where(~F.col("run").isin(inside)).select(F.when(F.col("run").isin(below), 1).otherwise(0).alias("level"), "run", "key", "value", "dead", "seq")
-    return merged.unionByName(rest)
+def _compacted(spark, sf, name, selection="oldest"):
+    """Level and content of all runs of a store after one compaction of level 0; the only run of
+    level 1 is its run 0."""
+    store = _store(spark, "compact", policy=name, selection=selection)
+    store.ingest(logs.events_log(spark, sf), WINDOW, compact=False)
+    if store.policy.joins_target:  # the oldest run is already below
+        store.move(0, 0, 1)
+    if store.policy.due(0, store.runs(0)):
+        store.compact_level(0)
+    return store.tables().withColumn("run", F.when(F.col("level") == 0, F.col("run")).otherwise(0))
 
 
 @query
@@ -261,11 +273,24 @@ def compaction_equivalence(spark, sf):
 
 @query
 def recovery_image(spark, sf):
-    """What a store that recovers after its last whole window answers."""
+    """What a store answers that is opened again after its last whole window."""
     log = logs.events_log(spark, sf)
     whole = log.agg((F.floor((F.max("seq") + 1) / WINDOW) * WINDOW - 500).alias("end")).first()["end"]
     flushed = F.floor(F.lit(whole) / WINDOW) * WINDOW
-    return resolve.image(resolve.entries(log.where(F.col("seq") < flushed)))
+    store = _store(spark, "recover")
+    store.ingest(log.where(F.col("seq") < flushed), WINDOW, compact=False)
+    store.append(log.where(F.col("seq") >= flushed))  # pending, and lost
+    return Store(spark, store.path, store.config).image()
+
+
+def _layout(spark, sf):
+    """A store with all whole windows but the last in one run of level 1, the rest in runs of level 0."""
+    log = logs.events_log(spark, sf)
+    last = F.floor(F.lit(log.agg(F.max("seq")).first()[0]) / WINDOW) * WINDOW
+    store = _store(spark, "layout", policy="tiered", threshold=2)
+    store.ingest(log.where(F.col("seq") < last), WINDOW)
+    store.ingest(log.where(F.col("seq") >= last), WINDOW, compact=False)
+    return store
 
 
 # statistics ------------------------------------------------------------------
@@ -273,9 +298,21 @@ def recovery_image(spark, sf):
 
 @query
 def storage_stats(spark, sf):
-    n = _runs(spark, sf).groupBy("run").agg(F.count("*").alias("n"), F.count_if("dead").alias("dead"))
-    level = F.when(F.col("run") % 3 == 0, 1).otherwise(0)
-    return n.groupBy(level.alias("level")).agg(F.count("*").alias("runs"), F.sum(F.ceil(F.col("n") / BLOCK)).alias("blocks"), F.sum("n").alias("entries"), F.sum("dead").alias("tombstones"), F.sum(F.col("n") * ENTRY_BYTES).alias("bytes"))
+    return _layout(spark, sf).stats().withColumn("bytes", F.col("entries") * ENTRY_BYTES)
+
+
+@query
+def store_validate(spark, sf):
+    """Runs whose files disagree with the manifest: none."""
+    return _layout(spark, sf).validate().agg(F.count("*").alias("bad"))
+
+
+@query
+def store_orc(spark, sf):
+    """The image of a store whose runs are ORC files."""
+    store = _store(spark, "orc", storage="orc")
+    store.ingest(logs.events_log(spark, sf), WINDOW)
+    return store.image()
 
 
 @query
@@ -409,20 +446,31 @@ def bloom_sketch(spark, sf):
     return spark.createDataFrame([(int(made.bitSize()), float(made.expectedFpp()), missed == 0, missed)], "bits long, expected_fp double, keeps boolean, missed long")
 
 
-def _filter_stats(spark, sf):
-    n = _runs(spark, sf).groupBy("run").agg(F.count("*").alias("n"), F.count_if("dead").alias("dead"))
-    level = F.pmod("run", F.lit(3)).cast("int")
-    return n.select(level.alias("level"), "run", (F.col("n") * 20).alias("checks"), (F.col("n") * 3).alias("positives"), F.col("dead").alias("false_positives"), bloom.level_bits(level).alias("bits_per_entry"), bloom.quick_fp(bloom.level_bits(level)).alias("theoretical_fp"))
+def _filter_stats(spark, sf, variant="standard"):
+    """All gets of the log asked of the filters of a store's runs."""
+    log = logs.events_log(spark, sf)
+    # gets of keys that exist, and as many of keys that don't
+    keys = log.where("op = 'g'").select("key")
+    keys = keys.union(keys.select((F.col("key") + 1_000_003).alias("key")))
+    return membership.run_statistics(_layout(spark, sf).tables(), keys, variant)
+
+
+_COUNTED = ("level", "run", "n", "bits", "hashes", "checks", "positives", "false_positives", "false_negatives")
 
 
 @query
 def filter_stats(spark, sf):
-    return _filter_stats(spark, sf).where("checks > 1000").select("level", "run", "checks", "positives", "false_positives", F.round("theoretical_fp", 12).alias("theoretical_fp"))
+    return _filter_stats(spark, sf).select(*_COUNTED, F.round("theoretical_fp", 12).alias("theoretical_fp"))
+
+
+@query
+def filter_stats_blocked(spark, sf):
+    return _filter_stats(spark, sf, "blocked").select(*_COUNTED)
 
 
 @query
 def filter_stats_summary(spark, sf):
-    out = membership.summary(_filter_stats(spark, sf).where("checks > 1000"))
+    out = membership.summary(_filter_stats(spark, sf))
     return out.select(F.coalesce("level", F.lit(-1)).alias("level"), "runs", "checks", "positives", "false_positives", *(F.round(c, 9).alias(c) for c in ("bits_per_entry", "theoretical_fp", "observed_fp")))
 
 
@@ -480,7 +528,7 @@ def _trace(spark, sf):
 
 @query
 def cache_lru_sim(spark, sf):
-    return cache.simulate(_trace(spark, sf), "lru", 64)
+    return cache.simulate(_trace(spark, sf), "lru", 64, shard=F.col("key") % 16)
 
 
 @query
@@ -488,6 +536,16 @@ def cache_tinylfu_sim(spark, sf):
     return cache.simulate(_trace(spark, sf), "tinylfu", 64)
 
 
+@query
+def cache_ttl_sim(spark, sf):
+    return cache.simulate(_trace(spark, sf), "tinylfu_ttl", 64, shard=F.col("key") % 16)
+
+
+@query
+def cache_priority_sim(spark, sf):
+    return cache.simulate(_trace(spark, sf), "priority_lfu", 64, shard=F.col("key") % 16, priority=lambda key: ("critical", "high", "normal", "low")[key % 4])
+
+
 @query
 def cache_frequency(spark, sf):
     return cache.frequencies(_trace(spark, sf))
@@ -535,7 +593,11 @@ def stream_latest_image(spark, sf):
 
 
 def _scratch(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"kvspark-{os.getpid()}")
+    """The folder that executors share; one of this machine only where all runs on it."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise StoreError("spark.checkpoint.dir must name a folder that all executors share")
+    return path or os.path.join(tempfile.gettempdir(), f"kvspark-{os.getpid()}")
 
 
 def _folder_of(spark, df) -> str:

@@ -59,6 +59,10 @@ class CorruptRun(StoreError):
     """A run's files disagree with its manifest row."""
 
 
+#: Formats of run files by name; both are columnar and keep minima, maxima and Bloom filters of keys.
+STORAGES = ("parquet", "orc")
+
+
 @dataclass(frozen=True)
 class StoreConfig:
     """Options of a store; defaults are those users of such a store expect."""
@@ -74,6 +78,8 @@ class StoreConfig:
     l0_codec: str = "none"
     lower_codec: str = "snappy"
     level_codecs: dict[int, str] = field(default_factory=dict)
+    #: Format of run files, a name of STORAGES.
+    storage: str = "parquet"
 
     @property
     def buffer_entries(self) -> int:

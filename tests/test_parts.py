@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from kvspark import oracle, queries
 from kvspark.functions import bloom, codecs
-from kvspark.operators import blocks, cache, encode, membership, resolve
+from kvspark.operators import blocks, cache, encode, lookup, membership, resolve
 from kvspark.plans.store import Store
 from kvspark.schema import InvalidInput
 from kvspark.sources import logs
@@ -206,3 +206,53 @@ def test_sketch_misses_are_counted_over_all_keys(spark):
     # the first hundred keys alone would pass
     assert membership.missed(keys, membership.sketch(keys.where("key < 200"), "key", 2000, 0.01), "key") > 1800
     assert bloom_sketch(spark, "/root/testdata/sf0.001").first()["missed"] == 0
+
+
+def test_range_join_of_all_lengths(spark):
+    """Random 64-bit ranges, the extremes among them, against brute force."""
+    rng = random.Random(17)
+    low, high = -(1 << 63), (1 << 63) - 1
+    near = [low, low + 1, -1, 0, 1, (1 << 60) - 1, 1 << 60, high - 1, high]
+    keys = sorted({*near, *(rng.randint(low, high) for _ in range(60)), *(rng.randint(-100, 100) for _ in range(30))})
+    spans = [(low, high), (high, low), (low, low + 1), (high - 1, high), ((1 << 60) - 1, (1 << 61) + 100 - 1), (5, 5)]
+    spans += [(rng.choice(keys), rng.choice(keys)) for _ in range(120)]
+    ranges = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(spans)], "id long, start long, end long")
+    points = spark.createDataFrame([(k,) for k in keys], "key long")
+    for closed in (False, True):
+        got = {(r.id, r.key) for r in lookup.range_join(ranges, points, closed=closed).collect()}
+        assert got == {(i, k) for i, (a, b) in enumerate(spans) for k in keys if a <= k < b or closed and a <= k == b}
+
+
+def test_blocks_and_sizes_of_extreme_keys(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(0, k, v) for k, v in ((low, high), (-5, low), (0, 7), (9, high), (high, low))]
+    pairs = spark.createDataFrame(rows, "run long, key long, value long")
+    b = blocks.blocks(pairs, 2)
+    assert sorted((r.block, r.key) for r in b.collect()) == [(0, low), (0, -5), (1, 0), (1, 9), (2, high)]
+    found = blocks.find_points(blocks.zone_map(b), spark.createDataFrame([(high,), (low,)], "key long")).collect()
+    assert sorted((r.key, r.block) for r in found) == [(low, 0), (high, 2)]
+    whole = blocks.blocks(pairs, 100)
+    size = encode.delta_sizes(whole).first()["bytes"]
+    ordered = sorted(rows, key=lambda r: r[1])
+    raw = encode.encode_block("delta", np.array([r[1] for r in ordered]), np.array([r[2] for r in ordered]))
+    assert size == len(raw)
+    assert encode.shapes(whole).count() == 1
+    spread = spark.range(3000).selectExpr("0L run", "id * 3074457345618000 key", "id value")
+    numbered = blocks.number(spread).orderBy("key").select("row").collect()
+    assert [r.row for r in numbered] == list(range(3000))
+
+
+def test_filters_deny_no_key(spark):
+    runs = spark.range(4000).selectExpr("cast(id % 2 as int) level", "0L run", "id * 3 key")
+    keys = spark.range(-50, 6000).withColumnRenamed("id", "key")
+    for variant in bloom.VARIANTS:
+        out = membership.run_statistics(runs, keys, variant).collect()
+        assert len(out) == 2 and all(r.false_negatives == 0 and r.checks == 6050 and r.false_positives < 0.05 * r.checks for r in out)
+
+
+def test_expiry_and_priority():
+    c = cache.make_cache("tinylfu_ttl", 2, ttl=20)
+    assert [c.access(1, t) for t in (0, 5, 19, 20, 25)] == [False, True, True, False, True] and c.expired == 1
+    p = cache.make_cache("priority_lfu", 1, priority=lambda k: "critical" if k == 7 else "low")
+    p.access(1, 0), p.access(1, 1)
+    assert not p.access(7, 2) and p.access(7, 3) and not p.access(1, 4) and p.access(7, 5)

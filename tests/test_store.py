@@ -177,3 +177,48 @@ def test_workload(spark):
     assert text(generate(spark, w)).where("value rlike '^(p -?[0-9]+ -?[0-9]+|[gd] -?[0-9]+|r -?[0-9]+ -?[0-9]+)$'").count() == 370
     other = generate(spark, Workload(puts=200, seed=1)).collect()
     assert {r.key for r in other} != {r.key for r in a}
+
+
+def test_torn_commit_is_stepped_over(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    at = put(spark, store, [("p", 1, 100)], 0)
+    store.flush()
+    # a version that was begun, without its end, under the number that comes next
+    spark.createDataFrame([('{"level": 0}',)], "value string").write.text(f"{tmp_path}/manifest/2")
+    again = Store(spark, str(tmp_path))
+    assert content(again) == {1: 100}
+    put(spark, again, [("p", 2, 200)], at)
+    assert again.flush() and content(Store(spark, str(tmp_path))) == {1: 100, 2: 200}
+
+
+def test_readers_outlive_compaction(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    at = 0
+    for i in range(3):
+        at = put(spark, store, [("p", i, i), ("p", 9, i)], at)
+        store.flush()
+    reader = Store(spark, str(tmp_path))
+    before = reader.image()
+    store.force_compact_all()
+    assert {r.key: r.value for r in before.collect()} == {0: 0, 1: 1, 2: 2, 9: 2} == content(store)
+    assert store.collect_garbage(retain=2) == 0 and content(reader) == content(store)
+    assert store.collect_garbage() == 3 and content(Store(spark, str(tmp_path))) == content(store)
+
+
+def test_storage_by_name(spark, tmp_path):
+    store = Store(spark, str(tmp_path), StoreConfig(storage="orc"))
+    put(spark, store, [("p", 1, 10), ("p", -(1 << 63), 5), ("p", (1 << 63) - 1, 6)], 0)
+    store.flush()
+    store.force_compact_all()
+    again = Store(spark, str(tmp_path), store.config)
+    assert content(again) == {1: 10, -(1 << 63): 5, (1 << 63) - 1: 6} and again.validate().count() == 0
+    with pytest.raises(InvalidInput):
+        Store(spark, str(tmp_path), StoreConfig(storage="nope"))
+
+
+def test_move(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    put(spark, store, [("p", 1, 10)], 0)
+    store.flush()
+    store.move(0, 0, 1)
+    assert [(x["level"], x["run_seq"]) for x in store.manifest] == [(1, 0)] and store.get(1) == 10
