@@ -58,14 +58,14 @@ def pack(docs: DataFrame, length: Column | None = None, max_length: int = MAX_LE
     batch of a bucket can have room left.
 
     Null or empty text has one piece of one token, its end. Null doc_ids and repeated rows are
-    pieces like others. Order within a bucket follows a hash of doc_id and piece. Other columns
+    pieces like others, spread by their texts. Order within a bucket follows a hash of doc_id, text and piece. Other columns
     are ignored; an empty table gives an empty result."""
     size = words_of(F.col("text").cast("string")) if length is None else length
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("n"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h") if "text" in docs.columns else F.lit(0).cast("long").alias("h"), size.cast("long").alias("n"))
     cut = F.expr(f"sequence(0L, cast((greatest(n, 1L) - 1) div {max_length} as bigint))")
-    pieces = rows.select("doc_id", "n", F.explode(cut).alias("piece"))
-    pieces = pieces.select("doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * max_length).alias("first"), F.least(F.lit(max_length), F.greatest(F.col("n"), F.lit(1)) - F.col("piece") * max_length).cast("int").alias("length"))
-    pieces = save(pieces.withColumn("h", F.xxhash64("doc_id", "piece")), "pieces")
+    pieces = rows.select("doc_id", "h", "n", F.explode(cut).alias("piece"))
+    pieces = pieces.select("doc_id", "h", F.col("piece").cast("int").alias("piece"), (F.col("piece") * max_length).alias("first"), F.least(F.lit(max_length), F.greatest(F.col("n"), F.lit(1)) - F.col("piece") * max_length).cast("int").alias("length"))
+    pieces = save(pieces.withColumn("h", F.xxhash64("doc_id", "h", "piece")), "pieces")
     # at most max_length rows
     histogram = pieces.groupBy("length").count().collect()
     bounds = boundaries(np.array([r[0] for r in histogram]), np.array([r[1] for r in histogram]), buckets)

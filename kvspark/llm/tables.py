@@ -430,15 +430,23 @@ def _cross(most: int | None, near: Callable):
             yield np.minimum(x, y) << 32 | np.maximum(x, y)
 
     def run(batches):
-        nodes = comp = close = None
+        nodes = comp = close = met = None
         codes: list[np.ndarray] = []
         cut: list[int] = []
         names: list[int] = []
 
         def flush():
-            code = np.unique(np.concatenate(codes))
-            codes.clear()
-            i, j = code >> 32, code & 0xFFFFFFFF
+            if codes:
+                code = np.unique(np.concatenate(codes))
+                codes.clear()
+                yield from chosen(code >> 32, code & 0xFFFFFFFF)
+            for k in range(0, len(nodes) if met is not None else 0, 256):
+                i, j = np.nonzero(met[k : k + 256])
+                i += k
+                ok = (i < j) & (comp[i] != comp[j])
+                yield from chosen(i[ok], j[ok])
+
+        def chosen(i, j):
             ok = close(i, j)
             i, j = i[ok], j[ok]
             if most is not None and len(i):
@@ -460,9 +468,9 @@ def _cross(most: int | None, near: Callable):
             cuts = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (kind[1:] != kind[:-1])]) if len(r) else []
             for s, e in zip(cuts, np.r_[cuts[1:], len(r)].astype(int)):
                 if r[s] != group:
-                    if codes:
+                    if close is not None:
                         yield from flush()
-                    group, held, close = r[s], [], None
+                    group, held, close, met = r[s], [], None, None
                     names.clear()
                 part = b.slice(s, e - s)
                 if kind[s] == 0:
@@ -475,15 +483,20 @@ def _cross(most: int | None, near: Callable):
                     nodes, comp = nodes[order], np.zeros(len(order), np.int64)
                     close = near(whole.column("info").combine_chunks().take(pa.array(order)))
                     held = []
+                    if len(nodes) <= WHOLE_NODES:  # runs of a group share most pairs: each is marked once
+                        met = np.zeros((len(nodes), len(nodes)), bool)
                 for name, members in zip(part.column("run").to_pylist(), part.column("members")):
                     m = np.searchsorted(nodes, members.values.field("node").to_numpy())
                     comp[m] = members.values.field("comp").to_numpy()
                     names.append(name)
+                    if met is not None:
+                        met[np.ix_(m, m)] = True
+                        continue
                     for code in pairs_of(m, comp):
                         codes.append(code)
                         if sum(map(len, codes)) > 4 * CROSS_PAIRS:
                             yield from flush()
-        if codes:
+        if close is not None:
             yield from flush()
         if cut:
             yield pa.RecordBatch.from_arrays([pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.int64()), pa.array(cut, pa.int64())], ["a", "b", "run"])

@@ -112,7 +112,7 @@ def search_group(q_ids, q, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np
             same = q_ids[own][:, None] == ids[None, :]
             all_s = np.concatenate([best_s[own], np.where(same, -(2**63), sc)], axis=1)
             all_i = np.concatenate([best_i[own], np.where(same, 2**63 - 1, np.broadcast_to(ids, sc.shape))], axis=1)
-            top = np.lexsort((all_i, -all_s.astype(np.float64) if np.abs(sc).max(initial=0) < 2**53 else ~all_s), axis=1)[:, :k]
+            top = np.lexsort((all_i, ~all_s), axis=1)[:, :k]  # ~x falls as x grows, for every integer
             best_s[own], best_i[own] = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_i, top, 1)
             filled[own] = np.minimum(k, filled[own] + (~same).sum(1))
     row, col = np.nonzero(np.arange(k)[None, :] < filled[:, None])

@@ -146,7 +146,7 @@ def _rate(values: np.ndarray, weights: np.ndarray) -> float:
     return (lo + hi) / 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, where: Column, fit_rows: int = FIT_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, where: Column, fit_rows: int = FIT_ROWS, fit_tokens: int = FIT_TOKENS) -> Model:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where(F.col("label").isin(0, 1) & where)
     share = min(1.0, fit_rows / max(known.count(), 1))
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * share))
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column, fit_rows: int = FIT_R
     t, c = F.col("t") + prior, F.col("c") + prior
     odds = F.log(t / (nt + PRIOR - t + 1)) - F.log(c / (nc + PRIOR - c + 1))
     counted = counted.select("token", "c", odds.alias("odds"), (odds / F.sqrt(1 / t + 1 / c)).alias("z")).where(F.abs("z") >= SURE)
-    top = counted.orderBy(F.desc(F.abs("z")), "token").limit(FIT_TOKENS).toArrow()
+    top = counted.orderBy(F.desc(F.abs("z")), "token").limit(fit_tokens).toArrow()
     z = np.abs(top.column("z").to_numpy())
     token, odds, c = top.column("token").to_numpy().view(np.uint64), top.column("odds").to_numpy(), top.column("c").to_numpy()
     order = np.argsort(token)
@@ -210,7 +210,7 @@ def _apply(model):
 _SEGMENTS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
 
 
-def score(docs: DataFrame, labels: DataFrame, where: Column | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, where: Column | None = None, fit_rows: int = FIT_ROWS, fit_tokens: int = FIT_TOKENS) -> DataFrame:
     """Per row of ``docs``: doc_id, score (probability of a toxic text), best_segment, n_segments
     and segments (word positions and score of each significant passage).
 
@@ -225,5 +225,5 @@ def score(docs: DataFrame, labels: DataFrame, where: Column | None = None, fit_r
     columns are ignored."""
     spark = ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = spark.sparkContext.broadcast(fit(docs, labels, F.lit(True) if where is None else where, fit_rows))
+    model = spark.sparkContext.broadcast(fit(docs, labels, F.lit(True) if where is None else where, fit_rows, fit_tokens))
     return docs.mapInArrow(_apply(model), RESULT)
