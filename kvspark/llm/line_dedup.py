@@ -447,6 +447,16 @@ def _near_in_run(threshold: float):
     return near
 
 
+def _alike_in_run(threshold: float):
+    """Which pairs of some lines link."""
+
+    def match(infos):
+        norm = infos.field("norm").to_pylist()
+        return lambda i, j: all_alike([norm[k] for k in i.tolist()], [norm[k] for k in j.tolist()], threshold)
+
+    return match
+
+
 def _texts(batches):
     """Normalised text of the wanted lines of each document."""
     schema = pa.schema([("node", pa.int64()), ("norm", pa.string()), ("chars", pa.int32())])
@@ -534,8 +544,8 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.75, small: int = 16) -> Da
         both = both.where(F.abs(F.col("na") - F.col("nb")) <= F.col("most"))
         return both.select("a", "b", "ta", "tb").mapInArrow(lean(_alike(threshold)), "a long, b long")
 
-    info = sketches.select("node", F.struct("sim", "mins").alias("info"))
-    comps = link(found, screen, verify, info, _near_in_run(threshold))
+    info = sketches.join(norms, "node").select("node", F.struct("sim", "mins", "norm").alias("info"))
+    comps = link(found, screen, verify, info, _near_in_run(threshold), _alike_in_run(threshold))
     grouped = classes.join(comps, "node", "left").select("h1", "h2", "n", "first", F.coalesce("comp", "node").alias("comp"), F.col("comp").isNotNull().alias("linked")).where("n > 1 or linked")
     keep = grouped.groupBy("comp").agg(F.min("first").alias("keep"))
     groups = save(grouped.join(keep, "comp").select("h1", "h2", "keep"), "groups")

@@ -316,6 +316,12 @@ def _texts(size: int):
     return run
 
 
+def _unpacked(packed: bytes, size: int) -> np.ndarray:
+    """The set of a compressed text."""
+    raw = zlib.decompress(packed)
+    return K.shingle_set(K.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), K.alphabet("space", True)).hashes, size)
+
+
 def _same(size: int, threshold: float):
     """Pairs whose sets' exact Jaccard similarity reaches the threshold."""
     p = round(threshold * 100)
@@ -329,9 +335,7 @@ def _same(size: int, threshold: float):
                 sets = []
                 for col, have in (("ta", a[i] == last), ("tb", False)):
                     if not have:
-                        raw = zlib.decompress(b.column(col)[i].as_py())
-                        w = K.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), K.alphabet("space", True))
-                        sets.append(K.shingle_set(w.hashes, size))
+                        sets.append(_unpacked(b.column(col)[i].as_py(), size))
                     else:
                         sets.append(left)
                 last, left = a[i], sets[0]
@@ -342,6 +346,31 @@ def _same(size: int, threshold: float):
     return run
 
 
+def _same_in_run(size: int, threshold: float):
+    """Which pairs of some nodes link, set against set; a node's set is made once."""
+    p = round(threshold * 100)
+
+    def match(infos):
+        packed, sets = infos.field("packed"), {}
+
+        def of(k):
+            if k not in sets:
+                sets[k] = _unpacked(packed[k].as_py(), size)
+            return sets[k]
+
+        def same(i, j):
+            out = np.zeros(len(i), bool)
+            for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+                x, y = of(x), of(y)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out[k] = 100 * both >= p * (len(x) + len(y) - both)
+            return out
+
+        return same
+
+    return match
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, threshold: float = 0.75, small: int = 16) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, component (a number for
     each component), node (a number for each row) and text_hash (xxhash64 of the text).
@@ -405,8 +434,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: float = 0.75,
     runs = found.where("members is not null").select(F.xxhash64("members").alias("run"), F.explode("members").alias("tag"))
     runs = runs.join(names, "tag").groupBy("run").agg(F.sort_array(F.collect_list("node")).alias("members"))
     runs = runs.select(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "members")
-    info = some.select("node", F.struct("n", "band", "own", "next").alias("info"))
-    comps = link(pairs.union(runs), screen, verify, info, _near_in_run(threshold))
+    info = sketches.join(texts, "node").select("node", F.struct("n", "band", "own", "next", "packed").alias("info"))
+    comps = link(pairs.union(runs), screen, verify, info, _near_in_run(threshold), _same_in_run(size, threshold))
 
     classes = nodes.join(comps, "node", "left").select("d1", "d2", "node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     lowest = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -364,142 +364,104 @@ class Candidates:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([m], pa.list_(pa.int64()))], ["a", "b", "members"])
 
 
-#: Pairs of any two components of a run that the first round takes; the second takes all.
-FIRST_PAIRS = 4
+#: Nodes of a group of runs in one tile. Two tiles, or one with itself, meet in a task.
+TILE = 256
 
 
-def link(found: DataFrame, screen: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], info: DataFrame, near: Callable) -> DataFrame:
+def link(found: DataFrame, screen: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], info: DataFrame, near: Callable, match: Callable) -> DataFrame:
     """(node, comp) over all verified links among the candidates in ``found``.
 
-    Pairs come first. Then each large run whose nodes are still in different components is
-    taken again: of any two of its components FIRST_PAIRS pairs of nodes that can link are compared, and
-    then, of runs that had more and whose components are still apart, all such pairs. Pairs inside a
-    component add nothing to it and are never made, so a family of copies
-    costs its size times a few, not the square of it.
+    Pairs come first: ``screen`` drops those (a, b) that can't link, ``verify`` keeps those that do.
+    Then the large runs whose nodes are still in different components are compared inside
+    tasks. Runs that begin with the same node mostly belong to one family and make a group; its nodes are
+    dealt to tiles of about TILE, and each two tiles meet in a task of their own, so no task holds more
+    than two tiles however large the group is. Pairs inside a component add nothing to it and
+    are passed over, links found in the task included, and only links leave it.
 
-    ``info`` (node, info) has some bytes for each node; ``near(infos)`` gives a function of
-    two arrays of positions that tells which pairs can link, so that only such pairs leave the run;
-    ``screen`` does the same to pairs (a, b). ``verify`` keeps the pairs that link. No pair is verified twice."""
+    ``info`` (node, info) has what a task needs of each node; ``near(infos)`` and ``match(infos)`` give
+    functions of two arrays of positions that tell which pairs can link and which of those do."""
+    spark = found.sparkSession
     tested = save(screen(found.where("members is null").select("a", "b").distinct()), "close")
-    links = save(verify(tested), "links")
-    comps = save(components(links), "comps")
+    comps = save(components(save(verify(tested), "links")), "comps")
     runs = found.where("members is not null").select("members").distinct().select(F.xxhash64("members").alias("run"), "members")
-    for most in (FIRST_PAIRS, None):
-        labelled = runs.select("run", F.explode("members").alias("node")).join(known(comps), "node", "left")
-        labelled = labelled.select("run", F.struct("node", F.coalesce("comp", "node").alias("comp")).alias("m"))
-        still = labelled.groupBy("run").agg(F.collect_list("m").alias("members"), F.min("m.comp").alias("low"), F.max("m.comp").alias("high")).where("low < high")
-        # runs of one family mostly begin with the same node. They meet in one task, which gets
-        # each node's info once and repeats fewer pairs
-        still = save(still.select("run", F.array_min("members.node").alias("r"), "members"), "open")
-        if not still.take(1):
-            return comps
-        needed = still.select("r", F.explode("members.node").alias("node")).distinct()
-        needed = needed.join(info, "node")
-        rows = needed.select("r", F.lit(0).alias("kind"), "node", "info").unionByName(still.select("r", F.lit(1).alias("kind"), "run", "members"), allowMissingColumns=True)
-        dealt = rows.repartition(partitions(found.sparkSession, 0), "r").sortWithinPartitions("r", "kind")
-        made = save(dealt.mapInArrow(lean(_cross(most, near)), "a long, b long, run long"), "crossed")
-        fresh = save(made.where("run is null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "close")
-        new = save(verify(fresh), "links")
-        tested = tested.union(fresh)
-        if new.take(1):
-            comps = save(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(new)), "comps")
-        # the other runs were compared in full
-        more = made.where("run is not null").select("run").distinct()
-        runs = still.join(more, "run", "left_semi").select("run", F.col("members.node").alias("members"))
-    return comps
-
-
-#: Pairs of one group that :func:`_cross` holds at a time.
-CROSS_PAIRS = 500_000
-
-
-def _cross(most: int | None, near: Callable):
-    """Pairs of nodes of runs that are in unlike components and can link, up to ``most`` of any two
-    components, and the numbers of runs that may have more. Rows come in order of group and kind: a
-    group's nodes, then its runs."""
-
-    def pairs_of(members: np.ndarray, comp: np.ndarray) -> Iterator[np.ndarray]:
-        """All pairs of a run's unlike components, as first x 2**32 + second, a part at a time."""
-        _, at, count = np.unique(comp[members], return_inverse=True, return_counts=True)
-        # each pair of unlike components has a node outside the largest one
-        outside = np.flatnonzero(at != np.argmax(count))
-        step = max(1, CROSS_PAIRS // len(members))
-        for k in range(0, len(outside), step):
-            x, y = np.nonzero(at[outside[k : k + step], None] != at[None, :])
-            x, y = members[outside[k + x]], members[y]
-            yield np.minimum(x, y) << 32 | np.maximum(x, y)
+    labelled = runs.select("run", F.explode("members").alias("node")).join(known(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    still = labelled.groupBy("run").agg(F.min("node").alias("r"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    still = save(labelled.join(still.select("run", "r"), "run").select("r", "run", "node", "comp"), "open")
+    if not still.take(1):
+        return comps
+    nodes = save(still.groupBy("r", "node", "comp").agg(F.collect_list("run").alias("runs")), "grouped")
+    tiles = nodes.groupBy("r").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    placed = nodes.join(info, "node").join(known(save(tiles, "tiles")), "r").withColumn("t", F.expr("pmod(xxhash64(node), tiles)"))
+    placed = placed.select("r", "node", "comp", "runs", "info", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u"))
+    meet = ["r", "x", "y"]
+    placed = placed.select("r", F.least("t", "u").cast("int").alias("x"), F.greatest("t", "u").cast("int").alias("y"), (F.col("t") <= F.col("u")).alias("first"), "node", "comp", "runs", "info")
+    dealt = placed.repartition(partitions(spark, 8192 * nodes.count()), *meet).sortWithinPartitions(*meet)
+    new = save(dealt.mapInArrow(lean(_meet(near, match)), "a long, b long"), "links")
+    if not new.take(1):
+        return comps
+    return save(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(new)), "comps")
+
+
+#: Pairs of two tiles that are compared at a time: few at first and wherever many link, as
+#: each link may make others needless.
+FEW_PAIRS, MANY_PAIRS = 64, 4096
+
+
+def _meet(near: Callable, match: Callable):
+    """Links between nodes of two tiles that share a run and are in unlike components. Rows come in
+    order of tiles."""
+
+    def links(x, y, held):
+        whole = pa.Table.from_batches(held)
+        nodes, comp, first = (whole.column(c).to_numpy().copy() for c in ("node", "comp", "first"))
+        infos = whole.column("info").combine_chunks()
+        runs = whole.column("runs").combine_chunks()
+        run, at = runs.flatten().to_numpy(), np.repeat(np.arange(len(nodes)), runs.value_lengths().to_numpy())
+        order = np.argsort(run, kind="stable")
+        run, at = run[order], at[order]
+        met = np.zeros((len(nodes), len(nodes)), bool)
+        for m in np.split(at, np.flatnonzero(run[1:] != run[:-1]) + 1):
+            if len(m) > 1:
+                met[np.ix_(m, m)] = True
+        met &= comp[:, None] != comp[None, :]
+        met &= np.triu(np.ones_like(met), 1) if x == y else first[:, None] & ~first[None, :]
+        i, j = np.nonzero(met)
+        ok = near(infos)(i, j)
+        i, j, same, step = i[ok], j[ok], match(infos), FEW_PAIRS
+        out = []
+        while len(i):
+            p, q = i[:step], j[:step]
+            i, j = i[step:], j[step:]
+            ok = same(p, q)
+            for u, v in zip(p[ok].tolist(), q[ok].tolist()):
+                if comp[u] != comp[v]:
+                    out.append((nodes[u], nodes[v]))
+                    comp[comp == comp[u]] = comp[v]
+            if ok.any():
+                apart = comp[i] != comp[j]
+                i, j = i[apart], j[apart]
+            step = min(2 * step, MANY_PAIRS) if 4 * ok.sum() < len(ok) else FEW_PAIRS
+        a, b = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches):
-        nodes = comp = close = met = None
-        codes: list[np.ndarray] = []
-        cut: list[int] = []
-        names: list[int] = []
-
-        def flush():
-            if codes:
-                code = np.unique(np.concatenate(codes))
-                codes.clear()
-                yield from chosen(code >> 32, code & 0xFFFFFFFF)
-            for k in range(0, len(nodes) if met is not None else 0, 256):
-                i, j = np.nonzero(met[k : k + 256])
-                i += k
-                ok = (i < j) & (comp[i] != comp[j])
-                yield from chosen(i[ok], j[ok])
-
-        def chosen(i, j):
-            ok = close(i, j)
-            i, j = i[ok], j[ok]
-            if most is not None and len(i):
-                two = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
-                order = np.lexsort(two[::-1])
-                i, j, two = i[order], j[order], [x[order] for x in two]
-                first = np.flatnonzero(np.r_[True, (two[0][1:] != two[0][:-1]) | (two[1][1:] != two[1][:-1])])
-                keep = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) < most
-                if not keep.all():
-                    cut.extend(names)
-                i, j = i[keep], j[keep]
-            for k in range(0, len(i), 100_000):
-                a, b = nodes[i[k : k + 100_000]], nodes[j[k : k + 100_000]]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "run"])
-
-        group, held = None, []
+        tiles, held = None, []
         for b in batches:
-            r, kind = b.column("r").to_numpy(), b.column("kind").to_numpy()
-            cuts = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (kind[1:] != kind[:-1])]) if len(r) else []
-            for s, e in zip(cuts, np.r_[cuts[1:], len(r)].astype(int)):
-                if r[s] != group:
-                    if close is not None:
-                        yield from flush()
-                    group, held, close, met = r[s], [], None, None
-                    names.clear()
-                part = b.slice(s, e - s)
-                if kind[s] == 0:
-                    held.append(part)
-                    continue
-                if close is None:
-                    whole = pa.Table.from_batches(held)
-                    nodes = whole.column("node").to_numpy()
-                    order = np.argsort(nodes)
-                    nodes, comp = nodes[order], np.zeros(len(order), np.int64)
-                    close = near(whole.column("info").combine_chunks().take(pa.array(order)))
-                    held = []
-                    if len(nodes) <= WHOLE_NODES:  # runs of a group share most pairs: each is marked once
-                        met = np.zeros((len(nodes), len(nodes)), bool)
-                for name, members in zip(part.column("run").to_pylist(), part.column("members")):
-                    m = np.searchsorted(nodes, members.values.field("node").to_numpy())
-                    comp[m] = members.values.field("comp").to_numpy()
-                    names.append(name)
-                    if met is not None:
-                        met[np.ix_(m, m)] = True
-                        continue
-                    for code in pairs_of(m, comp):
-                        codes.append(code)
-                        if sum(map(len, codes)) > 4 * CROSS_PAIRS:
-                            yield from flush()
-        if close is not None:
-            yield from flush()
-        if cut:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.int64()), pa.array(cut, pa.int64())], ["a", "b", "run"])
+            at = [b.column(c).to_numpy() for c in ("r", "x", "y")]
+            new = np.zeros(b.num_rows, bool)
+            new[:1] = True
+            for c in at:
+                new[1:] |= c[1:] != c[:-1]
+            cuts = np.flatnonzero(new).tolist()
+            for s, e in zip(cuts, [*cuts[1:], b.num_rows]):
+                own = tuple(int(c[s]) for c in at)
+                if own != tiles:
+                    if held:
+                        yield links(*tiles[1:], held)
+                    tiles, held = own, []
+                held.append(b.slice(s, e - s))
+        if held:
+            yield links(*tiles[1:], held)
 
     return run
 

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from kvspark.llm import decontaminate, near_dup, queries, substring_dedup
+from kvspark.llm import decontaminate, near_dup, queries, substring_dedup, tables
 from kvspark.llm.tables import components
 
 from .cases import DOCS, SYLLABLES, Groups, alnum, edit, rows, sentence, sha, shingles, split
@@ -33,8 +33,11 @@ def test_jaccard_cases(spark):
     assert Counter(map(tuple, found.select("doc_id", "n_shingles", "component_id").collect())) == jaccard_brute(data)
 
 
-def test_jaccard_family_needs_rounds(spark):
-    """A large family of near copies around the threshold, and many texts that share a passage."""
+@pytest.mark.parametrize("tile", [256, 7])
+def test_jaccard_large_runs(spark, monkeypatch, tile):
+    """A large family of near copies around the threshold, and many texts that share a passage, in one
+    tile and in many."""
+    monkeypatch.setattr(tables, "TILE", tile)
     rng = random.Random(3)
     base = sentence(rng, 90)
     passage = sentence(rng, 40)
