@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ RANK_BITS = 512  # one directory entry for so many bits
 #: A segment of a file holds about so many ids: writers and readers need memory for one segment.
 SEGMENT_IDS = 1 << 20
 
-FILE = "first_doc long, n_docs long, n_ids long, doc_ids binary, lengths binary, codes binary, shard int, segment int, shard_start long"
+FILE = "first_doc long, n_docs long, n_null long, n_ids long, doc_ids binary, lengths binary, codes binary, shard int, segment int, shard_start long"
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -202,31 +203,32 @@ def _write(path: str, end_id: int, segment_ids: int):
 
         shard, segment, before = TaskContext.get().partitionId(), 0, 0
         encoder = _encoder(path, end_id)
-        docs, sizes, ids, n = [], [], [], 0
+        docs, sizes, ids, n, n_null = [], [], [], 0, 0
 
         def close():
             nonlocal segment, before
             d = np.concatenate(docs)
-            row = {"first_doc": int(d[0]), "n_docs": len(d), "n_ids": n, "doc_ids": d.tobytes(), "lengths": np.concatenate(sizes).astype("<u4").tobytes(), "codes": encode(np.concatenate(ids)), "shard": shard, "segment": segment, "shard_start": before}
+            row = {"first_doc": int(d[0]) if n_null < len(d) else None, "n_docs": len(d), "n_null": n_null, "n_ids": n, "doc_ids": d.tobytes(), "lengths": np.concatenate(sizes).astype("<u4").tobytes(), "codes": encode(np.concatenate(ids)), "shard": shard, "segment": segment, "shard_start": before}
             segment, before = segment + 1, before + n
             return pa.RecordBatch.from_pylist([row], schema)
 
         for b in batches:
-            doc = b.column("doc_id").to_numpy(zero_copy_only=False)
+            doc = pc.fill_null(b.column("doc_id"), 0).to_numpy()
             buf, bounds = K.text_buffers(b.column("text"))
             for i, j in K.slices(bounds):
                 out, per_row = encoder.encode(buf, bounds[i : j + 1])
-                docs.append(doc[i:j].astype(np.int64))
+                docs.append(doc[i:j])
+                n_null += b.column("doc_id").slice(i, j - i).null_count
                 sizes.append(per_row)
                 ids.append(out)
                 n += len(out)
                 if n >= segment_ids:
                     yield close()
-                    docs, sizes, ids, n = [], [], [], 0
+                    docs, sizes, ids, n, n_null = [], [], [], 0, 0
         if docs:
             yield close()
 
-    schema = pa.schema([("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("codes", pa.binary()), ("shard", pa.int32()), ("segment", pa.int32()), ("shard_start", pa.int64())])
+    schema = pa.schema([("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_null", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("codes", pa.binary()), ("shard", pa.int32()), ("segment", pa.int32()), ("shard_start", pa.int64())])
     return run
 
 
@@ -236,13 +238,15 @@ def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, segmen
     ids and lengths and the DAC sequence of their token ids.
 
     Null text is empty: only the end id. Rows with equal doc_id are kept, ordered by text. Rows
-    with null doc_id are not written. Other columns are ignored. ``tokenizer`` is the path of a
+    with null doc_id come after all others; the last ``n_null`` documents of a segment are such. Other columns are ignored. ``tokenizer`` is the path of a
     tokenizers file whose pre-tokenizer drops white space."""
     spark = ship(docs.sparkSession)
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = partitions(spark, n_bytes, 32 << 20)
-    docs = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = F.col("doc_id").asc_nulls_last()
+    # many rows of one doc_id, or of none, are parted by how their texts begin, which keeps the order
+    docs = docs.repartitionByRange(n, order, F.substring("text", 1, 32)).sortWithinPartitions(order, "text")
     docs.mapInArrow(_write(tokenizer, end_id, segment_ids), FILE).write.option("compression", "none").parquet(out)
 
 
@@ -251,11 +255,12 @@ def _digest(batches):
         starts = b.column("start").to_pylist()
         for i, start in enumerate(starts):
             doc = np.frombuffer(b.column("doc_ids")[i].as_buffer(), np.int64)
+            null = np.arange(len(doc)) >= len(doc) - b.column("n_null")[i].as_py()
             size = np.frombuffer(b.column("lengths")[i].as_buffer(), "<u4").astype(np.int64)
             ids = Dac(b.column("codes")[i].as_py()).decode().astype("<u4")
             end = np.cumsum(size)
             crc = [zlib.crc32(ids[e - s : e]) for e, s in zip(end.tolist(), size.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start + end - size), pa.array(size), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, mask=null), pa.array(start + end - size), pa.array(size), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_ids(spark, path: str) -> DataFrame:
@@ -273,4 +278,4 @@ def read_ids(spark, path: str) -> DataFrame:
 
 def document_digests(spark, path: str) -> DataFrame:
     """Per document of the written files: doc_id, start, n_tokens and ids_crc32."""
-    return read_ids(spark, path).select("doc_ids", "lengths", "codes", "start").mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_ids(spark, path).select("doc_ids", "n_null", "lengths", "codes", "start").mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")

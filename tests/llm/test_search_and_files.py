@@ -126,10 +126,11 @@ def test_files(spark, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
     data = rows() + [(500 + i, t, *[None] * 9) for i, t in enumerate(["<|startoftext|> a <|endoftext|>b", "a<|startoftext|>b <|startoftext|>", "don't İstanbul ΟΔΟΣ ́x y　12 ½\x85z\x0bq\x1cr", "é é"])]
+    data += [(None, t, *[None] * 9) for t in (None, "no number", "z " * 2500, "no number")]
     out = str(tmp_path / "ids")
     dac.write_ids(spark.createDataFrame(data, DOCS), out, path, segment_ids=2000)
     got = dac.document_digests(spark, out).orderBy("start").collect()
-    own = sorted((r for r in data if r[0] is not None), key=lambda r: (r[0], (r[1] or "").encode()))
+    own = sorted(data, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode()))
     start = 0
     assert len(got) == len(own)
     for r, g in zip(own, got):
