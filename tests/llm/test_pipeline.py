@@ -73,3 +73,17 @@ def test_documents_stay_without_languages(spark):
     data = [(1, "some words", None, *[None] * 8), (2, "123 ...", None, *[None] * 8), (3, None, None, *[None] * 8)]
     kept = corpus_pipeline.language_id(spark, spark.createDataFrame(data, DOCS), "/root/testdata/sf0.001")
     assert [r.doc_id for r in kept.collect()] == [1]
+
+
+def test_predicted_language_is_written(spark):
+    rng = random.Random(3)
+    alphabets = {"aa": "abcdefgh", "nn": "nopqrstu"}
+
+    def text(lang):
+        return " ".join("".join(rng.choices(alphabets[lang], k=5)) for _ in range(30))
+
+    truth = [["aa", "nn"][i % 2] for i in range(60)]
+    data = [(i, text(x), None if i % 5 == 0 else x, *[None] * 8) for i, x in enumerate(truth)]
+    data.append((60, "123 ...", "aa", *[None] * 8))
+    kept = corpus_pipeline.language_id(spark, spark.createDataFrame(data, DOCS), "/root/testdata/sf0.001")
+    assert {r.doc_id: r.lang for r in kept.collect()} == dict(enumerate(truth))
