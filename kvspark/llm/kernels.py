@@ -116,8 +116,9 @@ class Words:
         return self.buf[self.starts[i] : self.ends[i]].tobytes()
 
 
-def words(buf: np.ndarray, bounds: np.ndarray, alpha: Alphabet) -> Words:
-    """All words of the rows that ``bounds`` cuts out of ``buf``."""
+def words(buf: np.ndarray, bounds: np.ndarray, alpha: Alphabet, sums: np.ndarray | None = None) -> Words:
+    """All words of the rows that ``bounds`` cuts out of ``buf``. ``sums``: of another call with the same
+    bytes and the same folding, if there was one."""
     lo, hi = int(bounds[0]), int(bounds[-1])
     buf, bounds = buf[lo:hi], bounds - lo
     n = hi - lo
@@ -138,9 +139,10 @@ def words(buf: np.ndarray, bounds: np.ndarray, alpha: Alphabet) -> Words:
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
     up, down = powers(n + 1)
-    sums = np.empty(n + 1, U64)
-    sums[0] = 0
-    np.cumsum(alpha.value[buf] * down[:n], out=sums[1:])
+    if sums is None:
+        sums = np.empty(n + 1, U64)
+        sums[0] = 0
+        np.cumsum(alpha.value[buf] * down[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * up[starts])
     return Words(buf, starts, ends, np.searchsorted(starts, bounds).astype(np.int64), hashes, sums)
 

@@ -44,7 +44,9 @@ def simhash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     if not len(hashes):
         return np.zeros(n, np.uint64)
     row = np.repeat(np.arange(n), np.diff(first))
-    order = np.lexsort((hashes, row))
+    # row and hash in one number: a word of a row meets itself, as no two agree in all upper bits
+    low = np.uint64(n.bit_length())
+    order = np.argsort(row.astype(np.uint64) << (np.uint64(64) - low) | hashes >> low)
     row, hashes = row[order], hashes[order]
     new = np.r_[True, (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])]
     row, hashes = row[new], hashes[new]
@@ -312,7 +314,8 @@ def _lines(batch: pa.RecordBatch):
     for i, j in K.slices(bounds):
         starts, first = line_bounds(buf, bounds[i : j + 1])
         cuts = np.append(starts, bounds[j])
-        yield i, first, cuts - cuts[0], K.words(buf, cuts, K.alphabet("alnum", True)), K.words(buf, cuts, K.alphabet("space", True))
+        w = K.words(buf, cuts, K.alphabet("alnum", True))
+        yield i, first, cuts - cuts[0], w, K.words(buf, cuts, K.alphabet("space", True), w.sums)
 
 
 def _hashes(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
