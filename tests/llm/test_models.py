@@ -44,6 +44,15 @@ def test_held_out_labels_are_not_used(spark):
         assert a == pytest.approx(b, abs=1e-6)
 
 
+def test_held_out_languages_are_not_used(spark):
+    """Changing lang of held-out documents changes no prediction."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    where = queries.fold(4) != 2
+    turned = docs.withColumn("lang", F.when(where, F.col("lang")).otherwise("another"))
+    a, b = (sorted(language.identify(x, where).select("row.doc_id", "lang_pred", "score").collect()) for x in (docs, turned))
+    assert a == b and len(a) == docs.count()
+
+
 def test_awkward_rows(spark):
     docs = spark.createDataFrame(rows(), DOCS)
     labels = spark.createDataFrame([(r[0], i % 2, int(i % 3 == 0), None) for i, r in enumerate(rows())] + [(None, 1, 1, None), (5, None, None, None), (6, 7, 7, None), (9999, 1, 0, None)], LABELS)
