@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import CANDIDATES, PACKED, Candidates, Packer, known, known_bytes, lean, link, only_ids, partitions, runs_of, save, ship, spread, unpack
+from .tables import CANDIDATES, PACKED, Candidates, Packer, drop, joined, known, known_bytes, lean, link, only_ids, partitions, runs_of, save, ship, spread, unpack
 
 #: Sizes of one band differ by less than this factor. Linked sets are in one band or in two adjacent ones.
 BAND = 4 / 3
@@ -80,8 +80,9 @@ def block_keys(shingles: np.ndarray, band: int, threshold: float, frequent: np.n
     return key[np.lexsort((key, -size, -rare))[: d + 1]]
 
 
-def slice_keys(sets: list[np.ndarray], threshold: float, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, key) of :func:`block_keys` in each set's own and next band, for many sets."""
+def slice_keys(sets: list[np.ndarray], threshold: float, frequent: np.ndarray, which: tuple[int, ...] = (0, 1)) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, key) of :func:`block_keys` in each set's own and next band, for many sets; ``which``: of
+    these in even bands, odd bands or both."""
     n = np.array([len(s) for s in sets])
     whole = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), n)
@@ -91,7 +92,8 @@ def slice_keys(sets: list[np.ndarray], threshold: float, frequent: np.ndarray) -
         common = frequent[pos] == whole
     first = np.array([band_of(k) for k in n.tolist()])
     names, keys = [], []
-    for band in (first, first + 1):
+    for odd in which:
+        band = first + ((first ^ odd) & 1)
         most = np.array([_most(k) for k in band.tolist()])
         d = most_apart(most, most, threshold)
         blocks = 2 * (d + 1) + 8
@@ -209,7 +211,7 @@ def _unlist(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x[: len(x) // 2]), pa.array(x[len(x) // 2 :])], ["s", "c"])
 
 
-def _keys(size: int, threshold: float, frequent: np.ndarray, labels: list[int]):
+def _keys(size: int, threshold: float, frequent: np.ndarray, labels: list[int], odd: int):
     def run(batches):
         packer = Packer(labels)
         done: set[tuple[int, int]] = set()
@@ -223,7 +225,7 @@ def _keys(size: int, threshold: float, frequent: np.ndarray, labels: list[int]):
                         new.append(s)
                         tags.append(tag_of(d[0], len(s)))
                 if new:
-                    index, keys = slice_keys(new, threshold, frequent)
+                    index, keys = slice_keys(new, threshold, frequent, (odd,))
                     yield from packer.add(np.array(tags), keys, index)
                 if len(done) > 200_000:
                     done.clear()
@@ -398,9 +400,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: float = 0.75,
     often = often.groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= max(FREQUENT_DOCS, int(FREQUENT_SHARE * n_docs)))
     frequent = np.sort(np.array([r[0] for r in often.select("s").collect()], np.int64).view(np.uint64))
 
-    parts = partitions(spark, n_shingles * 0.8 * 8)
-    packed = docs.mapInArrow(lean(_keys(size, threshold, frequent, spread(spark, parts))), PACKED)
-    found = save(packed.repartition(parts, "part").mapInArrow(lean(_pair_up(small, threshold)), CANDIDATES), "candidates")
+    # keys hold their band's number: those of even and of odd bands are shuffled one after the other
+    parts = partitions(spark, n_shingles * 0.4 * 8)
+    labels, found = spread(spark, parts), []
+    for odd in (0, 1):
+        packed = docs.mapInArrow(lean(_keys(size, threshold, frequent, labels, odd)), PACKED)
+        found.append(save(packed.repartition(parts, "part").mapInArrow(lean(_pair_up(small, threshold)), CANDIDATES), "candidates", small=True))
+    found = joined(found)
 
     nodes = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("node").alias("node"), F.min("doc_id").alias("doc_id"))
     nodes = save(nodes, "nodes")
@@ -413,8 +419,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: float = 0.75,
     if wanted.where("doc_id is null").take(1):
         texts = texts.union(docs.where("doc_id is null").select("text"))
     texts = texts.mapInArrow(lean(_texts(size)), "d1 long, d2 long, packed binary")
-    texts = save(texts.join(known(wanted.select("d1", "d2", "node")), ["d1", "d2"]).select("node", "packed").dropDuplicates(["node"]), "texts")
-    sketches, texts = known_bytes(some, "own", "next"), known_bytes(texts, "packed")
+    written = save(texts.join(known(wanted.select("d1", "d2", "node")), ["d1", "d2"]).select("node", "packed").dropDuplicates(["node"]), "texts")
+    sketches, texts = known_bytes(some, "own", "next"), known_bytes(written, "packed")
 
     def screen(pairs: DataFrame) -> DataFrame:
         for x in "ab":
@@ -435,11 +441,15 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: float = 0.75,
     runs = runs.join(names, "tag").groupBy("run").agg(F.sort_array(F.collect_list("node")).alias("members"))
     runs = runs.select(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "members")
     info = sketches.join(texts, "node").select("node", F.struct("n", "band", "own", "next", "packed").alias("info"))
-    comps = link(pairs.union(runs), screen, verify, info, _near_in_run(threshold), _same_in_run(size, threshold))
+    named = save(pairs.union(runs), "named", small=True)
+    drop(found)
+    comps = link(named, screen, verify, info, _near_in_run(threshold), _same_in_run(size, threshold))
+    drop(wanted, some, written)
 
     classes = nodes.join(comps, "node", "left").select("d1", "d2", "node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     lowest = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    classes = save(classes.join(lowest, "comp").select("d1", "d2", "component_id", F.col("comp").alias("component")), "classes")
+    classes = save(classes.join(lowest, "comp").select("d1", "d2", "component_id", F.col("comp").alias("component")), "classes", small=True)
+    drop(nodes)
     own = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "component", "node", "text_hash"]
     full = rows.where("n > 0").join(classes, ["d1", "d2"]).select(*own)
     return full.union(rows.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("component", F.col("node")).select(*own))
