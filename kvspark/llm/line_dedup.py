@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .tables import CANDIDATES, PACKED, Candidates, Packer, known_bytes, lean, link, only_ids, partitions, save, ship, spread, unpack
+from .tables import CANDIDATES, PACKED, Candidates, Packer, drop, joined, known_bytes, lean, link, only_ids, partitions, save, ship, spread, unpack
 
 #: MinHashes of a line's words, as many keys as these, each of three of them, WORD_STEPS apart: no two
 #: keys have more than one in common. Long words, which lines rarely share by chance, are chosen more
@@ -397,6 +397,38 @@ def agree(x: tuple[np.ndarray, np.ndarray], i: np.ndarray, y: tuple[np.ndarray,
     return out
 
 
+_NIBBLES, _GRAM_NIBBLES = np.uint64(0x1111111111111111), np.uint32(0x1111111)
+assert MINS == 16 and GRAM_MINS == 7
+
+
+def short_mins(packed: pa.Array) -> np.ndarray:
+    """Four bits of each MinHash of some rows of :func:`_pack_mins`, in three 32-bit numbers: 16 of words,
+    7 of byte runs, whose last four bits tell whether there are any."""
+    raw, ends = _mins(packed)
+    out = np.zeros((len(packed), 3), np.uint32)
+    some, more = np.flatnonzero(np.diff(ends)), np.flatnonzero(np.diff(ends) > MINS)
+    bits = np.uint64(4) * np.arange(MINS, dtype=np.uint64)
+    words = (raw[ends[some][:, None] + np.arange(MINS)].astype(np.uint64) & np.uint64(15)) << bits
+    out[some, :2] = np.bitwise_or.reduce(words, axis=1).view(np.uint32).reshape(-1, 2)
+    grams = (raw[ends[more + 1][:, None] + np.arange(-GRAM_MINS, 0)].astype(np.uint64) & np.uint64(15)) << bits[:GRAM_MINS]
+    out[more, 2] = np.bitwise_or.reduce(grams, axis=1).astype(np.uint32) | np.uint32(1 << 28)
+    return out
+
+
+def may_agree(words: np.ndarray, grams: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and j of :func:`short_mins` can :func:`agree`: equal MinHashes have equal bits."""
+    x = words[i] ^ words[j]
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    out = MINS - np.bitwise_count(x & _NIBBLES).astype(np.int64) >= LEAST_WORDS
+    both = np.flatnonzero(~out & (grams[i] >> np.uint32(28) & grams[j] >> np.uint32(28)).astype(bool))
+    x = grams[i[both]] ^ grams[j[both]]
+    x |= x >> np.uint32(1)
+    x |= x >> np.uint32(2)
+    out[both] = GRAM_MINS - np.bitwise_count(x & _GRAM_NIBBLES).astype(np.int64) >= LEAST_GRAMS
+    return out
+
+
 def _screen(batches):
     """Pairs with enough MinHashes in common."""
     for b in batches:
@@ -405,15 +437,22 @@ def _screen(batches):
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
 
 
-def _emit(labels: list[int]):
+#: Keys are shuffled in so many passes, one after the other: the disk holds those of one.
+PASSES = 3
+
+
+def _emit(labels: list[int], which: int):
     def run(batches):
         packer = Packer(labels)
         for b in batches:
             for at in range(0, b.num_rows, 20_000):
                 part = b.slice(at, 20_000)
-                node, sim = part.column("node").to_numpy(), part.column("sim").to_numpy().view(np.uint64)
+                node, sim = part.column("node").to_numpy(), np.ascontiguousarray(part.column("sim").to_numpy())
                 keys, index = keys_of(part.column("mins"))
-                yield from packer.add(node, keys, index, sim[index])
+                own = keys % np.uint64(PASSES) == which
+                keys, index = keys[own], index[own]
+                extra = np.concatenate([sim.view(np.uint32).reshape(-1, 2), short_mins(part.column("mins"))], axis=1)
+                yield from packer.add(node, keys, index, extra[index])
         yield from packer.flush()
 
     return run
@@ -421,13 +460,20 @@ def _emit(labels: list[int]):
 
 def _pair_up(small: int, threshold: float):
     def run(batches):
-        for key, node, sim in unpack(batches).values():
+        parts = unpack(batches)
+        while parts:
+            _, (key, node, extra) = parts.popitem()
             order = np.lexsort((node, key))
-            key, node, sim = key[order], node[order], sim[order]
+            key, node, extra = key[order], node[order], extra[order]
+            sim, words = (np.ascontiguousarray(extra[:, k : k + 2]).view(np.uint64).ravel() for k in (0, 2))
+            grams = np.ascontiguousarray(extra[:, 4])
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
 
-            def near(i, j, sim=sim):
-                return may_link(sim[i], sim[j], threshold)
+            def near(i, j, sim=sim, words=words, grams=grams):
+                ok = may_link(sim[i], sim[j], threshold)
+                at = np.flatnonzero(ok)
+                ok[at] = may_agree(words, grams, i[at], j[at])
+                return ok
 
             yield from Candidates(small, shatter=True).emit(node, start, np.diff(np.r_[start, len(key)]), near)
 
@@ -524,17 +570,20 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.75, small: int = 16) -> Da
     place = F.struct("doc", "digest", "line")
     classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("sim").alias("sim"), F.min("mins").alias("mins"), F.count("*").alias("n"))
     classes = save(classes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "sim", "mins", "n", "first"), "classes")
-    parts = partitions(spark, classes.count() * 24 * (MINS + GRAM_MINS // 2))
-    packed = classes.select("node", "sim", "mins").mapInArrow(lean(_emit(spread(spark, parts))), PACKED)
-    found = save(packed.repartition(parts, "part").mapInArrow(lean(_pair_up(small, threshold)), CANDIDATES), "candidates")
+    parts = partitions(spark, classes.count() * 36 * (MINS + GRAM_MINS // 2) / PASSES)
+    labels, found = spread(spark, parts), []
+    for which in range(PASSES):
+        packed = classes.select("node", "sim", "mins").mapInArrow(lean(_emit(labels, which)), PACKED)
+        found.append(save(packed.repartition(parts, "part").mapInArrow(lean(_pair_up(small, threshold)), CANDIDATES), "candidates", small=True))
+    found = joined(found)
 
     ids = found.select(F.explode(F.coalesce("members", F.array("a", "b"))).alias("node")).distinct()
     wanted = save(classes.join(ids, "node", "left_semi").select("node", "sim", "mins", "first.*"), "wanted")
     by_doc = wanted.groupBy("doc", "digest").agg(F.collect_list(F.struct("line", "node")).alias("lines"))
     some = only_ids(texts, wanted.select("doc").distinct(), "doc").dropDuplicates(["doc", "digest"]).join(by_doc, ["doc", "digest"])
-    norms = save(some.select("text", "lines").mapInArrow(lean(_texts), "node long, norm string, chars int"), "norms")
+    written = save(some.select("text", "lines").mapInArrow(lean(_texts), "node long, norm string, chars int"), "norms")
 
-    norms, sketches = known_bytes(norms, "norm"), known_bytes(wanted.select("node", "sim", "mins"), "mins")
+    norms, sketches = known_bytes(written, "norm"), known_bytes(wanted.select("node", "sim", "mins"), "mins")
 
     def screen(pairs: DataFrame) -> DataFrame:
         for x in "ab":
@@ -549,13 +598,16 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.75, small: int = 16) -> Da
 
     info = sketches.join(norms, "node").select("node", F.struct("sim", "mins", "norm").alias("info"))
     comps = link(found, screen, verify, info, _near_in_run(threshold), _alike_in_run(threshold))
+    drop(written, wanted)
     grouped = classes.join(comps, "node", "left").select("h1", "h2", "n", "first", F.coalesce("comp", "node").alias("comp"), F.col("comp").isNotNull().alias("linked")).where("n > 1 or linked")
     keep = grouped.groupBy("comp").agg(F.min("first").alias("keep"))
     groups = save(grouped.join(keep, "comp").select("h1", "h2", "keep"), "groups")
+    drop(classes)
     small_enough = groups.count() <= MAX_BROADCAST_GROUPS
     gone = lines.select("h1", "h2", "doc", "digest", "line").join(F.broadcast(groups) if small_enough else groups, ["h1", "h2"])
     gone = gone.where(place != F.col("keep")).groupBy("doc", "digest").agg(F.collect_list("line").alias("gone"))
-    gone = save(gone, "gone")
+    gone = save(gone, "gone", small=True)
+    drop(lines, groups)
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     ids = gone.select("doc").distinct()
     changed = only_ids(named, ids, "doc").join(gone, ["doc", "digest"], "left").select("row", "gone")
