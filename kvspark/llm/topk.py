@@ -7,13 +7,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import save, ship
+from .tables import lean, save, ship, spread
 
 #: Rows of one forward-index block, blocks of one group, and queries that are scored together.
-#: A task holds one group and one set of queries at a time.
 BLOCK_ROWS, GROUP_BLOCKS, QUERY_ROWS = 256, 64, 512
+#: A task holds one slice of so many groups at most, and one set of queries after the other. Each set is sent
+#: to each slice once.
+SLICE_GROUPS = 4
 
-_PACK = "chunk int, part int, ids binary, matrix binary, width int"
+_PACK = "slice int, ids binary, matrix binary"
 _TOP = "query_id long, vec_id long, score long"
 
 
@@ -33,23 +35,24 @@ def _pack(scale: float, rows: int):
     def run(batches):
         from pyspark import TaskContext
 
-        chunk = TaskContext.get().partitionId() << 12
-        ids, vectors = [], []
+        own = TaskContext.get().partitionId() << 12
+        done, ids, vectors = 0, [], []
 
         def close():
             width = max(map(len, vectors), default=0)
             m = np.zeros((len(ids), width))
             for r, v in enumerate(vectors):
                 m[r, : len(v)] = v
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([0], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([m.tobytes()]), pa.array([width], pa.int32())], ["chunk", "part", "ids", "matrix", "width"])
+            if np.abs(m).max(initial=0) < 1 << 15:
+                m = m.astype(np.int16)
+            return pa.RecordBatch.from_arrays([pa.array([own + done // SLICE_GROUPS], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([bytes([m.itemsize]) + m.tobytes()])], ["slice", "ids", "matrix"])
 
         for i, v in _usable(batches, scale):
             ids.append(i)
             vectors.append(v)
             if len(ids) == rows:
                 yield close()
-                chunk += 1
-                ids, vectors = [], []
+                done, ids, vectors = done + 1, [], []
         if ids:
             yield close()
 
@@ -68,23 +71,40 @@ def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def _matrix(b: pa.RecordBatch, side: str, i: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(b.column(side + "_ids")[i].as_buffer(), np.int64)
-    m = np.frombuffer(b.column(side + "_matrix")[i].as_buffer(), np.float64)
-    return ids, m.reshape(len(ids), -1)
+def _matrix(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(b.column("ids")[i].as_buffer(), np.int64)
+    raw = memoryview(b.column("matrix")[i].as_buffer())
+    m = np.frombuffer(raw[1:], np.int16 if raw[0] == 2 else np.float64)
+    return ids, m.reshape(len(ids), -1).astype(np.float64)
 
 
-def search_group(q_ids, q, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def _together(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One matrix of some; shorter rows end in zeros."""
+    ids = np.concatenate([x for x, _ in parts])
+    m = np.zeros((len(ids), max(x.shape[1] for _, x in parts)))
+    at = 0
+    for _, x in parts:
+        m[at : at + len(x), : x.shape[1]] = x
+        at += len(x)
+    return ids, m
+
+
+def extremes(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Term maxima and minima of each block."""
+    starts = range(0, len(c), BLOCK_ROWS)
+    return np.stack([c[s : s + BLOCK_ROWS].max(0, initial=-np.inf) for s in starts]), np.stack([c[s : s + BLOCK_ROWS].min(0, initial=np.inf) for s in starts])
+
+
+def search_group(q_ids, q, c_ids, c, k: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """The best k of one group for each query: (query, candidate, score), and the number of
-    (query, block) pairs that were scored.
+    (query, block) pairs that were scored. ``known``: :func:`extremes` of ``c``.
 
     A block's bound is the sum over terms of the larger of query x block maximum and query x
     block minimum. Each query takes the blocks by falling bound and ends where the bound is
     below its k-th score."""
     starts = np.arange(0, len(c_ids), BLOCK_ROWS)
     width = min(q.shape[1], c.shape[1])
-    high = np.stack([c[s : s + BLOCK_ROWS, :width].max(0, initial=-np.inf) for s in starts])
-    low = np.stack([c[s : s + BLOCK_ROWS, :width].min(0, initial=np.inf) for s in starts])
+    high, low = (x[:, :width] for x in known or extremes(c))
     x = q[:, :width]
     bound = np.maximum(x, 0) @ high.T + np.minimum(x, 0) @ low.T if width else np.zeros((len(q), len(starts)))
     # doubles may round large sums: the bound is raised by more than that
@@ -120,12 +140,21 @@ def search_group(q_ids, q, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _search(k: int):
+    """The best of each slice for each query. Rows come in order of slices, a slice's index before its queries."""
+
     def run(batches):
+        last, parts, c = None, [], None
         for b in batches:
-            for i in range(b.num_rows):
-                q_ids, q = _matrix(b, "q", i)
-                c_ids, c = _matrix(b, "c", i)
-                who, what, score, _ = search_group(q_ids, q, c_ids, c, k)
+            for i, (own, asked) in enumerate(zip(b.column("slice").to_pylist(), b.column("asked").to_pylist())):
+                if own != last:
+                    last, parts, c = own, [], None
+                if not asked:
+                    parts.append(_matrix(b, i))
+                    continue
+                if c is None:
+                    c_ids, c = _together(parts)
+                    known, parts = extremes(c), []
+                who, what, score, _ = search_group(*_matrix(b, i), c_ids, c, k, known)
                 yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(what), pa.array(score)], ["query_id", "vec_id", "score"])
 
     return run
@@ -136,9 +165,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0,
     product for each row that ``queries`` admits; ties go to the smaller vec_id.
 
     A component x counts as floor(scale * x). Rows are packed in document ranges, forward-index
-    blocks with their term maxima and minima; each set of queries meets each group of blocks once
-    and prunes within it, and the groups' best are merged. Queries are sent to the groups in
-    packed sets, never row by row.
+    blocks with their term maxima and minima; each set of queries meets each slice of blocks once
+    and prunes within it, and the slices' best are merged. Queries are sent to the slices in
+    packed sets, never row by row; the index is sent once. Nothing is joined or broadcast.
 
     Vectors that are null or hold null, NaN or infinite components, and rows with null vec_id, take
     no part. Shorter vectors count as if zeros followed. A row is never its own result: neither is
@@ -149,16 +178,19 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0,
     n = rows.count()
     per_group = BLOCK_ROWS * GROUP_BLOCKS
     groups = max(1, -(-n // per_group))
-    ranged = rows.repartitionByRange(groups, "vec_id").sortWithinPartitions("vec_id").select("vec_id", "v")
-    index = save(ranged.mapInArrow(_pack(scale, per_group), _PACK), "index")
+    slices = min(groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-groups // SLICE_GROUPS)))
+    ranged = rows.repartitionByRange(slices, "vec_id").sortWithinPartitions("vec_id").select("vec_id", "v")
+    index = save(ranged.mapInArrow(lean(_pack(scale, per_group)), _PACK), "index")
     asked = rows.where("q").repartition(max(1, -(-n // (20 * 4 * QUERY_ROWS)))).select("vec_id", "v")
-    asked = save(asked.mapInArrow(_pack(scale, QUERY_ROWS), _PACK), "asked")
-    chunks = sorted(r[0] for r in index.select("chunk").collect())
-    asked = asked.select(F.explode(F.array(*map(F.lit, chunks)) if chunks else F.array().cast("array<int>")).alias("chunk"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    index = index.select("chunk", F.col("ids").alias("c_ids"), F.col("matrix").alias("c_matrix"))
-    met = asked.join(index, "chunk").select("q_ids", "q_matrix", "c_ids", "c_matrix")
-    # one pair of packed matrices at a time goes to Python
-    found = met.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(chunks))).mapInArrow(_search(k), _TOP)
+    asked = save(asked.mapInArrow(lean(_pack(scale, QUERY_ROWS)), _PACK), "asked")
+    used = sorted(r[0] for r in index.select("slice").distinct().collect())
+    everywhere = F.explode(F.array(*map(F.lit, used)) if used else F.array().cast("array<int>"))
+    both = index.withColumn("asked", F.lit(False)).unionByName(asked.select(everywhere.alias("slice"), "ids", "matrix", F.lit(True).alias("asked")))
+    parts = max(1, len(used))
+    # a partition for each slice
+    to = F.create_map(*(F.lit(x) for pair in zip(used, spread(spark, parts)) for x in pair))[F.col("slice")] if used else F.col("slice")
+    dealt = both.withColumn("to", to).repartition(parts, "to").sortWithinPartitions("slice", "asked")
+    found = dealt.select("slice", "asked", "ids", "matrix").mapInArrow(lean(_search(k)), _TOP)
     best = F.row_number().over(_window())
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from kvspark.llm import line_dedup, tables
+from kvspark.llm import line_dedup, tables, topk
 
 
 def test_lines_that_share_a_key_but_are_unlike_make_no_group():
@@ -49,3 +49,28 @@ def test_save_leaves_no_shuffle_files(spark):
     assert shuffled() <= before and kept.count() == 10
     tables.drop(kept)
     assert not Path(kept._saved[0].removeprefix("file://")).exists()
+
+
+def test_topk_sends_the_index_once_and_broadcasts_nothing(spark):
+    """However small Spark thinks the packed queries are, before they are copied for each slice."""
+    vectors = spark.range(2000).select(F.col("id").alias("vec_id"), F.array(F.rand(1), F.rand(2)).alias("embedding"))
+    found = topk.top_k(vectors, F.col("vec_id") % 20 == 0, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    assert found.count() == 300
+
+
+def test_topk_slices_of_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(topk, "GROUP_BLOCKS", 2)
+    rng = np.random.default_rng(2)
+    data = [(i, rng.integers(-90, 90, 3 + (i > 100)).astype(float).tolist()) for i in range(220)]
+    data[7] = (7, [1e6, 0.5, 2.0])
+    found = topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 4)
+    got = {tuple(r) for r in found.collect()}
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in data}
+    want = set()
+    for q in range(0, 220, 20):
+        s = sorted((-sum(x * y for x, y in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:4]
+        want |= {(q, r, i, -d) for r, (d, i) in enumerate(s, 1)}
+    assert got == want
