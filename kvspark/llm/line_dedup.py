@@ -437,7 +437,7 @@ def _screen(batches):
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
 
 
-#: Keys are shuffled in so many passes, one after the other: the disk holds those of one.
+#: Keys are shuffled, and pairs verified, in so many passes, one after the other: the disk holds the shuffles of one.
 PASSES = 3
 
 
@@ -597,7 +597,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.75, small: int = 16) -> Da
         return both.select("a", "b", "ta", "tb").mapInArrow(lean(_alike(threshold)), "a long, b long")
 
     info = sketches.join(norms, "node").select("node", F.struct("sim", "mins", "norm").alias("info"))
-    comps = link(found, screen, verify, info, _near_in_run(threshold), _alike_in_run(threshold))
+    comps = link(found, screen, verify, info, _near_in_run(threshold), _alike_in_run(threshold), PASSES)
     drop(written, wanted)
     grouped = classes.join(comps, "node", "left").select("h1", "h2", "n", "first", F.coalesce("comp", "node").alias("comp"), F.col("comp").isNotNull().alias("linked")).where("n > 1 or linked")
     keep = grouped.groupBy("comp").agg(F.min("first").alias("keep"))
