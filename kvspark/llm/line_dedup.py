@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .tables import CANDIDATES, PACKED, Candidates, Packer, drop, joined, known_bytes, lean, link, only_ids, partitions, save, ship, spread, unpack
+from .tables import CANDIDATES, PACKED, Candidates, Packer, drop, joined, known, known_bytes, lean, link, only_ids, partitions, save, ship, spread, unpack
 
 #: MinHashes of a line's words, as many keys as these, each of three of them, WORD_STEPS apart: no two
 #: keys have more than one in common. Long words, which lines rarely share by chance, are chosen more
@@ -439,6 +439,8 @@ def _screen(batches):
 
 #: Keys are shuffled, and pairs verified, in so many passes, one after the other: the disk holds the shuffles of one.
 PASSES = 3
+#: So are the documents whose lines are compared.
+TEXT_PASSES = 1
 
 
 def _emit(labels: list[int], which: int):
@@ -579,26 +581,35 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.75, small: int = 16) -> Da
 
     ids = found.select(F.explode(F.coalesce("members", F.array("a", "b"))).alias("node")).distinct()
     wanted = save(classes.join(ids, "node", "left_semi").select("node", "sim", "mins", "first.*"), "wanted")
-    by_doc = wanted.groupBy("doc", "digest").agg(F.collect_list(F.struct("line", "node")).alias("lines"))
-    some = only_ids(texts, wanted.select("doc").distinct(), "doc").dropDuplicates(["doc", "digest"]).join(by_doc, ["doc", "digest"])
-    written = save(some.select("text", "lines").mapInArrow(lean(_texts), "node long, norm string, chars int"), "norms")
-
-    norms, sketches = known_bytes(written, "norm"), known_bytes(wanted.select("node", "sim", "mins"), "mins")
+    sketches = known_bytes(wanted.select("node", "sim", "mins"), "mins")
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        by_doc = wanted.join(known(ids), "node", "left_semi").groupBy("doc", "digest").agg(F.collect_list(F.struct("line", "node")).alias("lines"))
+        by_doc, norms = save(by_doc, "asked", small=True), []
+        for p in range(TEXT_PASSES):  # whole texts are shuffled
+            own = by_doc.where(F.pmod(F.xxhash64("doc"), F.lit(TEXT_PASSES)) == p)
+            some = only_ids(texts, own.select("doc").distinct(), "doc").dropDuplicates(["doc", "digest"]).join(own, ["doc", "digest"])
+            norms.append(save(some.select("text", "lines").mapInArrow(lean(_texts), "node long, norm string, chars int"), "norms"))
+        drop(by_doc)
+        return joined(norms)
 
     def screen(pairs: DataFrame) -> DataFrame:
         for x in "ab":
             pairs = pairs.join(sketches.select(F.col("node").alias(x), F.col("mins").alias("m" + x)), x)
         return pairs.mapInArrow(lean(_screen), "a long, b long")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, norms: DataFrame) -> DataFrame:
+        norms = known_bytes(norms, "norm")
         a, b = (norms.select(F.col("node").alias(x), F.col("norm").alias("t" + x), F.col("chars").alias("n" + x)) for x in "ab")
         both = pairs.join(a, "a").join(b, "b").withColumn("most", F.floor(F.greatest("na", "nb") * F.lit(1 - threshold) + 1e-9).cast("int"))
         both = both.where(F.abs(F.col("na") - F.col("nb")) <= F.col("most"))
         return both.select("a", "b", "ta", "tb").mapInArrow(lean(_alike(threshold)), "a long, b long")
 
-    info = sketches.join(norms, "node").select("node", F.struct("sim", "mins", "norm").alias("info"))
-    comps = link(found, screen, verify, info, _near_in_run(threshold), _alike_in_run(threshold), PASSES)
-    drop(written, wanted)
+    def info(norms: DataFrame) -> DataFrame:
+        return sketches.join(known_bytes(norms, "norm"), "node").select("node", F.struct("sim", "mins", "norm").alias("info"))
+
+    comps = link(found, screen, fetch, verify, info, _near_in_run(threshold), _alike_in_run(threshold), PASSES)
+    drop(wanted)
     grouped = classes.join(comps, "node", "left").select("h1", "h2", "n", "first", F.coalesce("comp", "node").alias("comp"), F.col("comp").isNotNull().alias("linked")).where("n > 1 or linked")
     keep = grouped.groupBy("comp").agg(F.min("first").alias("keep"))
     groups = save(grouped.join(keep, "comp").select("h1", "h2", "keep"), "groups")

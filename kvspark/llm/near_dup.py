@@ -20,6 +20,9 @@ BAND = 4 / 3
 #: frequent. At most (mean set size / share) shingles are, which bounds the broadcast list.
 FREQUENT_DOCS, FREQUENT_SHARE = 50, 2e-4
 
+#: Candidate pairs are compared in so many passes, one after the other: the disk holds the shuffles of one.
+PASSES = 2
+
 _STATS = "node long, doc_id long, text_hash long, n long, d1 long, d2 long, band int, own binary, next binary, shingles binary"
 
 
@@ -415,19 +418,23 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: float = 0.75,
     ids = found.select(F.explode(F.coalesce("members", F.array("a", "b"))).alias("tag")).distinct()
     wanted = save(tagged.join(ids, "tag", "left_semi"), "wanted")
     some = save(rows.where("n > 0").select("node", "n", "band", "own", "next").join(known(wanted.select("node")), "node", "left_semi"), "sketches")
-    texts = only_ids(docs.where("doc_id is not null"), wanted.select("doc_id").where("doc_id is not null").distinct(), "doc_id").select("text")
-    if wanted.where("doc_id is null").take(1):
-        texts = texts.union(docs.where("doc_id is null").select("text"))
-    texts = texts.mapInArrow(lean(_texts(size)), "d1 long, d2 long, packed binary")
-    written = save(texts.join(known(wanted.select("d1", "d2", "node")), ["d1", "d2"]).select("node", "packed").dropDuplicates(["node"]), "texts")
-    sketches, texts = known_bytes(some, "own", "next"), known_bytes(written, "packed")
+    sketches = known_bytes(some, "own", "next")
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        own = known(save(wanted.join(known(ids), "node", "left_semi").select("d1", "d2", "node", "doc_id"), "named"))
+        texts = only_ids(docs.where("doc_id is not null"), own.select("doc_id").where("doc_id is not null").distinct(), "doc_id").select("text")
+        if own.where("doc_id is null").take(1):
+            texts = texts.union(docs.where("doc_id is null").select("text"))
+        texts = texts.mapInArrow(lean(_texts(size)), "d1 long, d2 long, packed binary")
+        return save(texts.join(own.select("d1", "d2", "node"), ["d1", "d2"]).select("node", "packed").dropDuplicates(["node"]), "texts")
 
     def screen(pairs: DataFrame) -> DataFrame:
         for x in "ab":
             pairs = pairs.join(sketches.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("band").alias("b" + x), F.col("own").alias("own" + x), F.col("next").alias("next" + x)), x)
         return pairs.mapInArrow(lean(_near_sketches(threshold)), "a long, b long")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        texts = known_bytes(texts, "packed")
         ta, tb = (texts.select(F.col("node").alias(x), F.col("packed").alias("t" + x)) for x in "ab")
         both = pairs.join(tb, "b").join(ta, "a").sortWithinPartitions("a")
         return both.mapInArrow(lean(_same(size, threshold)), "a long, b long")
@@ -440,11 +447,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: float = 0.75,
     runs = found.where("members is not null").select(F.xxhash64("members").alias("run"), F.explode("members").alias("tag"))
     runs = runs.join(names, "tag").groupBy("run").agg(F.sort_array(F.collect_list("node")).alias("members"))
     runs = runs.select(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "members")
-    info = sketches.join(texts, "node").select("node", F.struct("n", "band", "own", "next", "packed").alias("info"))
+    def info(texts: DataFrame) -> DataFrame:
+        return sketches.join(known_bytes(texts, "packed"), "node").select("node", F.struct("n", "band", "own", "next", "packed").alias("info"))
+
     named = save(pairs.union(runs), "named", small=True)
     drop(found)
-    comps = link(named, screen, verify, info, _near_in_run(threshold), _same_in_run(size, threshold))
-    drop(wanted, some, written)
+    comps = link(named, screen, fetch, verify, info, _near_in_run(threshold), _same_in_run(size, threshold), PASSES)
+    drop(wanted, some)
 
     classes = nodes.join(comps, "node", "left").select("d1", "d2", "node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     lowest = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -4,9 +4,11 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pytest
 from pyspark.sql import functions as F
 
-from kvspark.llm import line_dedup, tables, topk
+from kvspark.llm import line_dedup, near_dup, tables, topk
 
 
 def test_lines_that_share_a_key_but_are_unlike_make_no_group():
@@ -74,3 +76,50 @@ def test_topk_slices_of_several_groups(spark, monkeypatch):
         s = sorted((-sum(x * y for x, y in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:4]
         want |= {(q, r, i, -d) for r, (d, i) in enumerate(s, 1)}
     assert got == want
+
+
+def _saved(monkeypatch, *modules):
+    """The number of rows of each table that is saved from now on, by name."""
+    rows, save = {}, tables.save
+
+    def counted(df, name, small=False):
+        out = save(df, name, small)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    for m in modules:
+        monkeypatch.setattr(m, "save", counted)
+    return rows
+
+
+def test_texts_are_written_only_for_pairs_that_pass_the_screen(spark, monkeypatch):
+    """Documents that share a block key with others but are too far apart by their sketches send no text."""
+    rng = np.random.default_rng(4)
+    base = [f"w{k}" for k in rng.integers(0, 10**6, 120)]
+    docs = [base[:90] + [f"x{d}y{k}" for k in range(30)] for d in range(12)]  # 86 of 146 shingles in common: none links
+    docs.append(docs[0][:-2] + ["end", "here"])
+    rows = _saved(monkeypatch, near_dup, tables)
+    found = near_dup.jaccard_components(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: i % 12 for i in range(13)}
+    assert rows["wanted"][0] == 13 and sum(rows["texts"]) == 2
+
+
+@pytest.mark.parametrize("step", [50, 1])
+def test_pairs_inside_a_component_are_not_verified_again(spark, step):
+    """If all pairs of some nodes link, those with each node's smallest partner are enough; if few do, all are verified."""
+    nodes = 30
+    pairs = [(a, b, None) for b in range(nodes) for a in range(b)]
+    found = tables.save(spark.createDataFrame(pairs, tables.CANDIDATES), "candidates")
+    asked = spark.sparkContext.accumulator(0)
+
+    def verify(pairs, texts):
+        def count(batches):
+            for b in batches:
+                asked.add(b.num_rows)
+                yield b.filter(pc.less_equal(pc.subtract(b.column("b"), b.column("a")), step))
+
+        return pairs.select("a", "b").mapInArrow(count, "a long, b long")
+
+    comps = tables.link(found, lambda p: p, lambda ids: tables.save(ids, "texts"), verify, None, None, None, 3)
+    assert {(r["node"], r["comp"]) for r in comps.collect()} == {(k, 0) for k in range(nodes)}
+    assert asked.value == (nodes - 1 if step == 50 else nodes * (nodes - 1) // 2)
