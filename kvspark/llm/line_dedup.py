@@ -440,7 +440,7 @@ def _screen(batches):
 #: Keys are shuffled, and pairs verified, in so many passes, one after the other: the disk holds the shuffles of one.
 PASSES = 3
 #: So are the documents whose lines are compared.
-TEXT_PASSES = 1
+TEXT_PASSES = 2
 
 
 def _emit(labels: list[int], which: int):

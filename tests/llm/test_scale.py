@@ -104,6 +104,16 @@ def test_texts_are_written_only_for_pairs_that_pass_the_screen(spark, monkeypatc
     assert rows["wanted"][0] == 13 and sum(rows["texts"]) == 2
 
 
+def test_line_texts_are_fetched_in_passes(spark, monkeypatch):
+    """The shuffle of whole texts never holds all documents whose lines are compared."""
+    line = "alpha bravo charlie delta echo foxtrot golf hotel india juliett kilo lima mike november oscar"
+    docs = [(i, f"{line} papa{i}") for i in range(64)]
+    rows = _saved(monkeypatch, line_dedup, tables)
+    found = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sum(r["n_removed"] for r in found.collect()) == 63
+    assert sum(rows["norms"][: line_dedup.TEXT_PASSES]) == 64 and max(rows["norms"]) < 48
+
+
 @pytest.mark.parametrize("step", [50, 1])
 def test_pairs_inside_a_component_are_not_verified_again(spark, step):
     """If all pairs of some nodes link, those with each node's smallest partner are enough; if few do, all are verified."""
