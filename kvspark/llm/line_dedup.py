@@ -129,85 +129,167 @@ def alike(a: str, b: str, threshold: float) -> bool:
     return bool(all_alike([a], [b], threshold)[0])
 
 
-#: Lines whose unlike parts have more characters than this are compared one pair at a time.
-TOGETHER = 2048
+#: Lines with more characters than this are compared one pair at a time, and so are fewer pairs than FEW.
+TOGETHER, FEW = 2048, 48
+#: Of a tile, so many pairs are compared first.
+TOGETHER_PAIRS = 512
+#: 64-bit numbers in the table of where characters stand, and pairs, that are compared at once.
+MOST_WHERE, MOST_PAIRS = 1 << 21, 2048
+#: Pairs of lines of more characters are compared word by word first.
+BY_WORDS = 160
 
 
 def all_alike(a: list[str], b: list[str], threshold: float) -> np.ndarray:
-    """:func:`alike` of many pairs: word by word first, then by edit distance without what they begin and
-    end with alike."""
+    """:func:`alike` of many pairs."""
+    la, lb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    size = np.maximum(la, lb)
+    most = (size * (1 - threshold) + 1e-9).astype(np.int64)
     out = np.zeros(len(a), bool)
-    rest: dict[int, list[tuple[int, str, str, int]]] = {}
-    for i, (x, y) in enumerate(zip(a, b)):
-        most = int(max(len(x), len(y)) * (1 - threshold) + 1e-9)
-        if abs(len(x) - len(y)) > most:
+    fit = np.abs(la - lb) <= most
+    for i in np.flatnonzero(fit & (size > BY_WORDS)).tolist():
+        out[i] = aligned(a[i].split(" "), b[i].split(" "), int(most[i])) <= most[i]
+    fit &= ~out
+    together = np.flatnonzero(fit & (size <= TOGETHER) & (np.minimum(la, lb) > 0))
+    together = together[np.argsort(size[together], kind="stable")]
+    alone = [np.flatnonzero(fit & (size > TOGETHER) | fit & (np.minimum(la, lb) == 0))]
+    codes = len(set().union(*(a[i] for i in together.tolist()))) + 1 if len(together) >= FEW else 1
+    while len(together):
+        blocks = int(size[together[-1]] + 63) // 64
+        # of not too unlike lengths, as the longest pair says which blocks are looked at
+        n = len(together) - int(np.searchsorted(size[together], 0.7 * size[together[-1]]))
+        together, own = np.split(together, [-min(MOST_PAIRS, max(4 * FEW, min(n, MOST_WHERE // (codes * blocks))), len(together))])
+        if len(own) < FEW:  # too few to pay for numpy's calls
+            alone.append(own)
             continue
-        if aligned(x.split(" "), y.split(" "), most) <= most:
-            out[i] = True
-            continue
-        low, high = 0, 0
-        short = min(len(x), len(y))
-        while low < short and x[low] == y[low]:
-            low += 1
-        while high < short - low and x[-1 - high] == y[-1 - high]:
-            high += 1
-        x, y = sorted((x[low : len(x) - high], y[low : len(y) - high]), key=len)
-        if not x or len(y) > TOGETHER:
-            out[i] = edit_distance(x, y, most) <= most
-        else:
-            rest.setdefault(-(-len(x) // 64), []).append((i, x, y, most))
-    for blocks, same in rest.items():
-        if len(same) < 20 * blocks:  # too few to pay for numpy's calls
-            for i, x, y, most in same:
-                out[i] = edit_distance(x, y, most) <= most
-            continue
-        same.sort(key=lambda r: len(r[2]))
-        for k in range(0, len(same), 1024):
-            row, x, y, most = zip(*same[k : k + 1024])
-            out[list(row)] = edit_distances(x, y, blocks) <= np.array(most)
+        x, y = zip(*(sorted((a[i], b[i]), key=len) for i in own.tolist()))
+        out[own] = edit_distances(x, y, most=most[own]) <= most[own]
+    for i in np.concatenate(alone).tolist():
+        out[i] = _one_alike(a[i], b[i], int(most[i]))
     return out
 
 
-def edit_distances(a: tuple[str, ...], b: tuple[str, ...], blocks: int) -> np.ndarray:
-    """Edit distances of many pairs at once; every line of ``a`` has as many 64-bit blocks. A column of a
-    pair's matrix is ``blocks`` integers of differences (Myers, 1999), and numpy steps through all pairs."""
+def _one_alike(x: str, y: str, most: int) -> bool:
+    """Word by word first, then by edit distance without what they begin and end with alike."""
+    if aligned(x.split(" "), y.split(" "), most) <= most:
+        return True
+    low, high = 0, 0
+    short = min(len(x), len(y))
+    while low < short and x[low] == y[low]:
+        low += 1
+    while high < short - low and x[-1 - high] == y[-1 - high]:
+        high += 1
+    return edit_distance(x[low : len(x) - high], y[low : len(y) - high], most) <= most
+
+
+def _codes(lines: tuple[str, ...]) -> np.ndarray:
+    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+#: Pairs are looked at after so many characters, and those that can no longer be near enough are left.
+LOOK = 16
+
+
+def edit_distances(a: tuple[str, ...], b: tuple[str, ...], blocks: int = 0, most: np.ndarray | None = None) -> np.ndarray:
+    """Edit distances of many pairs at once, no line empty. A column of a pair's matrix is some 64-bit integers of
+    differences (Myers, 1999); numpy steps through all pairs, each block of 64 rows one column behind the block before,
+    so that a step is the same few calls for all blocks. Pairs end together, those of shorter ``b`` begin later.
+    ``most``, with no line of ``a`` longer than its partner: a distance over it may be returned as any larger
+    number, and only the blocks that paths of at most that many edits can touch are looked at."""
     n, one, top = len(a), np.uint64(1), np.uint64(63)
     m, length = (np.array([len(x) for x in t]) for t in (a, b))
-    code = np.unique(np.frombuffer("".join(a).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    steps, blocks = int(length.max()), max(blocks, -(-int(m.max()) // 64))
+    chars, text = _codes(a), _codes(b)
+    code = np.zeros(int(max(chars.max(), text.max())) + 1, np.int64)
+    code[chars] = 1
+    code = np.where(code, np.cumsum(code) + 1, 1)  # 1: in no line of a
+    # a line of a fills the upper bits; below, all differences are 0, and code 0, before a pair begins, changes nothing
+    off = 64 * blocks - m
+    rows = np.clip(64 * (np.arange(blocks)[:, None] + 1) - off, 0, 64)  # of each block that are in the line
+    up = np.where(rows > 0, ~np.uint64(0) << (64 - np.maximum(rows, 1)).astype(np.uint64), np.uint64(0))
+    down = np.zeros((blocks, n), np.uint64)
     row = np.repeat(np.arange(n), m)
-    pos = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
-    where = np.zeros((len(code[0]) + 1, blocks, n), np.uint64)  # the last code is in no line of a
-    np.bitwise_or.at(where, (code[1].ravel(), pos // 64, row), one << (pos % 64).astype(np.uint64))
-    text = np.full((int(length.max()), n), len(code[0]))
-    chars = np.frombuffer("".join(b).encode("utf-32-le", "surrogatepass"), np.uint32)
-    at = np.minimum(np.searchsorted(code[0], chars), len(code[0]) - 1)
+    pos = np.arange(len(row)) - np.repeat(np.cumsum(m) - m - off, m)
+    where = np.zeros((int(code.max()) + 1) * blocks * n, np.uint64)
+    where[: blocks * n] = ~up.ravel()
+    np.bitwise_or.at(where, (code[chars] * blocks + pos // 64) * n + row, one << (pos % 64).astype(np.uint64))
     row = np.repeat(np.arange(n), length)
-    text[np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length), row] = np.where(code[0][at] == chars, at, len(code[0]))
-    up, down = np.full((blocks, n), ~np.uint64(0)), np.zeros((blocks, n), np.uint64)
-    last, score = ((m - 1) % 64).astype(np.uint64), m.copy()
-    every = np.arange(n)
-    begin = 0  # pairs come by length: those before are done
-    for t in range(len(text)):
-        begin = int(np.searchsorted(length, t, side="right"))
-        own = slice(begin, n)
-        more, less = np.ones(n - begin, np.uint64), np.zeros(n - begin, np.uint64)
-        for k in range(blocks):
-            p, q, eq = up[k, own], down[k, own], where[text[t, own], k, every[own]]
-            vertical = eq | q
-            eq = eq | less
-            diagonal = (((eq & p) + p) ^ p) | eq
-            plus, minus = q | ~(diagonal | p), p & diagonal
-            if k == blocks - 1:
-                score[own] += ((plus >> last[own]) & one).astype(np.int64) - ((minus >> last[own]) & one).astype(np.int64)
-            new_more, new_less = plus >> top, minus >> top
-            plus, minus = plus << one | more, minus << one | less
-            up[k, own], down[k, own] = minus | ~(vertical | plus), plus & vertical
-            more, less = new_more, new_less
-    return score
+    at = np.tile(np.arange(n), (steps, 1))
+    at[np.arange(len(row)) - np.repeat(np.cumsum(length) - steps, length), row] += code[text] * (blocks * n)
+    begin, ids, out = steps - length, np.arange(n), np.full(n, 1 << 40)
+    above = below = 64 * blocks + steps
+    if most is not None:
+        above, below = int((most - length + m).max()) // 2 + 2, int((most + length - m).max()) // 2 + 2
+    # the first and the last column that each block is looked at in
+    middle = 64 * blocks - steps + np.arange(steps)
+    first = np.searchsorted(np.clip((middle + below) // 64, 0, blocks - 1), np.arange(blocks))
+    last = np.searchsorted(np.clip((middle - above) // 64, 0, blocks - 1), np.arange(blocks), side="right") - 1
+    more, less = (np.zeros((blocks + 1, n), np.uint64) for _ in range(2))  # what each block gets from the one before
+    shift = n * np.arange(blocks)[:, None]
+    low, high, score = 0, -1, np.zeros(n, np.int64)
+    for t in range(steps + blocks - 1):
+        before = low
+        while last[low] + low < t:
+            low += 1
+        if most is not None and t % LOOK == 0 and t > blocks and high >= 0:
+            dead = _least(up[before : high + 1], down[before : high + 1], more[before + 1 : high + 1], less[before + 1 : high + 1], score, 64 * blocks - 1 - steps + t - 65 * np.arange(before, high + 1)) > most
+            dead &= begin <= t - high - 1  # others have not begun everywhere
+            if 4 * dead.sum() > len(ids):
+                keep = np.flatnonzero(~dead)
+                if not len(keep):
+                    return out
+                ids, begin, score, most = ids[keep], begin[keep], score[keep], most[keep]
+                up, down, more, less, rows, at = (x[:, keep] for x in (up, down, more, less, rows, at))
+        while high + 1 < blocks and first[high + 1] + high + 1 <= t:
+            high += 1
+            score = score + rows[high] - (more[high].astype(np.int64) - less[high].astype(np.int64) if high else 0)
+        if low == before or t == 0:
+            more[low], less[low] = begin <= t - low, 0
+        own = slice(low, high + 1)
+        eq = where.take(at[t - high : t - low + 1][::-1] + shift[own])
+        p, q, plus_in, minus_in = up[own], down[own], more[own], less[own]
+        vertical = eq | q
+        eq |= minus_in
+        diagonal = eq & p
+        diagonal += p
+        diagonal ^= p
+        diagonal |= eq
+        minus = p & diagonal
+        diagonal |= p
+        plus = np.invert(diagonal, out=diagonal)
+        plus |= q
+        out_more, out_less = plus >> top, minus >> top
+        plus <<= one
+        plus |= plus_in
+        minus <<= one
+        minus |= minus_in
+        np.bitwise_and(plus, vertical, out=q)
+        vertical |= plus
+        np.invert(vertical, out=vertical)
+        np.bitwise_or(minus, vertical, out=p)
+        more[low + 1 : high + 2], less[low + 1 : high + 2] = out_more, out_less
+        score += out_more[-1].view(np.int64)
+        score -= out_less[-1].view(np.int64)
+    out[ids] = score
+    return out
+
+
+def _least(up: np.ndarray, down: np.ndarray, more: np.ndarray, less: np.ndarray, score: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """A bound from below on the distances that pairs end with: the least, over the blocks' last columns, of a value
+    and the edits that are left at least. Every eighth row is looked at; a row more changes either by one, and a path
+    can pass where a block is a column behind. ``left``: by block, for the row before it, how many rows more than columns are left."""
+    k, n = up.shape
+    rise = [np.bitwise_count(np.ascontiguousarray(x).view(np.uint8).reshape(k, n, 8)).astype(np.int32) for x in (up, down)]
+    value = np.zeros((k, 9, n), np.int64)
+    value[:, 1:] = (rise[0] - rise[1]).transpose(0, 2, 1)
+    value[1:, 0] = less.astype(np.int64) - more.astype(np.int64)
+    value = np.cumsum(value.reshape(9 * k, n), axis=0)
+    value += score - value[-1]
+    rest = np.abs(left[:, None] + 1 - 8 * np.arange(9)).ravel()
+    return (value + rest[:, None]).min(axis=0) - 10
 
 
 #: Pairs with about so many characters are compared at a time.
-TOGETHER_CHARS = 4 << 20
+TOGETHER_CHARS = 12 << 20
 
 
 def _alike(threshold: float):
@@ -437,8 +519,9 @@ def _screen(batches):
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
 
 
-#: Keys are shuffled, and pairs verified, in so many passes, one after the other: the disk holds the shuffles of one.
-PASSES = 3
+#: Keys are shuffled in so many passes, one after the other: the disk holds the shuffles of one. Pairs, which
+#: take less, are screened and verified in PAIR_PASSES.
+PASSES, PAIR_PASSES = 3, 1
 #: So are the documents whose lines are compared.
 TEXT_PASSES = 2
 
@@ -579,8 +662,9 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.75, small: int = 16) -> Da
         found.append(save(packed.repartition(parts, "part").mapInArrow(lean(_pair_up(small, threshold)), CANDIDATES), "candidates", small=True))
     found = joined(found)
 
-    ids = found.select(F.explode(F.coalesce("members", F.array("a", "b"))).alias("node")).distinct()
-    wanted = save(classes.join(ids, "node", "left_semi").select("node", "sim", "mins", "first.*"), "wanted")
+    ids = save(found.select(F.explode(F.coalesce("members", F.array("a", "b"))).alias("node")).distinct(), "ids", small=True)
+    wanted = save(only_ids(classes, ids, "node").select("node", "sim", "mins", "first.*"), "wanted")
+    drop(ids)
     sketches = known_bytes(wanted.select("node", "sim", "mins"), "mins")
 
     def fetch(ids: DataFrame) -> DataFrame:
@@ -608,9 +692,9 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.75, small: int = 16) -> Da
     def info(norms: DataFrame) -> DataFrame:
         return sketches.join(known_bytes(norms, "norm"), "node").select("node", F.struct("sim", "mins", "norm").alias("info"))
 
-    comps = link(found, screen, fetch, verify, info, _near_in_run(threshold), _alike_in_run(threshold), PASSES)
+    comps = link(found, screen, fetch, verify, info, _near_in_run(threshold), _alike_in_run(threshold), PAIR_PASSES, TOGETHER_PAIRS)
     drop(wanted)
-    grouped = classes.join(comps, "node", "left").select("h1", "h2", "n", "first", F.coalesce("comp", "node").alias("comp"), F.col("comp").isNotNull().alias("linked")).where("n > 1 or linked")
+    grouped = classes.join(known(comps), "node", "left").select("h1", "h2", "n", "first", F.coalesce("comp", "node").alias("comp"), F.col("comp").isNotNull().alias("linked")).where("n > 1 or linked")
     keep = grouped.groupBy("comp").agg(F.min("first").alias("keep"))
     groups = save(grouped.join(keep, "comp").select("h1", "h2", "keep"), "groups")
     drop(classes)

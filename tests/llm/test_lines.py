@@ -225,3 +225,45 @@ def test_short_lines_and_symbols(spark):
         2: (texts[2], 0),
         3: ("no words\nbb%%%%%%%% cc^^^^^^^^ dd########\n  ", 1),  # alike but for symbols, and these are most of it
     }
+
+
+def test_pairs_that_are_not_alike_are_left_early():
+    # of pairs that share half their words, few steps of the matrix may be made, and none one pair at a time
+    rng = random.Random(31)
+    a, b = [], []
+    for _ in range(400):
+        base = sentence(rng, rng.choice((10, 14, 90))).split(" ")
+        share = rng.choice((1, 2, 20))
+        a.append(" ".join(base))
+        b.append(" ".join("".join(rng.choices("bdfgkmpz", k=len(w))) if rng.randrange(share) == 0 else w for w in base))
+    calls = []
+    line_dedup.edit_distance, real = lambda *x: calls.append(x) or real(*x), line_dedup.edit_distance
+    try:
+        got = line_dedup.all_alike(a, b, 0.75)
+    finally:
+        line_dedup.edit_distance = real
+    assert len(calls) < line_dedup.FEW
+    want = [real(x, y, 9999) <= int(max(len(x), len(y)) * 0.25 + 1e-9) for x, y in zip(a, b)]
+    assert got.tolist() == want and 100 < sum(want) < 300
+
+
+def test_edit_distances_up_to_a_bound():
+    rng = random.Random(14)
+    for longest in (30, 90, 400):
+        a, b = [], []
+        for _ in range(80):
+            x = "".join(rng.choices("abc é", k=rng.randint(1, longest)))
+            y = list(x)
+            for _ in range(rng.randint(0, 1 + len(x) // rng.choice((2, 3, 8)))):
+                y.insert(rng.randint(0, len(y)), rng.choice("abz"))
+                k = rng.randrange(len(y))
+                y[k : k + 1] = rng.choice(("", "a", "zz"))
+                y = y or ["a"]
+            x, y = sorted((x, "".join(y)), key=len)
+            a.append(x)
+            b.append(y)
+        most = np.array([max(len(y) - len(x), len(y) // 4) for x, y in zip(a, b)])
+        want = np.array([line_dedup.edit_distance(x, y, 9999) for x, y in zip(a, b)])
+        got = line_dedup.edit_distances(tuple(a), tuple(b), most=most)
+        assert (np.where(want <= most, want, -1) == np.where(got <= most, got, -1)).all()
+        assert 10 < (want <= most).sum() < 80
