@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -348,12 +349,14 @@ def gram_mins(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
     return _short([np.minimum.reduceat(K.mix(x * m), first) for m in _SEEDS[MINS:]])
 
 
-def band_keys(mins: np.ndarray, steps: tuple[int, ...], salt: int) -> np.ndarray:
-    """As many keys of each row as it has MinHashes; no two are made of more than one in common."""
-    key = np.zeros(mins.shape, np.uint64)
+def band_keys(mins: np.ndarray, steps: tuple[int, ...], salt: int, which: int = 0, passes: int = 1) -> np.ndarray:
+    """As many keys of each row as it has MinHashes; no two are made of more than one in common. Of all, those
+    numbered from ``salt`` that leave ``which`` when divided by ``passes``."""
+    own = np.arange((which - salt) % passes, mins.shape[1], passes)
+    key = np.zeros((len(mins), len(own)), np.uint64)
     for k in steps:
-        key = K.mix(key + np.roll(mins, -k, axis=1).astype(np.uint64))
-    return K.mix(key + (np.arange(mins.shape[1], dtype=np.uint64) + np.uint64(salt) << np.uint64(48)))
+        key = K.mix(key + mins[:, (own + k) % mins.shape[1]].astype(np.uint64))
+    return K.mix(key + (own.astype(np.uint64) + np.uint64(salt) << np.uint64(48)))
 
 
 def _length_code(chars: np.ndarray) -> np.ndarray:
@@ -455,14 +458,14 @@ def _mins(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(packed.buffers()[2], np.uint16, ends[-1]) if ends[-1] else np.zeros(0, np.uint16), ends
 
 
-def keys_of(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All keys of the rows of :func:`_pack_mins`, and the row of each."""
+def keys_of(packed: pa.Array, which: int = 0, passes: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a pass, or all, of the rows of :func:`_pack_mins`, and the row of each."""
     raw, ends = _mins(packed)
     some = np.flatnonzero(np.diff(ends))
-    words = band_keys(raw[ends[some][:, None] + np.arange(MINS)], WORD_STEPS, 0)
+    words = band_keys(raw[ends[some][:, None] + np.arange(MINS)], WORD_STEPS, 0, which, passes)
     more = np.flatnonzero(np.diff(ends) > MINS)
-    grams = band_keys(raw[ends[more + 1][:, None] + np.arange(-GRAM_MINS, 0)], GRAM_STEPS, MINS)
-    return np.r_[words.ravel(), grams.ravel()], np.r_[np.repeat(some, MINS), np.repeat(more, GRAM_MINS)]
+    grams = band_keys(raw[ends[more + 1][:, None] + np.arange(-GRAM_MINS, 0)], GRAM_STEPS, MINS, which, passes)
+    return np.r_[words.ravel(), grams.ravel()], np.r_[np.repeat(some, words.shape[1]), np.repeat(more, grams.shape[1])]
 
 
 def agree(x: tuple[np.ndarray, np.ndarray], i: np.ndarray, y: tuple[np.ndarray, np.ndarray], j: np.ndarray) -> np.ndarray:
@@ -533,9 +536,7 @@ def _emit(labels: list[int], which: int):
             for at in range(0, b.num_rows, 20_000):
                 part = b.slice(at, 20_000)
                 node, sim = part.column("node").to_numpy(), np.ascontiguousarray(part.column("sim").to_numpy())
-                keys, index = keys_of(part.column("mins"))
-                own = keys % np.uint64(PASSES) == which
-                keys, index = keys[own], index[own]
+                keys, index = keys_of(part.column("mins"), which, PASSES)
                 extra = np.concatenate([sim.view(np.uint32).reshape(-1, 2), short_mins(part.column("mins"))], axis=1)
                 yield from packer.add(node, keys, index, extra[index])
         yield from packer.flush()
@@ -613,15 +614,17 @@ def _texts(batches):
 def _cut(batches):
     for b in batches:
         row = b.column("row")
-        text = row.field(row.type.get_field_index("text")).to_pylist()
-        kept, n_lines, n_gone = [], [], []
-        for t, gone in zip(text, b.column("gone").to_pylist()):
-            lines = t.split("\n") if t is not None else []
-            drop = set(gone or ())
-            n_lines.append(len(lines))
-            n_gone.append(len(drop))
-            kept.append("\n".join(x for k, x in enumerate(lines) if k not in drop) if drop else t)
-        yield pa.RecordBatch.from_arrays([row, pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64())], ["row", "kept", "n_lines", "n_removed"])
+        text = row.field(row.type.get_field_index("text")).cast(pa.string())
+        n_lines = pc.fill_null(pc.add(pc.count_substring(text, "\n").cast(pa.int64()), 1), 0)
+        n_gone = np.zeros(b.num_rows, np.int64)
+        some = pc.and_(pc.is_valid(text), pc.greater(pc.fill_null(pc.list_value_length(b.column("gone")), 0), 0))
+        cut = []
+        for i, t, gone in zip(np.flatnonzero(some).tolist(), text.filter(some).to_pylist(), b.column("gone").filter(some).to_pylist()):
+            drop = set(gone)
+            n_gone[i] = len(drop)
+            cut.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop))
+        kept = pc.replace_with_mask(text, some, pa.array(cut, pa.string()))
+        yield pa.RecordBatch.from_arrays([row, kept, n_lines, pa.array(n_gone)], ["row", "kept", "n_lines", "n_removed"])
 
 
 #: Up to so many groups of repeated lines are broadcast to their lines; beyond, both are shuffled.
