@@ -34,7 +34,8 @@ def as_of(points: DataFrame, log: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``points`` (seq, key, ...) with ``live`` and ``value`` of their key just before seq.
 
     Points and mutations meet in one window per key and chunk of the log; what a chunk starts
-    from comes from the last mutation of the earlier chunks, aggregated first."""
+    from comes from the last mutation of the earlier chunks, aggregated first. A point that is a
+    mutation itself shares its seq with it, so the frame ends before seq, not before the row."""
     extra = [c for c in points.columns if c not in ("seq", "key")]
     part = F.floor(F.col("seq") / chunk).cast("bigint")
     muts = entries(log).withColumn("part", part)
@@ -43,7 +44,7 @@ def as_of(points: DataFrame, log: DataFrame, chunk: int = CHUNK) -> DataFrame:
     # a struct is not null for a delete, so the newest mutation is found even if it has no value
     both = points.select(F.col("seq"), F.col("key"), part.alias("part"), F.lit(None).cast("struct<dead:boolean,value:bigint>").alias("m"), F.struct(F.lit(True).alias("is_point"), *extra).alias("p"))
     rows = both.unionByName(muts.select("seq", "key", "part", state.alias("m")), allowMissingColumns=True)
-    near = Window.partitionBy("key", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    near = Window.partitionBy("key", "part").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
     found = rows.withColumn("found", F.last("m", ignorenulls=True).over(near)).where("p.is_point")
     earlier = Window.partitionBy("key").orderBy("part")
     carry = last.select("key", "part", state.alias("m"))
