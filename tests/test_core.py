@@ -127,6 +127,11 @@ def test_deletes_do_not_see_themselves(spark, unstable_sorts):
     assert {r.seq: r.succeeded for r in replay.deletes(log_of(spark, rows)).collect()} == Dict(rows).dels
 
 
+def test_puts_do_not_see_themselves(spark, unstable_sorts):
+    rows = random_log(random.Random(6), 600, 6)
+    assert {r.seq: r.previous for r in resolve.previous(log_of(spark, rows)).collect()} == Dict(rows).before
+
+
 def test_report(spark):
     rows = random_log(random.Random(2), 500)
     d = Dict(rows)
