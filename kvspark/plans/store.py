@@ -163,7 +163,7 @@ class Store:
         merged = resolve.entries(log).withColumn("window", window).groupBy("window", "key").agg(F.max_by("value", "seq").alias("value"), F.max_by("dead", "seq").alias("dead"), F.max("seq").alias("seq"))
         folder = f"runs/0/batch-{uuid.uuid4().hex[:8]}"
         writer = merged.repartitionByRange("window", "key").sortWithinPartitions("window", "key").select("window", *ENTRIES.names).write.option("maxRecordsPerFile", FILE_ROWS)
-        self._options(writer, 0).partitionBy("window").save(f"{self.path}/{folder}")
+        self._options(writer, 0, size or self.config.buffer_entries).partitionBy("window").save(f"{self.path}/{folder}")
         written = self._reader("key long, value long, dead boolean, seq long, window long").load(f"{self.path}/{folder}")
         stats = written.groupBy("window").agg(F.count("*"), F.min("key"), F.max("key"), F.count_if("dead"), F.max("seq")).collect()
         first, rows = self._next(0, self.manifest), []

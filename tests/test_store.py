@@ -222,3 +222,11 @@ def test_move(spark, tmp_path):
     store.flush()
     store.move(0, 0, 1)
     assert [(x["level"], x["run_seq"]) for x in store.manifest] == [(1, 0)] and store.get(1) == 10
+
+
+def test_small_runs_are_small_files(spark, tmp_path):
+    """Filters of a run's keys follow the window, not the largest run: they had 8 MB for each window."""
+    store = Store(spark, str(tmp_path))
+    assert store.ingest(log_of(spark, [("p", i, i) for i in range(500)]), 100, compact=False) == 5
+    assert sum(f.stat().st_size for f in (tmp_path / "runs").rglob("*.parquet")) < 200_000
+    assert [store.get(i) for i in (0, 250, 499, 500)] == [0, 250, 499, None]
