@@ -22,6 +22,8 @@ from .compaction import PartialTiered, Policy, RunInfo, make_policy
 
 #: Rows of one file of a run.
 FILE_ROWS = 4_000_000
+#: The folder of a run within a store, from the name of one of its files.
+RUN_FOLDER = r"(runs/\d+/[^/]+(?:/window=[^/]+)?)/[^/]+$"
 
 
 class Store:
@@ -256,9 +258,13 @@ class Store:
         return [x for x in self.manifest if x["min_key"] <= high and x["max_key"] >= low]
 
     def tables(self) -> DataFrame:
-        """The entries of all runs with their level and run."""
-        parts = [self.read([x]).select(F.lit(x["level"]).alias("level"), F.lit(x["run_seq"]).cast("bigint").alias("run"), *ENTRIES.names) for x in self.manifest]
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], ENTRIES).select(F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("run"), *ENTRIES.names)
+        """The entries of all runs with their level and run. All runs are one read, told apart by the names
+        of their files, so the plan doesn't grow with their number."""
+        if not self.manifest:
+            return self.spark.createDataFrame([], ENTRIES).select(F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("run"), *ENTRIES.names)
+        runs = self.spark.createDataFrame([(x["path"], x["level"], x["run_seq"]) for x in self.manifest], "folder string, level int, run long")
+        entries = self.read().withColumn("folder", F.regexp_extract("_metadata.file_path", RUN_FOLDER, 1))
+        return entries.join(F.broadcast(runs), "folder").select("level", "run", *ENTRIES.names)
 
     def image(self, rows: list[dict] | None = None) -> DataFrame:
         parts = [self.read(rows)] + ([resolve.entries(self.pending)] if self.pending is not None else [])

@@ -230,3 +230,22 @@ def test_small_runs_are_small_files(spark, tmp_path):
     assert store.ingest(log_of(spark, [("p", i, i) for i in range(500)]), 100, compact=False) == 5
     assert sum(f.stat().st_size for f in (tmp_path / "runs").rglob("*.parquet")) < 200_000
     assert [store.get(i) for i in (0, 250, 499, 500)] == [0, 250, 499, None]
+
+
+def scans(df):
+    return sum(x.lstrip(" +-:").startswith(("Relation ", "LogicalRelation")) for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+def test_tables_are_one_read(spark, tmp_path):
+    """The plan doesn't grow with the runs; windows, flushed and compacted runs keep their level and number."""
+    store = Store(spark, str(tmp_path / "runs" / "0" / "a b=%20"), StoreConfig(policy="partial_tiered", max_runs=2))
+    rows = random_log(random.Random(7), 240, 30)
+    store.ingest(log_of(spark, rows), 40, compact=False)
+    put(spark, store, [("p", 99, 1)], 240)
+    store.flush()
+    store.compact_level(0)
+    got = store.tables()
+    want = {(x["level"], x["run_seq"], *r) for x in store.manifest for r in store.read([x]).collect()}
+    assert len({(x["level"], x["run_seq"]) for x in store.manifest}) == 6 and {x["level"] for x in store.manifest} == {0, 1}
+    assert len(want) == got.count() and {tuple(r) for r in got.collect()} == want
+    assert scans(got) == 1
