@@ -249,3 +249,11 @@ def test_tables_are_one_read(spark, tmp_path):
     assert len({(x["level"], x["run_seq"]) for x in store.manifest}) == 6 and {x["level"] for x in store.manifest} == {0, 1}
     assert len(want) == got.count() and {tuple(r) for r in got.collect()} == want
     assert scans(got) == 1
+
+
+def test_overlap_compaction_is_one_read(spark):
+    from kvspark.queries import FOUND
+
+    got = FOUND["compact_partial_overlap"](spark, "/root/testdata/sf0.01")
+    assert scans(got) == 1
+    assert got.count() == 450 and {r.run for r in got.where("level = 1").select("run").distinct().collect()} == {0} and got.where("level = 0").select("run").distinct().count() == 2
