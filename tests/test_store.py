@@ -257,3 +257,11 @@ def test_overlap_compaction_is_one_read(spark):
     got = FOUND["compact_partial_overlap"](spark, "/root/testdata/sf0.01")
     assert scans(got) == 1
     assert got.count() == 450 and {r.run for r in got.where("level = 1").select("run").distinct().collect()} == {0} and got.where("level = 0").select("run").distinct().count() == 2
+
+
+def test_smallest_compaction_is_one_read(spark):
+    from kvspark.queries import FOUND
+
+    got = FOUND["compact_partial_smallest"](spark, "/root/testdata/sf0.01")
+    assert scans(got) == 1
+    assert got.count() == 450 and {r.run for r in got.where("level = 1").select("run").distinct().collect()} == {0} and got.where("level = 0").select("run").distinct().count() == 2
