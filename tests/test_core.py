@@ -173,3 +173,40 @@ def test_lookups(spark):
 
 def test_names():
     assert run_name(0, 7) == "L00_R0000000007"
+
+
+def test_range_counts(spark):
+    """Like the pairs of range_join, with repeated keys, ids and ranges, nulls, and bounds of all sizes."""
+    rng = random.Random(8)
+    keys = [rng.choice((LOW, HIGH, 0, rng.randrange(-40, 40), rng.randrange(LOW, HIGH))) for _ in range(300)] + [None] * 3
+    some = [None, LOW, HIGH, *[k for k in keys[:40] if k is not None], *range(-45, 45, 7)]
+    ranges = [(i // 2, rng.choice(some), rng.choice(some)) for i in range(150)]
+    ranges += ranges[:10]
+    want = {}
+    for i, a, b in ranges:
+        for k in keys:
+            if None not in (a, b, k) and a <= k < b:
+                n, low, high = want.get(i, (0, k, k))
+                want[i] = (n + 1, min(low, k), max(high, k))
+    image, asked = spark.createDataFrame([(k, 0) for k in keys], "key long, value long"), spark.createDataFrame(ranges, "id long, start long, end long")
+    assert {r.id: (r.n, r.low, r.high) for r in lookup.range_counts(image, asked).collect()} == want
+    assert lookup.range_counts(image.limit(0), asked).count() == lookup.range_counts(image, asked.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 50_000])
+def test_points_of_ranges_are_not_broadcast(spark, monkeypatch, most):
+    """Each point has a row a size of range, of which Spark's estimate of their size knows nothing."""
+    monkeypatch.setattr(lookup, "BROADCAST_RANGES", most)
+    ranges = spark.range(30).selectExpr("id", "id - 15 as start", "id - 15 + (1L << id) as end")
+    points = spark.range(-50, 50).selectExpr("id as key")
+    found = lookup.range_join(ranges, points)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildRight" not in plan and ("BuildLeft" in plan) == (most > 0) and ("SortMergeJoin" in plan) == (most == 0)
+    assert sorted((r.id, r.key) for r in found.collect()) == sorted((i, k) for i in range(30) for k in range(-50, 50) if i - 15 <= k < i - 15 + (1 << i))
+
+
+def test_range_extremes_makes_no_pairs(spark):
+    from kvspark.queries import FOUND
+
+    plan = FOUND["range_extremes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "_cell" not in plan
